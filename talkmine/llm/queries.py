@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_counts, token_files
+from . import exact_dedup, mixing, packing, personal_data, quality, sketches, token_counts, token_files, toxicity
 
 TOKEN_LIMIT = 2048
+GOOD = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +22,85 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{personal_data.KINDS[k]}") for k in range(personal_data.BASE)],
+        F.sha2(personal_data.listed(base), 256).alias("base_sha256"),
+        personal_data.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def _classified(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = F.coalesce(F.expr(toxicity.HELD_OUT), F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _classified(scores, toxicity.THRESHOLD)
+
+
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _classified(scores, GOOD)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY length(text) DESC, doc_id)
+"""
+
+
+def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sketches.compare_with_edits(table(spark, sf_dir, "documents"))
+    return df.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketches.as_text("sketch").alias("fingerprint"),
+        sketches.as_text("edited_sketch").alias("edited_fingerprint"),
+        sketches.containment("sketch", "edited_sketch").alias("near_edited"),
+        sketches.containment("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position")).orderBy("position", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op5_best_fit_packing, op9_token_files]
+    found = [
+        op1_token_counts, op2_personal_data, op3_toxicity, op4_quality_ranking, op5_best_fit_packing,
+        op7_exact_dedup, op8_sketches, op9_token_files, op10_curriculum_mixing,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": OP7_SQL}
