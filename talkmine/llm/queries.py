@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, personal_data, quality, sketches, token_counts, token_files, toxicity
+from . import exact_dedup, jaccard_join, mixing, packing, personal_data, quality, sketches, token_counts, token_files, toxicity
 
 TOKEN_LIMIT = 2048
 GOOD = 0.5
@@ -56,6 +56,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -97,7 +101,7 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_personal_data, op3_toxicity, op4_quality_ranking, op5_best_fit_packing,
-        op7_exact_dedup, op8_sketches, op9_token_files, op10_curriculum_mixing,
+        op6_jaccard_join, op7_exact_dedup, op8_sketches, op9_token_files, op10_curriculum_mixing,
     ]
     return {f.__name__: f for f in found}
 
