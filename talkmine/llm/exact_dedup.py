@@ -148,3 +148,16 @@ def dedup(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
         (F.col("rid") == F.col("first.rid")).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows that stay, with their own columns; of rows that repeat a doc_id and text
+    one stays."""
+    kept = dedup(docs, chunk_chars).filter("kept").select(F.col("doc_id").alias("kept__id"), F.col("text_sha256").alias("kept__sha"))
+    sha = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), BLANKS, ""), 256)
+    rows = docs.withColumn("own__sha", sha)
+    same = F.col("doc_id").eqNullSafe(F.col("kept__id")) & (F.col("own__sha") == F.col("kept__sha"))
+    rows = rows.join(kept, same, "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "own__sha"])
+    return rows.select(*docs.columns)

@@ -411,3 +411,10 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The document of smallest doc_id of each component, with its own columns."""
+    classes = similarity_classes(docs, words, similarity)
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first__id"))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first__id")), "left_semi")

@@ -65,8 +65,13 @@ def inverted(share: Column) -> Column:
     return F.least(F.lit(1.0), at("times", k) + F.coalesce(F.try_divide(2 * left, a + root), F.lit(0.0)))
 
 
+def order_of(seed: int = 1) -> Column:
+    """The hash by which a source's documents are ordered."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.lit(seed))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, positions of every row.
+    """doc_id, source, size, source_size, target, taken, positions, order of every row.
 
     A source's documents stand in the order of a seeded hash.  It takes whole passes
     over them while its target lasts, then documents of a further pass whose running
@@ -81,8 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     spark = docs.sparkSession
     size = F.regexp_count("text", F.lit(WORD)).cast("long")
-    order = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = texts(docs, "source").select("doc_id", "source", size.alias("size"), order.alias("order"))
+    rows = texts(docs, "source").select("doc_id", "source", size.alias("size"), order_of(seed).alias("order"))
     rows = stage(rows.withColumns({"rid": F.monotonically_increasing_id(), "bucket": F.shiftrightunsigned("order", 54).cast("int")}), "sizes")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     catalog = []
@@ -115,10 +119,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     times = F.array_compact(F.array(first, second)) if most <= 2 else F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: inverted(share_at(p)))
     times = F.when(F.col("copies") >= 1, times).otherwise(F.array().cast("array<double>"))
     return out.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), times.alias("positions"), "rid"
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), times.alias("positions"), "order"
     )
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """A row for each copy, range-sorted by its training position."""
-    return mixed.select("*", F.explode("positions").alias("position")).drop("positions").orderBy("position", "doc_id")
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix with their own columns, a row for each copy, range-sorted
+    by training position.  Rows that repeat a doc_id and text are one document."""
+    mixed = mix(docs, **how)
+    own = mixed.filter("taken > 0 or size = 0").select(F.col("doc_id").alias("mix__id"), F.col("order").alias("mix__order"), F.explode("positions").alias("mix__position"))
+    rows = docs.withColumn("mix__own", order_of(**{k: v for k, v in how.items() if k == "seed"}))
+    both = rows.join(own, F.col("doc_id").eqNullSafe(F.col("mix__id")) & (F.col("mix__own") == F.col("mix__order")))
+    return both.orderBy("mix__position", "mix__id").select(*docs.columns)

@@ -211,3 +211,9 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> D
     """
     model = fit(docs, labels, train_docs)
     return docs.select("doc_id", model.score(F.col("text")).alias("score"))
+
+
+def ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The documents that score under `threshold`, with their own columns."""
+    model = fit(docs, labels, train_docs)
+    return docs.withColumn("toxicity__score", model.score(F.col("text"))).filter(F.col("toxicity__score") < threshold).drop("toxicity__score")
