@@ -3,19 +3,32 @@
 The word BPE normalises every white-space run to one blank and its pieces never
 hold white space, so the ids of a text are the ids of its blank-separated words,
 one after another (blanks compose with no other character, and the special
-strings hold none).  `Encoder` keeps the ids of the words it has met, which the
-library itself made, and joins them.
+strings hold none).  `Encoder` keeps the ids of the words it has met and joins them.
+
+A new word of Latin letters, digits and signs is cut into the pieces that the file's
+pattern gives there, and the library's BPE model encodes new pieces; all other words go
+through the whole library.  A file of another kind is used through the library alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
-#: Words kept by an encoder, and the longest word kept.
+#: Words and pieces kept by an encoder, and the longest word kept.
 MEMO_WORDS = 300_000
+MEMO_PIECES = 200_000
 MEMO_CHARS = 48
+#: Fixed values of the word BPE file: its steps and its pattern.
+STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose characters normalisation only lower-cases, one by one, and the pattern
+#: within them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-`{-~]+")
 
 
 def default_path() -> str:
@@ -33,20 +46,57 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+def _is_word_bpe(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    if not (kind.get("normalizer") or {}).get("normalizers") or not (kind.get("pre_tokenizer") or {}).get("pretokenizers"):
+        return False
+    steps = [*kind["normalizer"]["normalizers"], *kind["pre_tokenizer"]["pretokenizers"]]
+    return [x["type"] for x in steps] == STEPS and steps[3]["pattern"].get("Regex") == PATTERN
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes: printable ones for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in own)}
+
+
 class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         self.library = library(path)
-        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.plain = _is_word_bpe(path)
+        self.letters = _byte_letters()
+        self.model = self.library.model
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.pieces) >= MEMO_PIECES:
+                self.pieces.clear()
+            if len(piece) <= MEMO_CHARS:
+                self.pieces[piece] = found
+        return found
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        for word, x in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            into[word] = array("I", x.ids).tobytes()
+        others = []
+        for w in words:
+            if self.plain and PLAIN.fullmatch(w) and "<|" not in w:
+                into[w] = b"".join(map(self._piece, PIECES.findall(w.lower())))
+            else:
+                others.append(w)
+        if others:
+            for w, x in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
+                into[w] = array("I", x.ids).tobytes()
 
     def packed(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        memo = self.memo
+        memo = self.words
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
