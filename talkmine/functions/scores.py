@@ -54,3 +54,8 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
 
 def time_decay(gap: Column, window: float) -> Column:
     return F.when(gap.isNull() | F.lit(window <= 0), 0.0).when(gap <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - gap / F.lit(float(window))))
+
+
+def thousandths(x: Column) -> Column:
+    """Three decimals, halves up even where the binary value lies a little under one."""
+    return F.floor(x * 1000 + 0.500000001) / 1000

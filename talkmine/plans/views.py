@@ -54,13 +54,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten stories in each recording of the candidates, with gaps between them."""
     recs = candidates(spark, sf_dir).select("rec_id").distinct()
-    k = recs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long"))
+    k = recs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
     return k.select("rec_id", F.concat(F.lit("s"), "k").alias("story_id"), F.concat(F.lit("c"), F.floor(F.col("k") * 300 / 750)).alias("chapter_id"), (F.col("k") * 300 + F.col("rec_id")).alias("start"), (F.col("k") * 300 + 260).alias("end"))
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = candidates(spark, sf_dir).select("rec_id").distinct()
-    k = recs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long"))
+    k = recs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return k.select("rec_id", F.concat(F.lit("c"), "k").alias("chapter_id"), (F.col("k") * 750).alias("start"), (F.col("k") * 750 + 750).alias("end"))
 
 
