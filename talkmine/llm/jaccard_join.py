@@ -27,23 +27,82 @@ SIMILARITY = 90
 #: (the most frequent ones; others keep their place, which changes no result).
 FREQUENT = 64
 FREQUENT_AT_MOST = 500_000
-#: Shingles that a bitmap holds at the mean at most, and members of a leaf.
-SAMPLE = 96
+#: Shingles that are counted, in hundredths of a prefix.
+PROBE = 130
+#: One in so many shingles is in a bitmap, which has at least half a bit for each of
+#: the set's shingles, within bounds.
+SAMPLED = 4
+LEAST_BITS, MOST_BITS = 64, 1 << 14
+#: Blocks of more members are compared by stars first.
+WHOLE_BLOCK = 8
+#: Members of a leaf and children of a node.
 LEAF = 16
 FAN = 4
-MEMO_WORDS = 400_000
-_BITS = 256
+#: Bits of the table by which documents of candidate pairs are found.
+BLOOM_BITS = 1 << 25
+LEAF = 16
+FAN = 4
+#: Bytes of a text that are hashed at once, and the smallest table of powers.
+SEGMENT = 1 << 20
+SMALL = 1 << 17
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BLANK = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+_IS_BLANK = np.isin(np.arange(256), _BLANK)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_SETS = "doc_id long, n int, k long, k2 long, probe array<long>"
-_ROWS = "shingle long, k long, n int, slack int, level int, s0 long, s1 long, s2 long, s3 long"
-_SIGNATURE = ("n", "slack", "level", "s0", "s1", "s2", "s3")
+_SETS = "doc_id long, k long, k2 long, n int, bits binary, probe array<long>"
+_PAIRS = "shingle long, k long"
 
 
 @lru_cache(maxsize=1)
-def _memo() -> dict[bytes, int]:
-    return {}
+def _byte_values() -> np.ndarray:
+    """A fixed random 64-bit value of each byte; capitals share those of small letters."""
+    table = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    table[65:91] = table[97:123]
+    table[_BLANK] = 0
+    return table
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        own = np.full(n, base, np.uint64)
+        own[0] = 1
+        with np.errstate(over="ignore"):
+            found.append(np.multiply.accumulate(own))
+    return found[0], found[1]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text: polynomials of byte values, from running
+    sums over the whole text and shifted to the place of the word.  Long texts are taken
+    by segments that end at blanks."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + SEGMENT)
+        if end < len(data):
+            blanks = np.flatnonzero(_IS_BLANK[data[at:end]])
+            while not len(blanks) and end < len(data):  # a word longer than a segment
+                blanks, end = np.flatnonzero(_IS_BLANK[data[end : end + SEGMENT]]) + (end - at), min(len(data), end + SEGMENT)
+            end = at + int(blanks[-1]) + 1 if len(blanks) else len(data)
+        part = data[at:end]
+        blank = np.ones(len(part) + 2, bool)
+        np.take(_IS_BLANK, part, out=blank[1:-1])
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        if len(starts):
+            size = max(SMALL, 1 << (len(part) - 1).bit_length())
+            up, down = _powers(size)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_byte_values()[part] * up[: len(part)], out=sums[1:])
+                parts.append((sums[ends] - sums[starts]) * down[starts])
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -52,18 +111,9 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     Words are runs of other than ASCII white space with A-Z lower-cased; a text of
     fewer words is one shingle, one without words has none.
     """
-    import xxhash
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    w = word_hashes(text)
+    if not len(w):
         return np.zeros(0, np.int64)
-    memo = _memo()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in set(tokens):
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    w = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
     size = min(words, len(w))
     with np.errstate(over="ignore"):
         h = np.full(len(w) - size + 1, size, np.uint64)
@@ -73,7 +123,11 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         h = (h ^ (h >> np.uint64(30))) * _M1
         h = (h ^ (h >> np.uint64(27))) * _M2
         h ^= h >> np.uint64(31)
-    return np.unique(h.view(np.int64))
+    own = h.view(np.int64)
+    own.sort()
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    return own[new]
 
 
 def set_key(own: np.ndarray, seed: int) -> tuple[int, int]:
@@ -105,17 +159,20 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity:
     return np.concatenate([light, heavy[np.argsort(rank[np.searchsorted(frequent, heavy)])]])[:need]
 
 
-def signature(own: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """(slack, level, bitmap words).  A bitmap holds the shingles that a level samples;
-    the slack is how many of the set the bitmap can't tell: not sampled, or of a bit
-    that another one has set."""
-    level = 0
-    while len(own) >> level > SAMPLE:
-        level += 1
-    sampled = own[(own >> 7) & ((1 << level) - 1) == 0]
-    bits = np.zeros(_BITS, bool)
-    bits[(sampled >> 40) & (_BITS - 1)] = True
-    return len(own) - int(bits.sum()), level, np.packbits(bits).view(np.int64)
+def signature(own: np.ndarray) -> np.ndarray:
+    """The bitmap of a set's sampled shingles, as 64-bit words."""
+    size = LEAST_BITS
+    while 2 * size < len(own) and size < MOST_BITS:
+        size *= 2
+    bits = np.zeros(size, bool)
+    bits[(own[(own >> 7) % SAMPLED == 0] >> 24) & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the size: the same places modulo the half."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
 
 
 def _read_sets(seed: int, words: int, similarity: int):
@@ -125,9 +182,9 @@ def _read_sets(seed: int, words: int, similarity: int):
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 own = shingles(text, words)
                 k, k2 = set_key(own, seed)
-                probe = own[: 2 * prefix_length(len(own), similarity)] if len(own) else own
-                out.append((None if pd.isna(doc) else int(doc), len(own), k, k2, probe))
-            frame = pd.DataFrame(out, columns=["doc_id", "n", "k", "k2", "probe"])
+                probe = own[: prefix_length(len(own), similarity) * PROBE // 100] if len(own) else own
+                out.append((None if pd.isna(doc) else int(doc), k, k2, len(own), signature(own).tobytes(), probe))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
@@ -144,115 +201,132 @@ def _read_prefixes(seed: int, words: int, similarity: int, shared):
                 k = set_key(own, seed)[0]
                 if len(own) and k not in met:
                     met.add(k)
-                    slack, level, bits = signature(own)
-                    first = prefix(own, frequent, rank, similarity)
-                    firsts.append(first)
-                    keys.append((k, len(own), slack, level, *bits, len(first)))
+                    keys.append(k)
+                    firsts.append(prefix(own, frequent, rank, similarity))
             if keys:
-                one = np.array(keys, np.int64)
-                all_ = np.repeat(one[:, :-1], one[:, -1], axis=0)
-                frame = pd.DataFrame(all_, columns=["k", *_SIGNATURE])
-                frame.insert(0, "shingle", np.concatenate(firsts))
-                yield frame.astype({"n": "int32", "slack": "int32", "level": "int32"})
+                yield pd.DataFrame({"shingle": np.concatenate(firsts), "k": np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])})
 
     return run
 
 
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, once each, of shingles that two classes or more have."""
+    for frame in _blocks(batches):
+        s, k = frame["shingle"].to_numpy(), frame["k"].to_numpy()
+        new = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]
+        s, k = s[new], k[new]
+        alone = np.r_[True, s[1:] != s[:-1]] & np.r_[s[1:] != s[:-1], True]
+        yield pd.DataFrame({"shingle": s[~alone], "k": k[~alone]})
+
+
+class Level:
+    """Members of a block with bitmaps of one size."""
+
+    def __init__(self, at: np.ndarray, bits: np.ndarray, block: Block):
+        order = np.lexsort((bits[:, 0], block.group[at], block.n[at]))
+        self.at, self.bits = at[order], bits[order]
+        self.n, self.group = block.n[self.at], block.group[self.at]
+        #: how many of a set its bitmap can't tell: not sampled, or of a bit that another one set
+        self.slack = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+
+    def tree(self) -> Node:
+        nodes = [Node(self, np.arange(k, min(k + LEAF, len(self.at)))) for k in range(0, len(self.at), LEAF)]
+        while len(nodes) > 1:
+            nodes = [Node(self, np.concatenate([x.own for x in nodes[k : k + FAN]]), nodes[k : k + FAN]) for k in range(0, len(nodes), FAN)]
+        return nodes[0]
+
+
 class Node:
-    """Members `at` of a block under a bitmap, a size range and the greatest slack."""
+    """Members under a combined bitmap, a size range and the greatest slack."""
 
-    __slots__ = ("at", "bits", "low", "high", "slack", "group", "children")
+    __slots__ = ("own", "bits", "low", "high", "slack", "group", "children")
 
-    def __init__(self, at: np.ndarray, block: Block, children=()):
-        self.at, self.children = at, children
-        self.bits = np.bitwise_or.reduce(block.bits[at], axis=0)
-        self.low, self.high = block.n[at].min(), block.n[at].max()
-        self.slack = block.slack[at].max()
-        groups = block.group[at]
+    def __init__(self, level: Level, own: np.ndarray, children=()):
+        self.own, self.children = own, children
+        self.bits = np.bitwise_or.reduce(level.bits[own], axis=0)
+        self.low, self.high, self.slack = level.n[own].min(), level.n[own].max(), level.slack[own].max()
+        groups = level.group[own]
         self.group = groups[0] if (groups == groups[0]).all() else None
 
 
 class Block:
-    """A block's members and its signature tree."""
+    """The members of a block, by the size of their bitmaps.
 
-    def __init__(self, n, slack, level, bits, group, similarity: int):
-        self.n, self.slack, self.level, self.bits, self.group, self.similarity = n, slack, level, bits, group, similarity
+    Similar sets differ in size by less than a factor of two, so their bitmaps are of
+    one size or the next; the larger ones are folded for comparison.
+    """
 
-    def tree(self, at: np.ndarray) -> Node:
-        nodes = [Node(at[k : k + LEAF], self) for k in range(0, len(at), LEAF)]
-        while len(nodes) > 1:
-            nodes = [Node(np.concatenate([x.at for x in nodes[k : k + FAN]]), self, nodes[k : k + FAN]) for k in range(0, len(nodes), FAN)]
-        return nodes[0]
+    def __init__(self, n: np.ndarray, bits: list[bytes], group: np.ndarray, similarity: int):
+        self.n, self.group, self.similarity = n, group, similarity
+        sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+        own = {int(z): np.flatnonzero(sizes == z) for z in np.unique(sizes)}
+        wide = {z: np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1) for z, at in own.items()}
+        self.levels = [(Level(at, wide[z], self), Level(own[2 * z], folded(wide[2 * z]), self) if 2 * z in own else None) for z, at in own.items()]
 
-    def possible(self, a, b) -> bool:
-        """Whether some pair of the two nodes can be similar: sizes in proportion, and
-        the bits in common with a's slack reach the overlap that the least sizes need."""
+    def _need(self, n) -> np.ndarray:
+        """Least overlap of two similar sets of `n` shingles together."""
+        return -(-self.similarity * n // (100 + self.similarity))
+
+    def close(self, a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> np.ndarray:
+        """Whether pairs of members can be similar."""
+        x, y = a.n[i], b.n[j]
+        common = np.bitwise_count(a.bits[i] & b.bits[j]).sum(axis=1, dtype=np.int64)
+        fits = 100 * np.minimum(x, y) >= self.similarity * np.maximum(x, y)
+        return fits & (common + np.minimum(a.slack[i], b.slack[j]) >= self._need(x + y))
+
+    def _meet(self, a: Node, b: Node) -> bool:
+        """Whether some pair of two nodes can be similar: sizes in proportion, groups not
+        one, and the bits in common with the slack reach what the least sizes need."""
         if 100 * min(a.high, b.high) < self.similarity * max(a.low, b.low):
             return False
         if a.group is not None and a.group == b.group:
             return False
-        need = -(-self.similarity * (a.low + b.low) // (100 + self.similarity))
         common = int(np.bitwise_count(a.bits & b.bits).sum())
-        return common + min(a.slack, b.slack) >= need
-
-    def _leaf_pairs(self, a: np.ndarray, b: np.ndarray, same: bool):
-        i, j = np.triu_indices(len(a), 1) if same else [x.ravel() for x in np.indices((len(a), len(b)))]
-        i, j = a[i], b[j]
-        keep = self.close(i, j) & (self.group[i] != self.group[j])
-        return i[keep], j[keep]
-
-    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether pairs of members can be similar."""
-        ni, nj = self.n[i], self.n[j]
-        common = np.bitwise_count(self.bits[i] & self.bits[j]).sum(axis=1, dtype=np.int64)
-        need = -(-self.similarity * (ni + nj) // (100 + self.similarity))
-        bound = np.where(self.level[i] == self.level[j], common + np.minimum(self.slack[i], self.slack[j]), need)
-        return (100 * np.minimum(ni, nj) >= self.similarity * np.maximum(ni, nj)) & (bound >= need)
+        return common + min(a.slack, b.slack) >= self._need(a.low + b.low)
 
-    def dual(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members that can be similar and are of different groups.
-
-        Bitmaps of different levels can't be compared, so there is a tree for each level,
-        and between two levels only sizes and groups prune.
-        """
-        order = np.lexsort((self.bits[:, 3], self.bits[:, 2], self.bits[:, 1], self.bits[:, 0], self.group, self.n))
-        roots = [self.tree(order[self.level[order] == x]) for x in np.unique(self.level)]
-        todo = [(a, b, x == y) for x, a in enumerate(roots) for y, b in enumerate(roots[x:], x)]
+    def _traverse(self, a: Level, b: Level) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        todo = [(a.tree(), b.tree())] if a is not b else [(root := a.tree(), root)]
         while todo:
-            a, b, level = todo.pop()
-            if a is not b or a.group is not None:
-                if a is b or not self._meet(a, b, level):
-                    continue
-            if not a.children and not b.children:
-                i, j = self._leaf_pairs(a.at, b.at, a is b)
-                if len(i):
-                    yield i, j
-            elif a is b:
-                todo += [(x, y, level) for k, x in enumerate(a.children) for y in a.children[k:]]
-            elif a.children and (not b.children or len(a.at) >= len(b.at)):
-                todo += [(x, b, level) for x in a.children]
+            x, y = todo.pop()
+            if x.group is not None if x is y else not self._meet(x, y):
+                continue
+            if not x.children and not y.children:
+                i, j = np.triu_indices(len(x.own), 1) if x is y else map(np.ravel, np.indices((len(x.own), len(y.own))))
+                i, j = x.own[i], y.own[j]
+                keep = (a.group[i] != b.group[j]) & self.close(a, i, b, j)
+                if keep.any():
+                    yield a.at[i[keep]], b.at[j[keep]]
+            elif x is y:
+                todo += [(u, v) for k, u in enumerate(x.children) for v in x.children[k:]]
+            elif x.children and (not y.children or len(x.own) >= len(y.own)):
+                todo += [(u, y) for u in x.children]
             else:
-                todo += [(a, y, level) for y in b.children]
-
-    def _meet(self, a: Node, b: Node, level: bool) -> bool:
-        if level:
-            return self.possible(a, b)
-        sizes = 100 * min(a.high, b.high) >= self.similarity * max(a.low, b.low)
-        return sizes and (a.group is None or a.group != b.group)
-
-    def stars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the first member with the others of its sizes that can be similar, of
-        the first that is left with the rest, and so on: fewer pairs than members."""
-        left, i, j = np.argsort(self.n, kind="stable"), [], []
-        while len(left) > 1:
-            rest = left[1:]
-            near = rest[100 * self.n[left[0]] >= self.similarity * self.n[rest]]
-            got = near[self.close(np.full(len(near), left[0]), near)]
-            i.append(np.full(len(got), left[0]))
-            j.append(got)
-            left = rest[~np.isin(rest, got)] if len(got) else rest
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(i), np.concatenate(j)) if i else (none, none)
+                todo += [(x, v) for v in y.children]
+
+    def dual(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of members that can be similar and are of different groups."""
+        for own, above in self.levels:
+            yield from self._traverse(own, own)
+            if above is not None:
+                yield from self._traverse(own, above)
+
+    def stars(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the first member with the others that can be similar, of the first that
+        is left with the rest, and so on, and of the first with larger bitmaps: no more
+        pairs than members."""
+        for own, above in self.levels:
+            left = np.arange(len(own.at))
+            if above is not None:
+                j = np.arange(len(above.at))
+                i = np.zeros(len(j), np.int64)
+                keep = self.close(own, i, above, j)
+                yield own.at[i[keep]], above.at[j[keep]]
+            while len(left) > 1:
+                rest = left[1:]
+                i = np.full(len(rest), left[0])
+                keep = self.close(own, i, own, rest)
+                yield own.at[i[keep]], own.at[rest[keep]]
+                left = rest[~keep]
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,66 +343,82 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _each_block(frame: pd.DataFrame, similarity: int):
-    s = frame["shingle"].to_numpy()
+def _each_block(frame: pd.DataFrame, similarity: int, met: set[int]):
+    s, k, n, bits = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy()
     cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-    cols = {c: frame[c].to_numpy().astype(np.int64) for c in ("k", *_SIGNATURE)}
-    bits = np.stack([cols[f"s{x}"] for x in range(4)], axis=1)
     group = frame["root"].to_numpy() if "root" in frame else np.arange(len(frame))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        if b - a > 1:
-            x = slice(a, b)
-            yield a, b, cols["k"][x], Block(cols["n"][x], cols["slack"][x], cols["level"][x], bits[x], group[x], similarity)
+        x = slice(a, b)
+        if b - a > 1 and (own := hash(k[x].tobytes())) not in met:  # the same members give the same pairs
+            met.add(own)
+            yield s[a], k[x], Block(n[x], list(bits[x]), group[x], similarity)
 
 
 def _first_round(similarity: int):
-    """Star pairs of each block (shingle null), and the rows of blocks of three or more."""
+    """(shingle null, k, other): pairs that can be similar, all of a small block and stars
+    of a large one; (shingle, k, null): the members of large blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for frame in _blocks(batches):
-            a_s, b_s, spans = [], [], []
-            for a, b, k, block in _each_block(frame, similarity):
-                i, j = block.stars()
-                a_s.append(np.minimum(k[i], k[j]))
-                b_s.append(np.maximum(k[i], k[j]))
-                if b - a > 2:
-                    spans.append(np.arange(a, b))
-            if a_s:
-                pairs = pd.DataFrame({"k": np.concatenate(a_s), "other": np.concatenate(b_s)}).drop_duplicates()
-                for c in ("n", "slack", "level"):
-                    pairs[c] = np.int32(0)
-                for c in ("s0", "s1", "s2", "s3"):
-                    pairs[c] = np.int64(0)
-                yield pairs.assign(shingle=pd.array([None] * len(pairs), "Int64"))[_FIRST_COLUMNS]
-            if spans:
-                rows = frame.iloc[np.concatenate(spans)].copy()
-                rows["shingle"] = rows["shingle"].astype("Int64")
-                yield rows.assign(other=np.int64(0))[_FIRST_COLUMNS]
+            pairs, members = [], []
+            for shingle, k, block in _each_block(frame, similarity, met):
+                large = len(k) > WHOLE_BLOCK
+                for i, j in block.stars() if large else block.dual():
+                    if len(i):
+                        pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
+                if large:
+                    members.append(pd.DataFrame({"shingle": shingle, "k": k}))
+            if pairs:
+                both = np.unique(np.concatenate(pairs), axis=0)
+                yield pd.DataFrame({"shingle": pd.array([None] * len(both), "Int64"), "k": both[:, 0], "other": pd.array(both[:, 1], "Int64")})
+            if members:
+                rows = pd.concat(members)
+                yield pd.DataFrame({"shingle": rows["shingle"].astype("Int64"), "k": rows["k"], "other": pd.array([None] * len(rows), "Int64")})
 
     return run
 
 
-_FIRST = _ROWS + ", other long"
-_FIRST_COLUMNS = [c.split()[0] for c in _FIRST.split(", ")]
-
-
 def _second_round(similarity: int):
     """Pairs of a block's dual traversal between groups that are not yet connected."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for frame in _blocks(batches):
-            for _, _, k, block in _each_block(frame, similarity):
-                for i, j in block.dual():
-                    yield pd.DataFrame({"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])})
+            pairs = []
+            for _, k, block in _each_block(frame, similarity, met):
+                pairs += [np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1) for i, j in block.dual()]
+            if pairs:
+                yield pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"])
 
     return run
 
 
-def _sets_of(seed: int, words: int):
+def bloom(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit table of hashed `ids` (long) of at most `BLOOM_BITS` bits: a member always
+    passes, others seldom; where the table is full more pass, which costs time only."""
+    bits = 1 << 12
+    while bits < min(BLOOM_BITS, 16 * ids.count()):
+        bits *= 2
+    at = F.pmod(F.col(column), F.lit(bits - 1))  # an odd number, so that regular ids spread
+    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("word"))
+    rows = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()
+    table = np.zeros(bits // 32, np.uint32)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _passes(table: np.ndarray, ids: pd.Series) -> np.ndarray:
+    """Which of `ids` may be members; a null passes."""
+    at = ids.fillna(0).to_numpy(np.int64) % (len(table) - 1)
+    return table[at] | ids.isna().to_numpy()
+
+
+def _sets_of(seed: int, words: int, shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             met, out = set(), []
-            for text in batch["text"]:
+            for text in batch["text"][_passes(shared.value, batch["doc_id"])]:
                 own = shingles(text, words)
                 k = set_key(own, seed)[0]
                 if k not in met:
@@ -353,10 +443,21 @@ def _verify(similarity: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, counted exactly."""
-    xs, ys = sets.select(F.col("k").alias("a"), F.col("own").alias("x")), sets.select(F.col("k").alias("b"), F.col("own").alias("y"))
-    return pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(similarity), "a long, b long")
+def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, how: tuple[int, int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, counted exactly.
+
+    The sets are made again for a document of each class in `pairs`, which a bit table of
+    bounded size finds, so that no other text is moved.
+    """
+    seed, words, similarity = how
+    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    one_of = sets.join(keys, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    chosen = bloom(stage(one_of, "chosen"), "doc_id")
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+    own = rows.mapInPandas(_sets_of(seed, words, shared), "k long, own binary").join(keys, "k", "left_semi")
+    own = stage(own.dropDuplicates(["k"]), "own")
+    xs, ys = own.select(F.col("k").alias("a"), F.col("own").alias("x")), own.select(F.col("k").alias("b"), F.col("own").alias("y"))
+    return stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(similarity), "a long, b long"), "links")
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -366,11 +467,13 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
     1. Sets are keyed; documents of one set are one class (a key that two different sets
        share makes the keys be drawn again).
     2. Shingles that the prefixes of many rows hold are counted and put last in the order.
-    3. Rows of (prefix shingle, class) form blocks; copies of a class fall together first.
-    4. A first round compares a star of each block; the exact sets decide.
-    5. A second round runs the dual traversal of each block's signature tree between
-       members that are not connected yet.  Pairs within a component need no link,
-       since they change no component.
+    3. Rows of (prefix shingle, class) form blocks; copies of a class in a task count once, and
+       shingles of one class only fall away before bitmaps are joined to the rest.
+    4. A first round runs the dual traversal of each small block's signature tree and
+       takes stars of large blocks; the exact sets decide.
+    5. A second round runs the dual traversal of large blocks between members that are
+       not connected yet.  Pairs within a component need no link, since they change
+       no component.
     Null or empty text has an empty set and links with nothing.  Null doc_id: it takes
     part and is passed over in the minimum.  Repeated rows are one class.
     """
@@ -384,25 +487,23 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
     counts = sets.select(F.explode("probe").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toPandas().sort_values("shingle")
     shared = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
-    prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _ROWS)
-    distinct = prefixes.groupBy("shingle", "k").agg(*[F.first(c).alias(c) for c in _SIGNATURE])
-    sorted_ = distinct.repartition("shingle").sortWithinPartitions("shingle", "k")
-    first = stage(sorted_.mapInPandas(_first_round(similarity), _FIRST), "blocks")
+    prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _PAIRS)
+    blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "k").mapInPandas(_shared, _PAIRS)
+    signatures = sets.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    by_shingle = lambda df: df.repartition("shingle").sortWithinPartitions("shingle", "k")
+    first = stage(by_shingle(blocks.join(signatures, "k")).mapInPandas(_first_round(similarity), "shingle long, k long, other long"), "blocks")
     pairs = stage(first.filter("shingle is null").select(F.col("k").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    members = first.filter("shingle is not null").drop("other")
-    involved = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(members.select("k")).distinct()
-    one_of = sets.groupBy("k").agg(F.min(F.struct("doc_id")).alias("d")).join(involved, "k", "left_semi").select("d.doc_id")
-    chosen = rows.alias("r").join(one_of.alias("o"), F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
-    own = stage(chosen.mapInPandas(_sets_of(seed, words), "k long, own binary").dropDuplicates(["k"]), "own")
-    links = stage(_links(pairs, own, similarity), "links")
+    how = (seed, words, similarity)
+    links = _links(rows, sets, pairs, how)
     roots = stage(components(links), "roots")
-    grouped = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    open_ = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
-    again = grouped.join(open_, "shingle").repartition("shingle").sortWithinPartitions("shingle", "k")
-    more = again.mapInPandas(_second_round(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = stage(_links(more, own, similarity), "links")
-    if not found.isEmpty():
-        roots = stage(components(links.unionByName(found)), "roots")
+    members = first.filter("shingle is not null").drop("other").join(roots.withColumnRenamed("node", "k"), "k", "left")
+    members = members.withColumn("root", F.coalesce("root", "k"))
+    open_ = members.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+    again = by_shingle(members.join(open_, "shingle").join(signatures, "k"))
+    more = stage(again.mapInPandas(_second_round(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(_links(rows, sets, more, how))
+        roots = stage(components(links), "roots")
     whole = sets.select("doc_id", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left")
     whole = whole.withColumn("root", F.coalesce("root", "k"))
     least = whole.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
