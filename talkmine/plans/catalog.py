@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_events, q_media, q_scan
+from . import q_events, q_media, q_more, q_scan
 
-PARTS = (q_scan, q_events, q_media)
+PARTS = (q_scan, q_events, q_media, q_more)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
