@@ -24,7 +24,8 @@ BASES = (1103515245, 1664525423)
 _RUN = 4096
 
 _PRINT = T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2", "n_bytes")])
-_CHUNK = "rid long, chunk_no int, h1 long, h2 long, n_bytes long"
+_ROW = "doc_id long, n_chars long, text_hash long, text_sha256 string"
+_OWN = ["rid", "doc_id", "n_chars", "text_hash", "text_sha256"]
 
 
 @lru_cache(maxsize=1)
@@ -67,24 +68,27 @@ def _print(text: pd.Series) -> pd.DataFrame:
 def _cut(chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, text in zip(batch["rid"], batch["text"]):
+            for row in batch.to_dict("records"):
+                text = row.pop("text")
                 parts = [text[a : a + chars] for a in range(0, len(text), chars)]
-                yield pd.DataFrame({"rid": rid, "chunk_no": range(len(parts)), "chunk": parts})
+                frame = pd.DataFrame({"chunk_no": range(len(parts)), "chunk": parts}).assign(**row)
+                yield frame.astype({"doc_id": "Int64"})
 
     return run
 
 
 def _hash_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(r, k, *fingerprint(normalised(x))) for r, k, x in zip(batch["rid"], batch["chunk_no"], batch["chunk"])]
-        yield pd.DataFrame(rows, columns=["rid", "chunk_no", "h1", "h2", "n_bytes"])
+        made = pd.DataFrame([fingerprint(normalised(x)) for x in batch.pop("chunk")], columns=["h1", "h2", "n_bytes"], dtype="int64")
+        yield pd.concat([batch.astype({"doc_id": "Int64"}), made], axis=1)
 
 
 def _join_chunks(parts: pd.DataFrame) -> pd.DataFrame:
     whole = (0, 0, 0)
     for part in parts.sort_values("chunk_no")[["h1", "h2", "n_bytes"]].itertuples(index=False, name=None):
         whole = combine(whole, tuple(map(int, part)))
-    return pd.DataFrame([(int(parts["rid"].iloc[0]), *whole)], columns=["rid", "h1", "h2", "n_bytes"])
+    first = parts.iloc[:1].drop(columns=["rid", "chunk_no"]).astype({"doc_id": "Int64"})
+    return first.assign(h1=whole[0], h2=whole[1], n_bytes=whole[2])
 
 
 def fingerprints(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -98,10 +102,10 @@ def fingerprints(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     keep = ["doc_id", "n_chars", "text_hash", "text_sha256"]
     short = rows.filter(F.col("n_chars") <= chunk_chars).select(*keep, _print("text").alias("p")).select(*keep, "p.*")
     long = rows.filter(F.col("n_chars") > chunk_chars).withColumn("rid", F.monotonically_increasing_id())
-    chunks = long.select("rid", "text").mapInPandas(_cut(chunk_chars), "rid long, chunk_no int, chunk string")
-    hashed = chunks.repartition("rid", "chunk_no").mapInPandas(_hash_chunks, _CHUNK)
-    whole = hashed.groupBy("rid").applyInPandas(_join_chunks, "rid long, h1 long, h2 long, n_bytes long")
-    long = long.select("rid", *keep).join(whole, "rid").drop("rid")
+    cut = f"rid long, {_ROW}, chunk_no int"
+    chunks = long.select(*_OWN, "text").mapInPandas(_cut(chunk_chars), f"chunk_no int, chunk string, rid long, {_ROW}")
+    hashed = chunks.repartition("rid", "chunk_no").select(*_OWN, "chunk_no", "chunk").mapInPandas(_hash_chunks, f"{cut}, h1 long, h2 long, n_bytes long")
+    long = hashed.groupBy("rid").applyInPandas(_join_chunks, f"{_ROW}, h1 long, h2 long, n_bytes long")
     return short.unionByName(long).withColumn("rid", F.monotonically_increasing_id())
 
 

@@ -29,10 +29,11 @@ FREQUENT = 64
 FREQUENT_AT_MOST = 500_000
 #: Shingles that are counted, in hundredths of a prefix.
 PROBE = 130
-#: One in so many shingles is in a bitmap, which has at least half a bit for each of
-#: the set's shingles, within bounds.
-SAMPLED = 4
-LEAST_BITS, MOST_BITS = 64, 1 << 14
+#: Coarse bitmaps hold one in four shingles and half a bit or more for each of the set's,
+#: fine ones all and two bits or more: (one in, bits a shingle, most bits).
+COARSE = (4, 0.5, 1 << 14)
+FINE = (1, 2, 1 << 18)
+LEAST_BITS = 64
 #: Blocks of more members are compared by stars first.
 WHOLE_BLOCK = 8
 #: Members of a leaf and children of a node.
@@ -159,13 +160,15 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity:
     return np.concatenate([light, heavy[np.argsort(rank[np.searchsorted(frequent, heavy)])]])[:need]
 
 
-def signature(own: np.ndarray) -> np.ndarray:
+def signature(own: np.ndarray, kind: tuple = COARSE) -> np.ndarray:
     """The bitmap of a set's sampled shingles, as 64-bit words."""
+    one_in, per, most = kind
     size = LEAST_BITS
-    while 2 * size < len(own) and size < MOST_BITS:
+    while size < per * len(own) and size < most:
         size *= 2
+    sampled = own[(own >> 7) % one_in == 0] if one_in > 1 else own
     bits = np.zeros(size, bool)
-    bits[(own[(own >> 7) % SAMPLED == 0] >> 24) & (size - 1)] = True
+    bits[(sampled >> 24) & (size - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
@@ -267,12 +270,13 @@ class Block:
         """Least overlap of two similar sets of `n` shingles together."""
         return -(-self.similarity * n // (100 + self.similarity))
 
-    def close(self, a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> np.ndarray:
-        """Whether pairs of members can be similar."""
+    def beyond(self, a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> np.ndarray:
+        """How far the greatest possible overlap of pairs of members lies beyond the needed
+        one; under 0 where they can't be similar."""
         x, y = a.n[i], b.n[j]
         common = np.bitwise_count(a.bits[i] & b.bits[j]).sum(axis=1, dtype=np.int64)
         fits = 100 * np.minimum(x, y) >= self.similarity * np.maximum(x, y)
-        return fits & (common + np.minimum(a.slack[i], b.slack[j]) >= self._need(x + y))
+        return np.where(fits, common + np.minimum(a.slack[i], b.slack[j]) - self._need(x + y), -1)
 
     def _meet(self, a: Node, b: Node) -> bool:
         """Whether some pair of two nodes can be similar: sizes in proportion, groups not
@@ -284,7 +288,7 @@ class Block:
         common = int(np.bitwise_count(a.bits & b.bits).sum())
         return common + min(a.slack, b.slack) >= self._need(a.low + b.low)
 
-    def _traverse(self, a: Level, b: Level) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _traverse(self, a: Level, b: Level) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         todo = [(a.tree(), b.tree())] if a is not b else [(root := a.tree(), root)]
         while todo:
             x, y = todo.pop()
@@ -293,9 +297,10 @@ class Block:
             if not x.children and not y.children:
                 i, j = np.triu_indices(len(x.own), 1) if x is y else map(np.ravel, np.indices((len(x.own), len(y.own))))
                 i, j = x.own[i], y.own[j]
-                keep = (a.group[i] != b.group[j]) & self.close(a, i, b, j)
+                over = np.where(a.group[i] != b.group[j], self.beyond(a, i, b, j), -1)
+                keep = over >= 0
                 if keep.any():
-                    yield a.at[i[keep]], b.at[j[keep]]
+                    yield a.at[i[keep]], b.at[j[keep]], over[keep]
             elif x is y:
                 todo += [(u, v) for k, u in enumerate(x.children) for v in x.children[k:]]
             elif x.children and (not y.children or len(x.own) >= len(y.own)):
@@ -303,29 +308,30 @@ class Block:
             else:
                 todo += [(x, v) for v in y.children]
 
-    def dual(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members that can be similar and are of different groups."""
+    def dual(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of members that can be similar and are of different groups, and how far
+        beyond the needed overlap each may be."""
         for own, above in self.levels:
             yield from self._traverse(own, own)
             if above is not None:
                 yield from self._traverse(own, above)
 
     def stars(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the first member with the others that can be similar, of the first that
-        is left with the rest, and so on, and of the first with larger bitmaps: no more
-        pairs than members."""
+        """Pairs of the most typical member with the others that can be similar, of the most
+        typical that is left with the rest, and so on: no more pairs than members."""
         for own, above in self.levels:
-            left = np.arange(len(own.at))
-            if above is not None:
-                j = np.arange(len(above.at))
-                i = np.zeros(len(j), np.int64)
-                keep = self.close(own, i, above, j)
-                yield own.at[i[keep]], above.at[j[keep]]
-            while len(left) > 1:
-                rest = left[1:]
-                i = np.full(len(rest), left[0])
-                keep = self.close(own, i, own, rest)
-                yield own.at[i[keep]], own.at[rest[keep]]
+            left, first = np.arange(len(own.at)), True
+            while len(left) > 1 or (first and above is not None):
+                bits = np.unpackbits(own.bits[left].view(np.uint8), axis=1)
+                usual = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
+                centre = left[np.bitwise_count(own.bits[left] ^ usual).sum(axis=1, dtype=np.int64).argmin()]
+                if first and above is not None:
+                    j = np.arange(len(above.at))
+                    keep = self.beyond(own, np.full(len(j), centre), above, j) >= 0
+                    yield np.full(int(keep.sum()), own.at[centre]), above.at[j[keep]]
+                rest, first = left[left != centre], False
+                keep = self.beyond(own, np.full(len(rest), centre), own, rest) >= 0
+                yield np.full(int(keep.sum()), own.at[centre]), own.at[rest[keep]]
                 left = rest[~keep]
 
 
@@ -364,7 +370,7 @@ def _first_round(similarity: int):
             pairs, members = [], []
             for shingle, k, block in _each_block(frame, similarity, met):
                 large = len(k) > WHOLE_BLOCK
-                for i, j in block.stars() if large else block.dual():
+                for i, j, *_ in block.stars() if large else block.dual():
                     if len(i):
                         pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
                 if large:
@@ -379,15 +385,25 @@ def _first_round(similarity: int):
     return run
 
 
-def _second_round(similarity: int):
-    """Pairs of a block's dual traversal between groups that are not yet connected."""
+def _later_round(similarity: int, nearest: bool):
+    """Pairs of a block's dual traversal between groups that are not yet connected; for
+    each member the likeliest one only, or all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for frame in _blocks(batches):
             pairs = []
             for _, k, block in _each_block(frame, similarity, met):
-                pairs += [np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1) for i, j in block.dual()]
+                got = list(block.dual())
+                if not got:
+                    continue
+                i, j, over = map(np.concatenate, zip(*got))
+                if nearest:
+                    ends, other, over = np.r_[i, j], np.r_[j, i], np.r_[over, over]
+                    order = np.lexsort((k[other], -over, ends))
+                    first = np.r_[True, ends[order][1:] != ends[order][:-1]]
+                    i, j = ends[order][first], other[order][first]
+                pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
             if pairs:
                 yield pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"])
 
@@ -397,7 +413,7 @@ def _second_round(similarity: int):
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
     """A bit table of hashed `ids` (long) of at most `BLOOM_BITS` bits: a member always
     passes, others seldom; where the table is full more pass, which costs time only."""
-    bits = 1 << 12
+    ids, bits = ids.filter(F.col(column).isNotNull()), 1 << 12
     while bits < min(BLOOM_BITS, 16 * ids.count()):
         bits *= 2
     at = F.pmod(F.col(column), F.lit(bits - 1))  # an odd number, so that regular ids spread
@@ -414,17 +430,19 @@ def _passes(table: np.ndarray, ids: pd.Series) -> np.ndarray:
     return table[at] | ids.isna().to_numpy()
 
 
-def _sets_of(seed: int, words: int, shared):
+def _chosen(seed: int, words: int, shared, form):
+    """(k, form of the set) of the documents that may be chosen."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             met, out = set(), []
             for text in batch["text"][_passes(shared.value, batch["doc_id"])]:
                 own = shingles(text, words)
                 k = set_key(own, seed)[0]
-                if k not in met:
+                if k not in met and len(own):
                     met.add(k)
-                    out.append((k, own.tobytes()))
-            yield pd.DataFrame(out, columns=["k", "own"])
+                    out.append((k, len(own), form(own).tobytes()))
+            yield pd.DataFrame(out, columns=["k", "n", "form"])
 
     return run
 
@@ -443,21 +461,28 @@ def _verify(similarity: int):
     return run
 
 
-def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, how: tuple[int, int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, counted exactly.
+def _forms(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple, form) -> DataFrame:
+    """(k, n, form of the set) of the classes `keys`, made again from a document of each.
 
-    The sets are made again for a document of each class in `pairs`, which a bit table of
-    bounded size finds, so that no other text is moved.
+    A bit table of bounded size finds these documents, so that no other text is moved.
     """
-    seed, words, similarity = how
-    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    seed, words, _ = how
     one_of = sets.join(keys, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    chosen = bloom(stage(one_of, "chosen"), "doc_id")
-    shared = rows.sparkSession.sparkContext.broadcast(chosen)
-    own = rows.mapInPandas(_sets_of(seed, words, shared), "k long, own binary").join(keys, "k", "left_semi")
-    own = stage(own.dropDuplicates(["k"]), "own")
-    xs, ys = own.select(F.col("k").alias("a"), F.col("own").alias("x")), own.select(F.col("k").alias("b"), F.col("own").alias("y"))
-    return stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(similarity), "a long, b long"), "links")
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(stage(one_of, "chosen"), "doc_id"))
+    made = rows.mapInPandas(_chosen(seed, words, shared, form), "k long, n int, form binary")
+    return made.join(keys, "k", "left_semi").dropDuplicates(["k"])
+
+
+def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, how: tuple) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, counted exactly."""
+    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    own = stage(_forms(rows, sets, keys, how, np.asarray), "own")
+    xs, ys = own.select(F.col("k").alias("a"), F.col("form").alias("x")), own.select(F.col("k").alias("b"), F.col("form").alias("y"))
+    return stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(how[2]), "a long, b long"), "links")
+
+
+def _fine(own: np.ndarray) -> np.ndarray:
+    return signature(own, FINE)
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -471,9 +496,9 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
        shingles of one class only fall away before bitmaps are joined to the rest.
     4. A first round runs the dual traversal of each small block's signature tree and
        takes stars of large blocks; the exact sets decide.
-    5. A second round runs the dual traversal of large blocks between members that are
-       not connected yet.  Pairs within a component need no link, since they change
-       no component.
+    5. Two more rounds run the dual traversal of large blocks, under finer bitmaps, between
+       members that are not connected yet: first each member's likeliest pair, then all.
+       Pairs within a component need no link, since they change no component.
     Null or empty text has an empty set and links with nothing.  Null doc_id: it takes
     part and is passed over in the minimum.  Repeated rows are one class.
     """
@@ -496,14 +521,19 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
     how = (seed, words, similarity)
     links = _links(rows, sets, pairs, how)
     roots = stage(components(links), "roots")
-    members = first.filter("shingle is not null").drop("other").join(roots.withColumnRenamed("node", "k"), "k", "left")
-    members = members.withColumn("root", F.coalesce("root", "k"))
-    open_ = members.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
-    again = by_shingle(members.join(open_, "shingle").join(signatures, "k"))
-    more = stage(again.mapInPandas(_second_round(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_links(rows, sets, more, how))
-        roots = stage(components(links), "roots")
+    members, tried = first.filter("shingle is not null").drop("other"), pairs
+    for nearest in (True, False):
+        rooted = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        open_ = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+        again = stage(rooted.join(open_, "shingle"), "open")
+        if again.isEmpty():
+            break
+        fine = _forms(rows, sets, again.select("k").distinct(), how, _fine).withColumnRenamed("form", "bits")
+        found = by_shingle(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long")
+        more = stage(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links, tried = links.unionByName(_links(rows, sets, more, how)), tried.unionByName(more)
+            roots = stage(components(links), "roots")
     whole = sets.select("doc_id", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left")
     whole = whole.withColumn("root", F.coalesce("root", "k"))
     least = whole.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
