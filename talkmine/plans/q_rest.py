@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import REJECT_KINDS
 from ..functions import clock, text
-from ..operators import quality, speakers
+from ..operators import correction, quality, speakers, windows
 from ..sources import files, replies
 from . import q_events, views
 from .q_media import _TOK, _tokens
@@ -163,7 +163,40 @@ def src_reject_kinds(spark, d):
     return views.reviews(spark, d).filter(F.col("reject_kind").isin(*REJECT_KINDS)).groupBy("reject_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def src_structure(spark, d):
+    s = views.stories(spark, d)
+    item = F.struct("story_id", "chapter_id", clock.line_clock(F.col("start")).alias("start_time"), F.when(F.col("story_id") != "s3", clock.line_clock(F.col("end"))).alias("end_time"), F.concat(F.lit("t "), "story_id").alias("name"))
+    made = s.groupBy("rec_id").agg(F.to_json(F.struct(F.collect_list(item).alias("stories"))).alias("reply"))
+    return replies.structure(made)[1]
+
+
+def sel_speaker_windows(spark, d):
+    return windows.speaker_windows(views.sentences(spark, d))
+
+
+def ag_project_list(spark, d):
+    c = q_events._quantity("auto")(spark, d)
+    picks = c.filter("picked").groupBy("rec_id").agg(F.collect_list(F.struct("recommended")).alias("highlights"))
+    chapters = views.chapters(spark, d).groupBy("rec_id").agg(F.collect_list(F.struct("chapter_id", F.array("start", "end").alias("stories"))).alias("chapters"))
+    key = F.concat(F.lit("p"), "rec_id")
+    body = F.struct(F.when(F.col("rec_id") % 6 != 0, key).otherwise("other").alias("project_id"), F.lit("done").alias("state"), key.alias("updated_at"), F.struct("highlights", F.struct("chapters").alias("structure")).alias("analysis"))
+    made = chapters.join(picks, "rec_id", "left").select(key.alias("key"), F.to_json(body).alias("content"))
+    return windows.projects(made)
+
+
+def ag_dictionary_stats(spark, d):
+    p = views.table(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey") % 200).alias("alias"), F.col("p_brand").alias("canonical")).distinct()
+    owners = p.groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
+    return owners.agg(F.count(F.lit(1)).alias("aliases"), F.count_if(F.col("n") > 1).alias("ambiguous"))
+
+
+def cor_context(spark, d):
+    docs = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("游戏主播 "), F.coalesce("text", F.lit(""))).alias("text"))
+    return correction.document_profile(docs).groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("strength"), 6).alias("strength"))
+
+
 QUERIES = {f.__name__: f for f in (
+    src_structure, sel_speaker_windows, ag_project_list, ag_dictionary_stats, cor_context,
     src_user_words, src_dictionary, src_judgements, src_misschecks, src_simple_highlights, src_provider_b, src_probe_logs, snk_legacy_lines, snk_requests, snk_results, fn_clip_span,
     fn_norm_rec_time, fn_norm_text, flt_view, jn_story_lookup, jn_audio_evidence, ag_doc_counts, dq_audio_doc, wn_progress_monotone, jn_pause_event, cor_merge_lexicon, ag_timing, src_reject_kinds,
 )}
@@ -174,6 +207,9 @@ _MM = lambda c: f"printf('%02d:%02d', ({c}) // 60, ({c}) % 60)"
 _LINE = "trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'))"
 _PROBE = "SELECT event_id AS rec_id, event_id % 4 AS k FROM events"
 ORACLE = {
+    "src_structure": views.with_views("stories", body=""" SELECT rec_id, chapter_id || '-' || story_id AS story_id, chapter_id, 't ' || story_id AS title, start, "end" FROM stories WHERE story_id <> 's3'"""),
+    "ag_project_list": "SELECT 'p' || rec_id AS key, 'done' AS state, 'p' || rec_id AS updated_at, 4 AS chapters, 8 AS stories, recommended FROM (SELECT rec_id, count(*) FILTER (recommended AND picked) AS recommended FROM (" + q_events._sql_quantity("auto") + ") GROUP BY 1) WHERE rec_id % 6 <> 0",
+    "ag_dictionary_stats": " SELECT count(*) AS aliases, count(*) FILTER (n > 1) AS ambiguous FROM (SELECT p_partkey % 200 AS a, count(DISTINCT p_brand) AS n FROM part GROUP BY 1)",
     "src_user_words": " SELECT trim(p_name) AS word, count(*) AS n FROM part WHERE p_partkey % 5 NOT IN (0, 1) GROUP BY 1",
     "src_dictionary": " SELECT 'w' || p_partkey AS wrong, 'r' || (p_partkey % 10) AS right FROM part WHERE p_partkey % 7 <> 0",
     "src_judgements": _cand(" SELECT rec_id, cand_no AS cluster_no, CASE WHEN cand_no % 3 <> 0 THEN cand_no % 2 = 0 ELSE TRUE END AS same_event, 's ' || cand_no AS event_summary, CASE WHEN cand_no % 4 = 0 THEN 'left' ELSE '' END AS expand_direction, CAST(least(1, cand_no % 5) AS DOUBLE) AS confidence FROM candidates WHERE cand_no % 11 <> 0"),

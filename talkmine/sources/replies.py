@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DIMENSIONS, NEGATIVE_RULES, REJECT_KINDS
-from ..functions.clock import clamp
+from ..functions.clock import clamp, to_seconds
 
 #: Other names of a sub-score.
 ALIASES = {"persona": ("persona", "personality", "personality_score", "persona_score")}
@@ -150,3 +150,18 @@ def utterance_turns(replies: DataFrame) -> DataFrame:
 def sentence_turns(replies: DataFrame) -> DataFrame:
     lists = ("$.Result.Sentences", "$.Result", "$.Sentences")
     return provider_turns(replies, lists, {"start": ("BeginTime", "begin_time"), "end": ("EndTime", "end_time"), "text": ("Text", "text"), "speaker": ("SpeakerId", "speaker_id", "PersonId")})
+
+
+def structure(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chapters, stories) with valid times from (rec_id, reply); a story's id is made unique
+    by its chapter's."""
+    def rows(field: str) -> DataFrame:
+        each = _items(documents, field)
+        start, end = to_seconds(_text("item", "start_time"), digits=True), to_seconds(_text("item", "end_time"), digits=True)
+        return each.withColumns({"start": start, "end": end}).filter("start is not null and end is not null")
+
+    title = F.coalesce(F.nullif(_text("item", "story_title"), F.lit("")), _text("item", "name"))
+    chapters = rows("chapters").select("rec_id", _text("item", "chapter_id", "unknown").alias("chapter_id"), _text("item", "chapter_title").alias("title"), "start", "end")
+    stories = rows("stories").withColumn("chapter_id", _text("item", "chapter_id", "unknown"))
+    story_id = F.concat_ws("-", F.col("chapter_id"), _text("item", "story_id", "unknown"))
+    return chapters, stories.select("rec_id", story_id.alias("story_id"), "chapter_id", title.alias("title"), "start", "end")

@@ -206,3 +206,49 @@ def test_feedback_snapshot_is_carried(spark):
         assert got == {1: ("不喜欢", '{"a":1}'), 2: ("其他", None)}
     s = feedback.stats(feedback.latest(df)).first()
     assert (s["total"], s["liked"], s["disliked"]) == (2, 0, 2)
+
+
+def windows_one_by_one(pool):
+    """Every window of the sorted sentences told anew."""
+    found = []
+    for i in range(len(pool)):
+        for j in range(i, len(pool)):
+            span = pool[j][1] - pool[i][0]
+            if span > 90_000:
+                break
+            win = pool[i : j + 1]
+            voiced = {}
+            for a, b, s, _ in win:
+                voiced[s] = voiced.get(s, 0) + b - a
+            runs = []
+            for a, b, s, _ in win:
+                if runs and runs[-1][2] == s:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b, s])
+            total = sum(voiced.values())
+            if span < 30_000 or len(voiced) != 2 or len(runs) < 3 or any("<|BGM|>" in w[3] for w in win):
+                continue
+            if min(voiced.values()) < 4000 or min(voiced.values()) / total < 0.15:
+                continue
+            least = min(b - a for a, b, _ in runs) / 1000
+            found.append((round(least + 2.0 * min(6, len(runs) - 1) + 10.0 * total / span, 2), win[0][0], win[-1][1], len(runs) - 1))
+    return found
+
+
+def test_speaker_windows(spark):
+    from talkmine.operators import windows
+
+    rnd, rows, at = random.Random(8), [], 0
+    for k in range(120):
+        length = rnd.randint(1500, 9000)
+        rows.append((1, k, at, at + length, rnd.choice("aab" if k < 60 else "bcc"), "<|BGM|>" if k % 37 == 5 else "t"))
+        at += length + rnd.randint(0, 2500)
+    df = spark.createDataFrame(rows, "rec_id long, line_no long, start long, end long, spk string, text string")
+    made = windows.speaker_windows(df).orderBy("place").collect()
+    want = windows_one_by_one([(a, b, s, t) for _, _, a, b, s, t in rows])
+    kept = []
+    for w in sorted(want, key=lambda c: (-c[0], abs(c[2] - c[1] - 60_000), c[1], c[2])):
+        if all(min(w[2], k[2]) - max(w[1], k[1]) <= 0.4 * (w[2] - w[1]) for k in kept) and len(kept) < 5:
+            kept.append(w)
+    assert [(r["score"], r["start_ms"], r["end_ms"], r["switches"]) for r in made] == kept
