@@ -30,9 +30,10 @@ FREQUENT_AT_MOST = 500_000
 #: Shingles that are counted, in hundredths of a prefix.
 PROBE = 130
 #: Coarse bitmaps hold one in four shingles and half a bit or more for each of the set's,
-#: fine ones all and two bits or more: (one in, bits a shingle, most bits).
-COARSE = (4, 0.5, 1 << 14)
-FINE = (1, 2, 1 << 18)
+#: fine ones all and two bits or more, small sets up to eight: (one in, bits a shingle,
+#: bits a shingle while the bitmap is of at most so many bits, most bits).
+COARSE = (4, 0.5, 0.5, 0, 1 << 14)
+FINE = (1, 2, 8, 1 << 12, 1 << 18)
 LEAST_BITS = 64
 #: Blocks of more members are compared by stars first.
 WHOLE_BLOCK = 8
@@ -162,9 +163,9 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity:
 
 def signature(own: np.ndarray, kind: tuple = COARSE) -> np.ndarray:
     """The bitmap of a set's sampled shingles, as 64-bit words."""
-    one_in, per, most = kind
-    size = LEAST_BITS
-    while size < per * len(own) and size < most:
+    one_in, per, per_small, small, most = kind
+    size, wanted = LEAST_BITS, max(per * len(own), min(per_small * len(own), small))
+    while size < wanted and size < most:
         size *= 2
     sampled = own[(own >> 7) % one_in == 0] if one_in > 1 else own
     bits = np.zeros(size, bool)
@@ -355,7 +356,12 @@ def _each_block(frame: pd.DataFrame, similarity: int, met: set[int]):
     group = frame["root"].to_numpy() if "root" in frame else np.arange(len(frame))
     for a, b in zip(cuts[:-1], cuts[1:]):
         x = slice(a, b)
-        if b - a > 1 and (own := hash(k[x].tobytes())) not in met:  # the same members give the same pairs
+        if b - a < 2 or (b - a == 2 and 100 * min(n[a], n[a + 1]) < similarity * max(n[a], n[a + 1])):
+            continue
+        sizes = np.sort(n[x])
+        if not (100 * sizes[:-1] >= similarity * sizes[1:]).any():
+            continue
+        if (own := hash(k[x].tobytes())) not in met:  # the same members give the same pairs
             met.add(own)
             yield s[a], k[x], Block(n[x], list(bits[x]), group[x], similarity)
 
@@ -386,14 +392,17 @@ def _first_round(similarity: int):
 
 
 def _later_round(similarity: int, nearest: bool):
-    """Pairs of a block's dual traversal between groups that are not yet connected; for
-    each member the likeliest one only, or all."""
+    """Pairs (a, b) of a block's dual traversal between groups that are not yet connected.
+
+    `nearest`: for each member the likeliest one only, and the shingle of each block that
+    has more (a and b null); else all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
         for frame in _blocks(batches):
-            pairs = []
-            for _, k, block in _each_block(frame, similarity, met):
+            pairs, more = [], []
+            for shingle, k, block in _each_block(frame, similarity, met):
                 got = list(block.dual())
                 if not got:
                     continue
@@ -403,9 +412,14 @@ def _later_round(similarity: int, nearest: bool):
                     order = np.lexsort((k[other], -over, ends))
                     first = np.r_[True, ends[order][1:] != ends[order][:-1]]
                     i, j = ends[order][first], other[order][first]
+                    more.append(shingle)
                 pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
             if pairs:
-                yield pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"])
+                both = np.unique(np.concatenate(pairs), axis=0)
+                n, m = len(both), len(more)
+                yield pd.DataFrame({
+                    "a": pd.array([*both[:, 0], *[None] * m], "Int64"), "b": pd.array([*both[:, 1], *[None] * m], "Int64"), "shingle": pd.array([*[None] * n, *more], "Int64"),
+                })
 
     return run
 
@@ -521,16 +535,20 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
     how = (seed, words, similarity)
     links = _links(rows, sets, pairs, how)
     roots = stage(components(links), "roots")
-    members, tried = first.filter("shingle is not null").drop("other"), pairs
+    members, tried, fine = first.filter("shingle is not null").drop("other"), pairs, None
     for nearest in (True, False):
         rooted = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
         open_ = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
         again = stage(rooted.join(open_, "shingle"), "open")
         if again.isEmpty():
             break
-        fine = _forms(rows, sets, again.select("k").distinct(), how, _fine).withColumnRenamed("form", "bits")
-        found = by_shingle(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long")
-        more = stage(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fine is None:
+            fine = stage(_forms(rows, sets, again.select("k").distinct(), how, _fine).withColumnRenamed("form", "bits"), "fine")
+        found = by_shingle(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long, shingle long")
+        found = stage(found, "found")
+        more = stage(found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        # blocks without any likely pair have none later
+        members = members.join(found.filter("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
         if not more.isEmpty():
             links, tried = links.unionByName(_links(rows, sets, more, how)), tried.unionByName(more)
             roots = stage(components(links), "roots")
