@@ -146,7 +146,8 @@ def prefix_length(n: int, similarity: int) -> int:
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: int) -> np.ndarray:
-    """The first shingles of a set: infrequent ones by hash, then frequent ones by rank."""
+    """The first shingles of a set: infrequent ones by hash, then frequent ones by rank and
+    those of equal rank by hash, so that all sets share one order."""
     need, found = prefix_length(len(own), similarity), []
     if not len(frequent):
         return own[:need]
@@ -158,7 +159,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity:
             return np.concatenate(found)[:need]
     light = np.concatenate(found)
     heavy = np.setdiff1d(own, light, assume_unique=True)
-    return np.concatenate([light, heavy[np.argsort(rank[np.searchsorted(frequent, heavy)])]])[:need]
+    return np.concatenate([light, heavy[np.lexsort((heavy, rank[np.searchsorted(frequent, heavy)]))]])[:need]
 
 
 def signature(own: np.ndarray, kind: tuple = COARSE) -> np.ndarray:

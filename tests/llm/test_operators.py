@@ -197,6 +197,22 @@ def test_jaccard_join(spark, seed, words, similarity):
     assert made == brute_components(texts, words, similarity)
 
 
+@pytest.mark.parametrize("n", [60, 256, 300, 400, 1000, 3000])
+def test_prefixes_follow_one_order_where_counts_tie(n):
+    rnd = np.random.default_rng(n)
+    for ranks in ([300], [300, 301], [64, 300]):
+        for _ in range(20):
+            frequent = np.unique(rnd.integers(-(2**62), 2**62, n + 1))
+            rank = rnd.choice(ranks, len(frequent))
+            rank[len(rank) // 2] = ranks[0]
+            sets = [frequent, np.delete(frequent, len(rank) // 2), np.delete(frequent, rnd.integers(len(frequent)))]
+            firsts = [jaccard_join.prefix(own, frequent, rank, 90) for own in sets]
+            for own, first in zip(sets, firsts):
+                order = sorted(own.tolist(), key=lambda h: (rank[np.searchsorted(frequent, h)], h))
+                assert first.tolist() == order[: jaccard_join.prefix_length(len(own), 90)]
+            assert len(np.intersect1d(firsts[0], firsts[1])) and len(np.intersect1d(firsts[1], firsts[2]))
+
+
 def test_signatures_never_hide_a_link():
     rnd = np.random.default_rng(6)
     for kind in (jaccard_join.COARSE, jaccard_join.FINE):
