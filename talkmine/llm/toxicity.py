@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import texts
+from .staging import stage, texts
 
-#: Labelled documents of each class that the models are fitted on at most.
+#: Labelled documents of each class from which the calibration is drawn at most; the
+#: counts of n-grams have no bound.
 TRAIN_DOCS = 8_000
-#: One in so many of them calibrates the score and is kept out of the counts.
+#: One in so many labelled documents may calibrate the score and is kept out of the counts.
 CALIBRATION = 5
 #: Letters of an n-gram; the models see words with marked ends.
 ORDER = 6
@@ -82,32 +83,17 @@ class Ratio:
         return Ratio, (self.seen, self.unseen)
 
 
-def fit_ratio(counts: Iterable[tuple[str, int, int]]) -> Ratio:
-    """From (n-gram, count in ordinary, count in toxic documents)."""
+def fit_ratio(counts: Iterable[tuple[str, int, int]], shared: dict[str, tuple[int, int, int]], letters: int) -> Ratio:
+    """From (n-gram, count in ordinary, count in toxic documents) and, of the endings of these
+    n-grams, (continuation count, sum and number of those of its context)."""
     counts = list(counts)
-    shared: list[dict[str, int]] = [defaultdict(int) for _ in range(ORDER)]  # continuation counts by length less one
-    for g in {g[1:] for g, _, _ in counts}:
-        shared[ORDER - 2][g] = 0
-    for g, _, _ in counts:
-        shared[ORDER - 2][g[1:]] += 1
-    for n in range(ORDER - 2, 0, -1):
-        for g in shared[n]:
-            shared[n - 1][g[1:]] += 1
-    totals: list[dict[str, list[int]]] = [defaultdict(lambda: [0, 0]) for _ in range(ORDER)]
-    for n in range(ORDER - 1):
-        for g, k in shared[n].items():
-            t = totals[n][g[:-1]]
-            t[0] += k
-            t[1] += 1
-    letters = len(shared[0]) + 1
 
     def backoff(gram: str) -> float:
         """Shared probability of the last letter after the ones before."""
         p = 1 / letters
-        for n in range(len(gram)):
-            g = gram[len(gram) - n - 1 :]
-            if t := totals[n].get(g[:-1]):
-                p = (max(shared[n].get(g, 0) - DISCOUNT, 0.0) + DISCOUNT * t[1] * p) / t[0]
+        for n in range(1, len(gram) + 1):
+            own, total, types = shared[gram[-n:]]
+            p = (max(own - DISCOUNT, 0.0) + DISCOUNT * types * p) / total
         return p
 
     contexts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
@@ -145,13 +131,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
 
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    words: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
             for w in WORDS.findall(text.lower()):
                 words[w][toxic] += 1
     found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for w, (a, b) in words.items():
+    for w, (a, b, _) in words.items():
         for g in grams(w):
             c = found[g]
             c[0] += a
@@ -159,6 +145,20 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(g, a, b) for g, (a, b) in found.items()], columns=["gram", "ordinary", "toxic"])
 
 
+def _shared(counts: DataFrame) -> tuple[dict[str, tuple[int, int, int]], int]:
+    """Continuation counts over all n-grams, made by Spark; the driver gets those of the
+    endings of labelled n-grams, and the number of letters and one."""
+    own, labelled, found, letters = counts.select("gram"), counts.filter("ordinary + toxic > 0"), {}, 1
+    for n in range(ORDER - 1, 0, -1):
+        own = stage(own.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "endings")
+        context = F.expr(f"substring(gram, 1, {n - 1})").alias("context")
+        totals = own.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        needed = labelled.select(F.expr(f"substring(gram, {ORDER - n + 1})").alias("gram")).distinct()
+        rows = own.join(needed, "gram", "left_semi").select("gram", "n", context).join(totals, "context").select("gram", "n", "total", "types").toPandas()
+        found |= {g: x for g, *x in rows.itertuples(index=False)}
+    return found, letters + own.count()
+
+
 class Model:
     """A ratio and its calibration; `score` is a column function on texts."""
 
@@ -181,9 +181,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on labelled rows outside the held-out third, at most `train_docs` of each
-    class, those of least hash.  Counts of n-grams are made by Spark; the driver gets
-    those of the bounded sample.  Rows without label or text teach nothing.
+    """Count on all labelled rows outside the held-out third, less one in `CALIBRATION`; the
+    shared counts take the texts of all rows.  Those left out calibrate, of at most `train_docs`
+    labelled rows of each class, those of least hash.  Counts are made by Spark; the driver gets
+    those of the distinct n-grams of labelled rows.  Rows without label or text teach no class.
     """
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").filter(f"not ({HELD_OUT})")
@@ -193,12 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         some = marks.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(CALIBRATION))
-    train = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("fold", fold)
-    parts = train.filter("fold <> 0").select("text", "toxic").mapInPandas(_count_grams, "gram string, ordinary long, toxic long")
-    counts = parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    ratio = fit_ratio(sorted(zip(*counts.toPandas()[["gram", "ordinary", "toxic"]].to_dict("list").values())))
+    every = texts(docs).join(marks.filter(fold != 0), "doc_id", "left").select("text", F.coalesce("toxic", F.lit(2)).alias("toxic"))
+    parts = every.mapInPandas(_count_grams, "gram string, ordinary long, toxic long")
+    counts = stage(parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "grams")
+    taught = counts.filter("ordinary + toxic > 0").toPandas()
+    ratio = fit_ratio(sorted(zip(*taught[["gram", "ordinary", "toxic"]].to_dict("list").values())), *_shared(counts))
     model = Model(spark, ratio, 1.0, 0.0)
-    own = train.filter("fold = 0").select(model.raw()("text").alias("x"), "toxic").toPandas()
+    own = texts(docs).join(F.broadcast(chosen.filter(fold == 0)), "doc_id").select(model.raw()("text").alias("x"), "toxic").toPandas()
     model.slope, model.intercept = fit_logistic(own["x"].to_numpy(), own["toxic"].to_numpy())
     return model
 

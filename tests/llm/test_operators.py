@@ -345,6 +345,31 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_toxicity_counts_all_labelled_rows_and_shares_all_texts(spark):
+    texts = [" ".join(t.split()[:6]) for t in prose(80, 13)]
+    marks = labels(spark, 60, toxic_of=lambda k: k % 2)  # the last 20 rows have no label
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(toxicity.CALIBRATION))
+    taught = {r["doc_id"]: r["toxic"] for r in marks.filter(f"not ({toxicity.HELD_OUT})").filter(fold != 0).collect()}
+    counts, every = {}, set()
+    for k, text in enumerate(texts):
+        for w in toxicity.WORDS.findall(text.lower()):
+            for g in toxicity.grams(w):
+                every.add(g)
+                if k in taught:
+                    counts.setdefault(g, [0, 0])[taught[k]] += 1
+    shared, level = {}, every
+    for n in range(toxicity.ORDER - 1, 0, -1):
+        ends = [g[1:] for g in level]
+        own = {g: ends.count(g) for g in set(ends)}
+        for g in own:
+            after = [x for h, x in own.items() if h[:-1] == g[:-1]]
+            shared[g] = (own[g], sum(after), len(after))
+        level = set(own)
+    want = toxicity.fit_ratio([(g, *c) for g, c in counts.items()], shared, len(level) + 1)
+    made = toxicity.fit(table(spark, texts), marks, train_docs=4).shared.value
+    assert made.seen == pytest.approx(want.seen) and made.unseen == pytest.approx(want.unseen)
+
+
 def test_quality_on_held_out_rows(spark):
     texts = [t.upper().replace(" ", "!! ") if k % 5 == 0 else t for k, t in enumerate(prose(600, 13))]
     made = {r["doc_id"]: r["score"] for r in quality.score(table(spark, texts), labels(spark, 600, quality_of=lambda k: int(k % 5 != 0)), pairs=4000).collect()}
