@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ _BLOCKS = T.StructType([
     T.StructField("doc_at", T.ArrayType(T.LongType())),
     T.StructField("doc_lengths", T.ArrayType(T.LongType())),
 ])
-_PARTS = "shard int, doc_no long, doc_id long, start long, n_tokens long, part_at long, part_ids long, crc long"
+_PARTS = "shard int, doc_no long, doc_id long, start long, n_tokens long, part_ids long, crc long"
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte", level: int = LEVEL) -> bytes:
@@ -86,29 +88,33 @@ def _blocks(path: str, end_id: int, block: int, kind: str, level: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed, end = tokens.encoder(path).packed, end_id.to_bytes(4, "little")
         shard = TaskContext.get().partitionId()
-        held, chunk_no, total, doc_no = bytearray(), 0, 0, 0
+        held, chunk_no, total, doc_no = [], 0, 0, 0
         starts: list[tuple] = []
 
-        def row(n: int) -> tuple:
+        def row(data: bytes, at: int, n: int) -> tuple:
             first = chunk_no * block
-            ids, at = np.frombuffer(bytes(held[: 4 * n]), "<u4"), [s for s in starts if s[2] < first + n]
-            del held[: 4 * n], starts[: len(at)]
-            return (shard, chunk_no, first, n, to_planes(ids, kind, level), *([s[i] for s in at] for i in range(4)))
+            begun = bisect_left(starts, first + n, key=lambda x: x[2])
+            own = starts[:begun]
+            del starts[:begun]
+            return (shard, chunk_no, first, n, to_planes(np.frombuffer(data, "<u4", n, 4 * at), kind, level), *([x[i] for x in own] for i in range(4)))
 
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids = packed(text) + end
                 starts.append((None if pd.isna(doc) else int(doc), doc_no, total, len(ids) // 4))
-                held += ids
+                held.append(ids)
                 total, doc_no = total + len(ids) // 4, doc_no + 1
-                while len(held) >= 4 * block:
-                    out.append(row(block))
-                    chunk_no += 1
+                if total - chunk_no * block >= block:
+                    data, at = b"".join(held), 0
+                    while len(data) - 4 * at >= 4 * block:
+                        out.append(row(data, at, block))
+                        chunk_no, at = chunk_no + 1, at + block
+                    held = [data[4 * at :]]
             if out:
                 yield pd.DataFrame(out, columns=_BLOCKS.fieldNames())
-        if held:
-            yield pd.DataFrame([row(len(held) // 4)], columns=_BLOCKS.fieldNames())
+        if data := b"".join(held):
+            yield pd.DataFrame([row(data, 0, len(data) // 4)], columns=_BLOCKS.fieldNames())
 
     return run
 
@@ -125,62 +131,77 @@ def write_ids(
 ) -> None:
     """Write the ids of every row of `docs`, each with `end_id`, in ascending doc_id order.
 
-    The texts are range-partitioned and sorted by doc_id (null first, ties by text);
-    each partition is a shard and is tokenised as a stream, so a task holds one block.
-    Spark's Parquet writer commits the files, a row for each block: its planes and,
-    as the index, its place in the shard and the documents that begin in it.
+    The texts are range-partitioned and sorted by doc_id (null first, ties by a hash of
+    the text and the text); each partition is a shard and is tokenised as a stream, so a
+    task holds one block and one document.  Rows that repeat a doc_id, or have none, are
+    dealt by the hash.  Spark's Parquet writer commits the files, a row for each block: its
+    planes and, as the index, its place in the shard and the documents that begin in it.
+
+    Null or empty text: the end id alone.  Repeated rows: each has its ids.  Empty
+    table: no blocks.  Columns other than doc_id and text, whatever their names, are not read.
     """
     path = path or tokens.default_path()
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = texts(docs)
-    ranged = rows.repartitionByRange(shards, order[0]) if shards else rows.repartitionByRange(order[0])
-    ranged.sortWithinPartitions(*order).mapInPandas(_blocks(path, end_id, block, kind, level), _BLOCKS).write.parquet(to)
+    ranged = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order, "text").mapInPandas(_blocks(path, end_id, block, kind, level), _BLOCKS).write.parquet(to)
+
+
+#: The polynomial of crc32, reversed.
+_CRC = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over bits modulo the one of crc32; bit 31 is x to the 0."""
+    product, bit = 0, 1 << 31
+    while a and bit:
+        if a & bit:
+            product, a = product ^ b, a ^ bit
+        b = b >> 1 ^ _CRC if b & 1 else b >> 1
+        bit >>= 1
+    return product
+
+
+@lru_cache(maxsize=1 << 16)
+def _shift(n_bytes: int) -> int:
+    """x to the 8 n modulo the polynomial."""
+    found, square = 1 << 31, 1 << 23
+    while n_bytes:
+        found = _times(found, square) if n_bytes & 1 else found
+        square, n_bytes = _times(square, square), n_bytes >> 1
+    return found
+
+
+def moved_crc(crc: int, after: int) -> int:
+    """What a part with this crc32 adds to the crc32 of a whole that has `after` bytes more;
+    the whole's is the exclusive or of its parts'."""
+    return _times(_shift(after), crc) if after else crc
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            raw = from_planes(r.planes).tobytes()
+            raw, end = from_planes(r.planes).tobytes(), r.first_id + r.n_ids
             begun = list(zip(r.doc_nos, r.doc_ids, r.doc_at, r.doc_lengths))
-            if head := (begun[0][2] if begun else r.first_id + r.n_ids) - r.first_id:
+            if not pd.isna(r.before_no) and r.before_at + r.before_length > r.first_id:
                 # the rest of a document that began in an earlier block
-                out.append((r.shard, r.before_no, None, None, None, r.first_id, head, zlib.crc32(raw[: 4 * head])))
+                begun.insert(0, (int(r.before_no), r.before_id, int(r.before_at), int(r.before_length)))
             for no, doc, at, length in begun:
-                a = at - r.first_id
-                part = raw[4 * a : 4 * (a + length)]
-                out.append((r.shard, no, None if pd.isna(doc) else int(doc), at, length, at, len(part) // 4, zlib.crc32(part)))
-        frame = pd.DataFrame(out, columns=["shard", "doc_no", "doc_id", "start", "n_tokens", "part_at", "part_ids", "crc"])
-        for c in ("doc_id", "start", "n_tokens"):
-            frame[c] = frame[c].astype("Int64")
+                a, b = max(at, r.first_id), min(at + length, end)
+                crc = zlib.crc32(memoryview(raw)[4 * (a - r.first_id) : 4 * (b - r.first_id)])
+                out.append((r.shard, no, None if pd.isna(doc) else int(doc), at, length, b - a, moved_crc(crc, 4 * (at + length - b))))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
+        frame["doc_id"] = frame["doc_id"].astype("Int64")
         yield frame
 
 
-def _join_crc(crc: int, other: int, n_bytes: int) -> int:
-    """The crc32 of two byte strings, one after the other, from theirs."""
-    zeros = bytes(min(n_bytes, 1 << 20))
-    moved, zero, left = crc, 0, n_bytes
-    while left:
-        k = min(left, len(zeros))
-        moved, zero, left = zlib.crc32(zeros[:k], moved), zlib.crc32(zeros[:k], zero), left - k
-    return moved ^ zero ^ other
-
-
-def _whole(parts: pd.DataFrame) -> pd.DataFrame:
-    parts = parts.sort_values("part_at")
-    first = parts.iloc[:1].copy()
-    crc = int(first["crc"].iloc[0])
-    for n, other in zip(parts["part_ids"].iloc[1:], parts["crc"].iloc[1:]):
-        crc = _join_crc(crc, int(other), 4 * int(n))
-    return first.assign(crc=crc)[["shard", "doc_id", "start", "n_tokens", "crc"]]
-
-
 def read_ids(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in files of `write_ids`.
 
-    Blocks are read and decoded apart.  Documents within one block are done there;
-    the parts of the others meet by (shard, document).  The driver gets one count
-    for each shard.
+    Blocks are read and decoded apart.  Documents within one block are done there; the
+    parts of the others give shifted checksums, whose exclusive or by (shard, document) is
+    the whole's.  The driver gets one count for each shard.  An empty file: no rows.
     """
     blocks = spark.read.schema(_BLOCKS).parquet(at)
     sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
@@ -190,14 +211,17 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
         total += sizes[shard]
     base = F.broadcast(spark.createDataFrame(bases, "shard int, base long"))
     # the document that runs into a block: the last that began before it
-    last = F.when(F.size("doc_nos") > 0, F.element_at("doc_nos", -1))
+    ends = [F.element_at(c, -1).alias(n) for c, n in (("doc_nos", "before_no"), ("doc_ids", "before_id"), ("doc_at", "before_at"), ("doc_lengths", "before_length"))]
+    last = F.when(F.size("doc_nos") > 0, F.struct(*ends))
     before = W.partitionBy("shard").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)
-    lasts = blocks.select("shard", "chunk_no", F.last(last, ignorenulls=True).over(before).alias("before_no"))
+    lasts = blocks.select("shard", "chunk_no", F.last(last, ignorenulls=True).over(before).alias("b")).select("shard", "chunk_no", "b.*")
     parts = stage(blocks.join(lasts, ["shard", "chunk_no"]).mapInPandas(_read, _PARTS), "parts")
     inside = parts.filter("n_tokens = part_ids").select("shard", "doc_id", "start", "n_tokens", "crc")
-    across = parts.filter("n_tokens is null or n_tokens <> part_ids").groupBy("shard", "doc_no").applyInPandas(_whole, "shard int, doc_id long, start long, n_tokens long, crc long")
+    across = parts.filter("n_tokens <> part_ids").groupBy("shard", "doc_no").agg(
+        F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.bit_xor("crc").alias("crc")
+    )
     return (
-        inside.unionByName(across)
+        inside.unionByName(across.drop("doc_no"))
         .join(base, "shard")
         .select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
     )

@@ -3,11 +3,11 @@
 The word BPE normalises every white-space run to one blank and its pieces never
 hold white space, so the ids of a text are the ids of its blank-separated words,
 one after another (blanks compose with no other character, and the special
-strings hold none).  `Encoder` keeps the ids of the words it has met and joins them.
-
-A new word of Latin letters, digits and signs is cut into the pieces that the file's
-pattern gives there, and the library's BPE model encodes new pieces; all other words go
-through the whole library.  A file of another kind is used through the library alone.
+strings hold none).  A text of Latin letters, digits and signs is cut into the
+pieces that the file's pattern gives there, and the library's BPE model encodes each
+piece that is not remembered.  Other texts go word by word: words of that kind by pieces,
+all others through the whole library.  A file of another kind is used through the library
+alone.
 """
 
 from __future__ import annotations
@@ -17,18 +17,20 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
-#: Words and pieces kept by an encoder, and the longest word kept.
-MEMO_WORDS = 300_000
-MEMO_PIECES = 200_000
+#: Words and pieces kept by an encoder, and the longest one kept.
+MEMO_WORDS = 100_000
+MEMO_PIECES = 400_000
 MEMO_CHARS = 48
 #: Fixed values of the word BPE file: its steps and its pattern.
 STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words whose characters normalisation only lower-cases, one by one, and the pattern
-#: within them.
-PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-`{-~]+")
+#: Texts whose characters normalisation only lower-cases, one by one, and the file's pattern
+#: for their characters once they are lower-cased.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ \\n]*")
+PIECES = re.compile("[a-zß-öø-ſ]+|[!-&(-/:-`{-~][!-/:-`{-~]*|[0-9]|'(?:s|t|re|ve|m|ll|d)|'[!-/:-`{-~]*")
+_ID = attrgetter("id")
 
 
 def default_path() -> str:
@@ -61,56 +63,56 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in own)}
 
 
+def _is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN.fullmatch(text) is not None
+
+
+class Memo(dict):
+    """Results of `make` by key, in two generations: when the young one is full it
+    becomes the old one, and keys that are asked for again move back."""
+
+    def __init__(self, make, at_most: int):
+        self.make, self.half, self.old = make, at_most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        self.library = library(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.plain = _is_word_bpe(path)
-        self.letters = _byte_letters()
+        self.library, self.plain, self.letters = library(path), _is_word_bpe(path), _byte_letters()
         self.model = self.library.model
+        self.words, self.pieces = Memo(self._word, MEMO_WORDS), Memo(self._piece, MEMO_PIECES)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(self.pieces) >= MEMO_PIECES:
-                self.pieces.clear()
-            if len(piece) <= MEMO_CHARS:
-                self.pieces[piece] = found
-        return found
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(_ID, self.model.tokenize(letters))).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._pieces(word) if _is_plain(word) else self._whole(word)
 
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        others = []
-        for w in words:
-            if self.plain and PLAIN.fullmatch(w) and "<|" not in w:
-                into[w] = b"".join(map(self._piece, PIECES.findall(w.lower())))
-            else:
-                others.append(w)
-        if others:
-            for w, x in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False)):
-                into[w] = array("I", x.ids).tobytes()
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def packed(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        memo = self.words
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in memo]
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(set(words))
-        self._learn([w for w in new if len(w) <= MEMO_CHARS], memo)
-        if long := [w for w in new if len(w) > MEMO_CHARS]:
-            own: dict[str, bytes] = {}
-            self._learn(long, own)
-            return b"".join([own[w] if len(w) > MEMO_CHARS else memo[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+        if not self.plain:
+            return self._whole(text)
+        if _is_plain(text):
+            return self._pieces(text)
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=4)
