@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from .staging import stage, texts
 
 CAPACITY = 4096
 END_ID = 1
-#: Parts into which pieces of one length are dealt for ranking.
-SALTS = 256
+#: Parts at least into which pieces of one length are dealt for ranking; more pieces
+#: have as many as the root of their number.
+SALTS = 16
 
 _PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -26,7 +29,7 @@ _PIECES = T.StructType([
     T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()),
     T.StructField("ids_crc32", T.LongType()),
-    T.StructField("salt", T.IntegerType()),
+    T.StructField("spread", T.LongType()),
 ])
 
 
@@ -100,18 +103,19 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> dict[int, l
     return moves
 
 
-def _encode(path: str, capacity: int, salts: int):
+def _encode(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed = tokens.encoder(path).packed
-        end = END_ID.to_bytes(4, "little")
+        end, row_no = END_ID.to_bytes(4, "little"), TaskContext.get().partitionId() << 20
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids = packed(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    crc = zlib.crc32(part)
-                    out.append((None if pd.isna(doc) else int(doc), piece, at // 4, len(part) // 4, crc, crc % salts))
+                    row_no += 1
+                    spread = zlib.crc32(row_no.to_bytes(8, "little"))
+                    out.append((None if pd.isna(doc) else int(doc), piece, at // 4, len(part) // 4, zlib.crc32(part), spread))
             frame = pd.DataFrame(out, columns=_PIECES.fieldNames())
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
@@ -138,7 +142,7 @@ def _place(moves, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Pieces of every row of `docs` with their sequence and offset there.
 
     A document is its ids and the end id; only those longer than `capacity` are
@@ -146,20 +150,24 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sal
     pieces of each length (`capacity` numbers at most), runs best-fit decreasing on
     those counts and broadcasts the moves, whose number depends on `capacity` alone.
     Each piece finds its place from its rank among the pieces of its length.  Ranks
-    are made within (length, salt), so no length is one task's.
+    are made within (length, salt); the salt comes from a row's place in its input, so
+    neither a length nor copies of one text are one task's.
 
     Null or empty text: one piece that holds the end id.  Null or repeated doc_id:
-    packed like any other row.  Empty table: no rows.
+    packed like any other row.  Empty table: no rows.  Columns other than doc_id and text,
+    whatever their names, are not read.
     """
     spark = docs.sparkSession
     path = path or tokens.default_path()
-    pieces = stage(texts(docs).mapInPandas(_encode(path, capacity, salts), _PIECES), "pieces")
+    pieces = stage(texts(docs).mapInPandas(_encode(path, capacity), _PIECES), "pieces")
+    salts = salts or max(SALTS, math.isqrt(pieces.count()))
+    pieces = pieces.withColumn("salt", (F.col("spread") % salts).cast("int"))
     counts = stage(pieces.groupBy("length", "salt").count(), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     moves = spark.sparkContext.broadcast(best_fit_decreasing(histogram, capacity))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
+    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "spread")
     ranked = pieces.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(base, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", (F.col("rank") + F.col("base")).alias("rank"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
