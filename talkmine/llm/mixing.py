@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,11 @@ SCHEDULES = {
     1.0: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
 }
 FLAT = ((0.0, 1.0), (1.0, 1.0))
-#: Parts into which the documents of a source are dealt for running sums.
-BUCKETS = 1024
+#: Parts at least into which the documents of a source are dealt for running sums, a power
+#: of two; more documents have about the root of their number.
+BUCKETS = 64
+#: Tables of a row for each source are broadcast up to so many sources, and joined beyond.
+BROADCAST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,14 +85,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     `positions` are the training times at which the integral of the source's schedule
     reaches them.
 
-    Running sums are made within (source, hash bucket) and added up over buckets.  The
-    driver holds one row for each source.  Null text: size 0.  Null source: a source
-    of its own.  Null or repeated doc_id: rows like others.
+    Running sums are made within (source, hash bucket) and added up over buckets, whose
+    number grows with the root of the rows.  Tables of a row for each source are broadcast, so
+    a source that holds most rows is many tasks'.  The driver holds one row for each source.
+    Null text: size 0.  Null source: a source of its own.  Null or repeated doc_id: rows
+    like others.  Empty table: no rows.  Columns other than doc_id, text and source, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
     size = F.regexp_count("text", F.lit(WORD)).cast("long")
     rows = texts(docs, "source").select("doc_id", "source", size.alias("size"), order_of(seed).alias("order"))
-    rows = stage(rows.withColumns({"rid": F.monotonically_increasing_id(), "bucket": F.shiftrightunsigned("order", 54).cast("int")}), "sizes")
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    bits = max(BUCKETS, math.isqrt(rows.count())).bit_length() - 1
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits).cast("int"))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     catalog = []
     for k, (s, (weight, target)) in enumerate(targets(sizes, weights, share, most).items()):
@@ -95,6 +105,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         catalog.append((k, s, sizes[s], target, passes, target - passes * sizes[s], *integrated(schedules.get(weight, FLAT))))
     schema = "source_no int, name string, source_size long, target double, passes int, rest double, times array<double>, factors array<double>, sums array<double>"
     sources = spark.createDataFrame(catalog, schema)
+    small = F.broadcast if len(catalog) <= BROADCAST_SOURCES else lambda df: df
+    sources = small(sources)
     rows = rows.join(sources.select("source_no", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -104,13 +116,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     run = run.withColumn("before", F.col("before") + F.col("base")).drop("base").join(sources.select("source_no", "passes", "rest"), "source_no")
     run = stage(run.withColumn("extra", F.col("before") + F.col("size") <= F.col("rest")), "runs")
     met = run.groupBy("source_no").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("met"))
+    met = small(stage(met, "met"))
     left = run.filter("not extra").join(met, "source_no").withColumn("off", F.abs(F.col("rest") - F.col("met") - F.col("size")))
     closing = left.filter(F.col("off") < F.col("rest") - F.col("met")).groupBy("source_no").agg(F.min(F.struct("off", "order", "doc_id", "rid", "size")).alias("c"))
     ends = sources.join(met, "source_no").join(closing, "source_no", "left").select(
         "source_no", "source_size", "target", "times", "factors", "sums", "met", F.col("c.rid").alias("closing_rid"),
         (F.col("passes") * F.col("source_size") + F.col("met") + F.coalesce("c.size", F.lit(0))).alias("all_taken"),
     )
-    out = run.join(ends, "source_no").withColumn("closes", F.coalesce(F.col("rid") == F.col("closing_rid"), F.lit(False)))
+    out = run.join(small(stage(ends, "ends")), "source_no").withColumn("closes", F.coalesce(F.col("rid") == F.col("closing_rid"), F.lit(False)))
     copies = F.col("passes") + F.when(F.col("extra") | F.col("closes"), 1).otherwise(0)
     offset = lambda p: p * F.col("source_size") + F.when(F.col("closes") & (p == F.col("passes")), F.col("met")).otherwise(F.col("before"))
     share_at = lambda p: F.coalesce(F.try_divide(offset(p) + F.col("size") / 2, F.col("all_taken")), F.lit(0.0))
@@ -125,9 +138,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with their own columns, a row for each copy, range-sorted
-    by training position.  Rows that repeat a doc_id and text are one document."""
+    by training position.
+
+    Rows that repeat a doc_id and text are one document: it comes as often as all of them
+    are taken, with the other columns of one of them.  Null text or source, null doc_id and
+    the empty table: as in `mix`.  Columns may have any names but those that begin with mix__.
+    """
     mixed = mix(docs, **how)
     own = mixed.filter("taken > 0 or size = 0").select(F.col("doc_id").alias("mix__id"), F.col("order").alias("mix__order"), F.explode("positions").alias("mix__position"))
+    own = stage(own, "taken")
     rows = docs.withColumn("mix__own", order_of(**{k: v for k, v in how.items() if k == "seed"}))
+    if not mixed.groupBy("doc_id", "order").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "mix__own"])
     both = rows.join(own, F.col("doc_id").eqNullSafe(F.col("mix__id")) & (F.col("mix__own") == F.col("mix__order")))
     return both.orderBy("mix__position", "mix__id").select(*docs.columns)
