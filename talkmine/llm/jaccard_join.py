@@ -4,7 +4,9 @@ Two sets of similarity t or more share a shingle among the first n - ceil(t n) +
 of each, in any order of shingles that all documents use.  Here the order is by hash with
 frequent shingles last.  Documents that share such a shingle form a block.  Within
 a block a signature tree holds OR-combined bitmaps and size ranges, and a dual
-traversal prunes pairs of nodes whose greatest possible overlap is too small.
+traversal prunes pairs of nodes whose greatest possible overlap is too small.  A block
+of one leaf needs no tree: its pairs are tested at once.  A block of more than
+`BLOCK_ROWS` members is many tasks'.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bloom, passes
 from .components import components
 from .staging import stage, texts
 
@@ -33,55 +36,67 @@ PROBE = 130
 #: fine ones all and two bits or more, small sets up to eight: (one in, bits a shingle,
 #: bits a shingle while the bitmap is of at most so many bits, most bits).
 COARSE = (4, 0.5, 0.5, 0, 1 << 14)
-FINE = (1, 2, 8, 1 << 12, 1 << 18)
+FINE = (1, 2, 4, 1 << 11, 1 << 18)
 LEAST_BITS = 64
-#: Blocks of more members are compared by stars first.
+#: Blocks of more members are compared by stars first; others are one leaf.
 WHOLE_BLOCK = 8
+#: Members of a block that one task holds; larger blocks are split.
+BLOCK_ROWS = 2048
+#: Tables of a row for each split block are broadcast up to so many rows, and joined beyond.
+BROADCAST_ROWS = 500_000
+#: Tasks that the rows of a frequent shingle are dealt to when it is looked for.
+SPREAD = 64
+#: Pairs whose bitmaps are compared at once.
+AT_ONCE = 1 << 14
 #: Members of a leaf and children of a node.
 LEAF = 16
 FAN = 4
-#: Bits of the table by which documents of candidate pairs are found.
-BLOOM_BITS = 1 << 25
-LEAF = 16
-FAN = 4
 #: Bytes of a text that are hashed at once, and the smallest table of powers.
 SEGMENT = 1 << 20
 SMALL = 1 << 17
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Primes and bases of the two polynomials that hash a word.
+_MODULI = (2147483647, 2147483629)
+_BASES = (1103515245, 1664525423)
 _BLANK = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 _IS_BLANK = np.isin(np.arange(256), _BLANK)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_SETS = "doc_id long, k long, k2 long, n int, bits binary, probe array<long>"
-_PAIRS = "shingle long, k long"
+_SETS = "doc_id long, text_hash long, k long, k2 long, n int, bits binary, fine binary, probe array<long>"
+_PREFIXES = "shingle long, part int, k long"
 
 
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
-    """A fixed random 64-bit value of each byte; capitals share those of small letters."""
-    table = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    table[65:91] = table[97:123]
-    table[_BLANK] = 0
+    """A fixed random value of each byte for both polynomials; capitals share those of
+    small letters."""
+    table = np.random.default_rng(2024).integers(1, min(_MODULI), (2, 256), dtype=np.uint64)
+    table[:, 65:91] = table[:, 97:123]
+    table[:, _BLANK] = 0
     return table
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse modulo its prime."""
     found = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        own = np.full(n, base, np.uint64)
-        own[0] = 1
-        with np.errstate(over="ignore"):
-            found.append(np.multiply.accumulate(own))
-    return found[0], found[1]
+    for p, base in zip(_MODULI, _BASES):
+        both = []
+        for b in (base, pow(base, -1, p)):
+            own = np.ones(n, np.uint64)
+            size = 1
+            while size < n:  # the powers so far, shifted
+                own[size : 2 * size] = own[: min(size, n - size)] * np.uint64(pow(b, size, p)) % np.uint64(p)
+                size *= 2
+            both.append(own)
+        found.append(tuple(both))
+    return found
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text: polynomials of byte values, from running
-    sums over the whole text and shifted to the place of the word.  Long texts are taken
-    by segments that end at blanks."""
+    """62-bit hashes of the words of a text: two polynomials of byte values modulo primes,
+    from running sums over the whole text and shifted to the place of the word.  Long texts
+    are taken by segments that end at blanks."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     parts, at = [], 0
     while at < len(data):
@@ -97,12 +112,12 @@ def word_hashes(text: str) -> np.ndarray:
         turns = np.flatnonzero(blank[1:] != blank[:-1])
         starts, ends = turns[::2], turns[1::2]
         if len(starts):
-            size = max(SMALL, 1 << (len(part) - 1).bit_length())
-            up, down = _powers(size)
-            with np.errstate(over="ignore"):
+            whole = np.zeros(len(starts), np.uint64)
+            for values, p, (up, down) in zip(_byte_values(), _MODULI, _powers(max(SMALL, 1 << (len(part) - 1).bit_length()))):
                 sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(_byte_values()[part] * up[: len(part)], out=sums[1:])
-                parts.append((sums[ends] - sums[starts]) * down[starts])
+                np.cumsum(values[part] * up[: len(part)] % np.uint64(p), out=sums[1:])
+                whole = whole << np.uint64(31) | (sums[ends] - sums[starts]) % np.uint64(p) * down[starts] % np.uint64(p)
+            parts.append(whole)
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -184,11 +199,11 @@ def _read_sets(seed: int, words: int, similarity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for doc, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 own = shingles(text, words)
                 k, k2 = set_key(own, seed)
                 probe = own[: prefix_length(len(own), similarity) * PROBE // 100] if len(own) else own
-                out.append((None if pd.isna(doc) else int(doc), k, k2, len(own), signature(own).tobytes(), probe))
+                out.append((None if pd.isna(doc) else int(doc), text_hash, k, k2, len(own), signature(own).tobytes(), signature(own, FINE).tobytes(), probe))
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
@@ -197,6 +212,8 @@ def _read_sets(seed: int, words: int, similarity: int):
 
 
 def _read_prefixes(seed: int, words: int, similarity: int, shared):
+    """(shingle, part, k); the rows of a frequent shingle are dealt to parts from 1 on."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, rank = shared.value
         for batch in batches:
@@ -209,19 +226,89 @@ def _read_prefixes(seed: int, words: int, similarity: int, shared):
                     keys.append(k)
                     firsts.append(prefix(own, frequent, rank, similarity))
             if keys:
-                yield pd.DataFrame({"shingle": np.concatenate(firsts), "k": np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])})
+                s, k = np.concatenate(firsts), np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])
+                heavy = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
+                yield pd.DataFrame({"shingle": s, "part": np.where(heavy, 1 + k % SPREAD, 0).astype(np.int32), "k": k})
 
     return run
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows, once each, of shingles that two classes or more have."""
-    for frame in _blocks(batches):
-        s, k = frame["shingle"].to_numpy(), frame["k"].to_numpy()
-        new = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]
-        s, k = s[new], k[new]
-        alone = np.r_[True, s[1:] != s[:-1]] & np.r_[s[1:] != s[:-1], True]
-        yield pd.DataFrame({"shingle": s[~alone], "k": k[~alone]})
+    """The rows, once each, of shingles that two classes or more have, and of all frequent
+    ones, from rows in order; a task holds one batch and one row."""
+    held, sent = None, False
+    for frame in batches:
+        rows = frame[["shingle", "part", "k"]].to_numpy(np.int64)
+        if not len(rows):
+            continue
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+        same = rows[1:, 0] == rows[:-1, 0]
+        keep = np.r_[False, same] | np.r_[same, False] | (rows[:, 1] > 0)
+        if sent:  # the row that was held has been given out
+            sent, keep[0] = bool(keep[-1]) or len(rows) == 1, False
+        else:
+            sent = bool(keep[-1])
+        held = rows[-1:]
+        if keep.any():
+            yield pd.DataFrame({"shingle": rows[keep, 0], "k": rows[keep, 2]})
+
+
+class Bitmaps:
+    """Bitmaps of sets by their size.  Similar sets differ in size by less than a factor of
+    two, so their bitmaps are of one size or the next; the larger ones are folded."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], similarity: int):
+        self.n, self.similarity = n, similarity
+        self.sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.row, self.wide, self.slack = np.zeros(len(bits), np.int64), {}, np.zeros(len(bits), np.int64)
+        for z in np.unique(self.sizes):
+            at = np.flatnonzero(self.sizes == z)
+            self.wide[int(z)] = own = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1)
+            self.row[at], self.slack[at] = np.arange(len(at)), n[at] - np.bitwise_count(own).sum(axis=1, dtype=np.int64)
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of sets can be similar: their sizes are in proportion, and the bits in
+        common with what bitmaps can't tell reach the needed overlap."""
+        swap = self.sizes[i] > self.sizes[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        x, y = self.n[i], self.n[j]
+        found = 100 * np.minimum(x, y) >= self.similarity * np.maximum(x, y)
+        need = -(-self.similarity * (x + y) // (100 + self.similarity))
+        for z, own in self.wide.items():
+            for times in (1, 2):
+                at = np.flatnonzero(found & (self.sizes[i] == z) & (self.sizes[j] == times * z))
+                step = max(1, AT_ONCE * 64 // int(z))
+                for part in (at[k : k + step] for k in range(0, len(at), step)):
+                    other = self.wide[times * z][self.row[j[part]]]
+                    slack = self.slack[j[part]]
+                    if times == 2:
+                        other = folded(other)
+                        slack = y[part] - np.bitwise_count(other).sum(axis=1, dtype=np.int64)
+                    common = np.bitwise_count(own[self.row[i[part]]] & other).sum(axis=1, dtype=np.int64)
+                    found[part] = common + np.minimum(self.slack[i[part]], slack) >= need[part]
+        return found
+
+
+def _leaf_pairs(starts: np.ndarray, sizes: np.ndarray, k: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: int) -> np.ndarray:
+    """Pairs (k, other) of members of blocks of one leaf that can be similar, once each."""
+    left, right = [], []
+    for size in range(2, WHOLE_BLOCK + 1):
+        own = starts[sizes == size]
+        for i, j in zip(*np.triu_indices(size, 1)):
+            left.append(own + i)
+            right.append(own + j)
+    left, right = np.concatenate(left), np.concatenate(right)
+    fits = 100 * np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
+    names, first, which = np.unique(k, return_index=True, return_inverse=True)
+    a, b = which[left[fits]], which[right[fits]]
+    code = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
+    a, b = code // len(names), code % len(names)
+    used, place = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    keep = Bitmaps(n[first[used]], list(bits[first[used]]), similarity).possible(a, b)
+    return np.stack([names[used[a[keep]]], names[used[b[keep]]]], axis=1)
 
 
 class Level:
@@ -337,57 +424,52 @@ class Block:
                 left = rest[~keep]
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of equal shingle in rows sorted by it, whole ones."""
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by shingle and part, in whole blocks, and where blocks begin and end."""
     held = None
     for frame in frames:
         frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        s = frame["shingle"].to_numpy()
-        cut = int(np.searchsorted(s, s[-1], "left")) if len(s) else 0
-        held = frame.iloc[cut:]
-        if cut:
-            yield frame.iloc[:cut]
+        cuts = _cuts(frame)
+        held = frame.iloc[cuts[-2] :] if len(cuts) > 1 else frame
+        if len(cuts) > 2:
+            yield frame.iloc[: cuts[-2]], cuts[:-1]
     if held is not None and len(held):
-        yield held
+        yield held, _cuts(held)
 
 
-def _each_block(frame: pd.DataFrame, similarity: int, met: set[int]):
-    s, k, n, bits = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy()
-    cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-    group = frame["root"].to_numpy() if "root" in frame else np.arange(len(frame))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        x = slice(a, b)
-        if b - a < 2 or (b - a == 2 and 100 * min(n[a], n[a + 1]) < similarity * max(n[a], n[a + 1])):
-            continue
-        sizes = np.sort(n[x])
-        if not (100 * sizes[:-1] >= similarity * sizes[1:]).any():
-            continue
-        if (own := hash(k[x].tobytes())) not in met:  # the same members give the same pairs
-            met.add(own)
-            yield s[a], k[x], Block(n[x], list(bits[x]), group[x], similarity)
+def _cuts(frame: pd.DataFrame) -> np.ndarray:
+    keys = frame[["shingle", "x", "y"]].to_numpy(np.int64)
+    return np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else np.zeros(1, np.int64)
+
+
+def _pair_frame(pairs: list[np.ndarray]) -> np.ndarray:
+    """Pairs in order of their keys, once each."""
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(both, axis=1), axis=0)
 
 
 def _first_round(similarity: int):
-    """(shingle null, k, other): pairs that can be similar, all of a small block and stars
-    of a large one; (shingle, k, null): the members of large blocks."""
+    """(shingle null, k, other): pairs that can be similar, all of a block of one leaf and
+    stars of a larger one; (shingle, k, null): the members of larger and of split blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: set[int] = set()
-        for frame in _blocks(batches):
-            pairs, members = [], []
-            for shingle, k, block in _each_block(frame, similarity, met):
-                large = len(k) > WHOLE_BLOCK
-                for i, j, *_ in block.stars() if large else block.dual():
-                    if len(i):
-                        pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
-                if large:
-                    members.append(pd.DataFrame({"shingle": shingle, "k": k}))
-            if pairs:
-                both = np.unique(np.concatenate(pairs), axis=0)
+        met: set[bytes] = set()
+        for frame, cuts in _blocks(batches):
+            s, k, n, bits = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy()
+            split, guest = frame["x"].to_numpy() > 0, frame["guest"].to_numpy()
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            pairs = [_leaf_pairs(starts, sizes, k, n, bits, similarity)]
+            for a, b in zip(starts[sizes > WHOLE_BLOCK], cuts[1:][sizes > WHOLE_BLOCK]):
+                if (own := k[a:b].tobytes()) not in met:  # the same members give the same pairs
+                    met.add(own)
+                    block = Block(n[a:b], list(bits[a:b]), np.arange(b - a), similarity)
+                    pairs += [np.stack([k[a + i], k[a + j]], axis=1) for i, j in block.stars() if len(i)]
+            both = _pair_frame(pairs)
+            if len(both):
                 yield pd.DataFrame({"shingle": pd.array([None] * len(both), "Int64"), "k": both[:, 0], "other": pd.array(both[:, 1], "Int64")})
-            if members:
-                rows = pd.concat(members)
-                yield pd.DataFrame({"shingle": rows["shingle"].astype("Int64"), "k": rows["k"], "other": pd.array([None] * len(rows), "Int64")})
+            member = (np.repeat(sizes > WHOLE_BLOCK, sizes) | split) & ~guest
+            if member.any():
+                yield pd.DataFrame({"shingle": pd.array(s[member], "Int64"), "k": k[member], "other": pd.array([None] * int(member.sum()), "Int64")})
 
     return run
 
@@ -400,64 +482,60 @@ def _later_round(similarity: int, nearest: bool):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: set[int] = set()
-        for frame in _blocks(batches):
+        met: set[bytes] = set()
+        for frame, cuts in _blocks(batches):
+            s, k, n, bits, root = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy(), frame["root"].to_numpy()
             pairs, more = [], []
-            for shingle, k, block in _each_block(frame, similarity, met):
-                got = list(block.dual())
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a < 2 or (own := k[a:b].tobytes()) in met:
+                    continue
+                met.add(own)
+                got = list(Block(n[a:b], list(bits[a:b]), root[a:b], similarity).dual())
                 if not got:
                     continue
                 i, j, over = map(np.concatenate, zip(*got))
                 if nearest:
                     ends, other, over = np.r_[i, j], np.r_[j, i], np.r_[over, over]
-                    order = np.lexsort((k[other], -over, ends))
+                    order = np.lexsort((k[a + other], -over, ends))
                     first = np.r_[True, ends[order][1:] != ends[order][:-1]]
                     i, j = ends[order][first], other[order][first]
-                    more.append(shingle)
-                pairs.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1))
-            if pairs:
-                both = np.unique(np.concatenate(pairs), axis=0)
-                n, m = len(both), len(more)
+                    more.append(s[a])
+                pairs.append(np.stack([k[a + i], k[a + j]], axis=1))
+            both = _pair_frame(pairs)
+            if n_both := len(both):
+                m = len(more)
                 yield pd.DataFrame({
-                    "a": pd.array([*both[:, 0], *[None] * m], "Int64"), "b": pd.array([*both[:, 1], *[None] * m], "Int64"), "shingle": pd.array([*[None] * n, *more], "Int64"),
+                    "a": pd.array([*both[:, 0], *[None] * m], "Int64"), "b": pd.array([*both[:, 1], *[None] * m], "Int64"), "shingle": pd.array([*[None] * n_both, *more], "Int64"),
                 })
 
     return run
 
 
-def bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit table of hashed `ids` (long) of at most `BLOOM_BITS` bits: a member always
-    passes, others seldom; where the table is full more pass, which costs time only."""
-    ids, bits = ids.filter(F.col(column).isNotNull()), 1 << 12
-    while bits < min(BLOOM_BITS, 16 * ids.count()):
-        bits *= 2
-    at = F.pmod(F.col(column), F.lit(bits - 1))  # an odd number, so that regular ids spread
-    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("word"))
-    rows = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()
-    table = np.zeros(bits // 32, np.uint32)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+def _sift(similarity: int):
+    """The pairs whose fine bitmaps allow similarity."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            m = len(batch)
+            maps = Bitmaps(np.r_[batch["xn"], batch["yn"]].astype(np.int64), [*batch["x"], *batch["y"]], similarity)
+            yield batch.loc[maps.possible(np.arange(m), np.arange(m, 2 * m)), ["a", "b"]]
 
-def _passes(table: np.ndarray, ids: pd.Series) -> np.ndarray:
-    """Which of `ids` may be members; a null passes."""
-    at = ids.fillna(0).to_numpy(np.int64) % (len(table) - 1)
-    return table[at] | ids.isna().to_numpy()
+    return run
 
 
-def _chosen(seed: int, words: int, shared, form):
-    """(k, form of the set) of the documents that may be chosen."""
+def _chosen(seed: int, words: int, shared):
+    """(k, the set) of the documents that may be chosen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             met, out = set(), []
-            for text in batch["text"][_passes(shared.value, batch["doc_id"])]:
+            for text in batch["text"][passes(shared.value, batch["doc_id"])]:
                 own = shingles(text, words)
                 k = set_key(own, seed)[0]
                 if k not in met and len(own):
                     met.add(k)
-                    out.append((k, len(own), form(own).tobytes()))
-            yield pd.DataFrame(out, columns=["k", "n", "form"])
+                    out.append((k, own.tobytes()))
+            yield pd.DataFrame(out, columns=["k", "form"])
 
     return run
 
@@ -476,85 +554,146 @@ def _verify(similarity: int):
     return run
 
 
-def _forms(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple, form) -> DataFrame:
-    """(k, n, form of the set) of the classes `keys`, made again from a document of each.
+def _exact(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple) -> DataFrame:
+    """(k, form: the set) of the classes `keys`, made again from a document of each.
 
     A bit table of bounded size finds these documents, so that no other text is moved.
     """
     seed, words, _ = how
     one_of = sets.join(keys, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     shared = rows.sparkSession.sparkContext.broadcast(bloom(stage(one_of, "chosen"), "doc_id"))
-    made = rows.mapInPandas(_chosen(seed, words, shared, form), "k long, n int, form binary")
+    made = rows.mapInPandas(_chosen(seed, words, shared), "k long, form binary")
     return made.join(keys, "k", "left_semi").dropDuplicates(["k"])
 
 
-def _links(rows: DataFrame, sets: DataFrame, pairs: DataFrame, how: tuple) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, counted exactly."""
-    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    own = stage(_forms(rows, sets, keys, how, np.asarray), "own")
+def _links(rows: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame, how: tuple) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: fine bitmaps prune, and exact sets are
+    counted for the pairs that are left."""
+    fine = lambda k, x: maps.select(F.col("k").alias(k), F.col("n").alias(f"{x}n"), F.col("fine").alias(x))
+    left = pairs.join(fine("a", "x"), "a").join(fine("b", "y"), "b").select("a", "b", "x", "xn", "y", "yn").mapInPandas(_sift(how[2]), "a long, b long")
+    left = stage(left, "sifted")
+    keys = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
+    own = stage(_exact(rows, sets, keys, how), "own")
     xs, ys = own.select(F.col("k").alias("a"), F.col("form").alias("x")), own.select(F.col("k").alias("b"), F.col("form").alias("y"))
-    return stage(pairs.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(how[2]), "a long, b long"), "links")
+    return stage(left.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(how[2]), "a long, b long"), "links")
 
 
-def _fine(own: np.ndarray) -> np.ndarray:
-    return signature(own, FINE)
+def _small(df: DataFrame, tag: str) -> DataFrame:
+    """A staged table, broadcast if it is of `BROADCAST_ROWS` at most."""
+    df = stage(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: documents whose shingle sets are
-    similar are linked, and a component has the smallest doc_id reachable by links.
+def _parts(count: Column) -> Column:
+    return F.ceil(count / BLOCK_ROWS).cast("int")
 
-    1. Sets are keyed; documents of one set are one class (a key that two different sets
-       share makes the keys be drawn again).
-    2. Shingles that the prefixes of many rows hold are counted and put last in the order.
-    3. Rows of (prefix shingle, class) form blocks; copies of a class in a task count once, and
-       shingles of one class only fall away before bitmaps are joined to the rest.
-    4. A first round runs the dual traversal of each small block's signature tree and
-       takes stars of large blocks; the exact sets decide.
-    5. Two more rounds run the dual traversal of large blocks, under finer bitmaps, between
-       members that are not connected yet: first each member's likeliest pair, then all.
-       Pairs within a component need no link, since they change no component.
-    Null or empty text has an empty set and links with nothing.  Null doc_id: it takes
-    part and is passed over in the minimum.  Repeated rows are one class.
+
+def _part_of(parts: Column) -> Column:
+    return (1 + F.pmod(F.xxhash64("k"), parts)).cast("int")
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Rows of the first round: split blocks go to parts 1 and on by a hash, and two members
+    of each such block are guests in every part, so that stars of all parts share centres."""
+    counts = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("n__s"), F.min("k").alias("c1"), F.max("k").alias("c2"))
+    split = _small(counts.filter(F.col("n__s") > BLOCK_ROWS), "split")
+    rows = blocks.join(split, "shingle", "left")
+    parts, own = _parts(F.col("n__s")), _part_of(_parts(F.col("n__s")))
+    to = F.when(F.col("n__s").isNull(), F.array(F.lit(0))).when(F.col("k").isin(F.col("c1"), F.col("c2")), F.sequence(F.lit(1), parts)).otherwise(F.array(own))
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("x", F.explode(to))
+    return rows.select("shingle", "x", F.lit(0).alias("y"), "k", (F.col("x") != F.col("own")).alias("guest"))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (shingle, x, y, k, root) of the blocks that hold more than one component.
+
+    Of a split block, the members of its most frequent component form parts and the others
+    parts of their own; each pair of parts but two of that component is one task's.
     """
+    rooted = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    each = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("m"))
+    blocks = stage(each.groupBy("shingle").agg(F.sum("m").alias("all"), F.max_by("root", "m").alias("main"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"), "mixed")
+    split = _small(blocks.filter(F.col("all") > BLOCK_ROWS), "split")
+    rest = rooted.join(split.select("shingle"), "shingle", "left_anti").join(blocks.select("shingle"), "shingle", "left_semi")
+    rest = rest.select("shingle", F.lit(0).alias("x"), F.lit(0).alias("y"), "k", "root")
+    rows = rooted.join(split, "shingle")
+    p, q = _parts(F.col("most")), _parts(F.col("all") - F.col("most"))
+    rows = rows.withColumns({"p": p, "q": q, "is_main": F.col("root") == F.col("main")})
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    own_p, own_q = _part_of(F.col("p")), F.col("p") + _part_of(F.col("q"))
+    with_others = F.transform(F.sequence(F.lit(1), F.col("q")), lambda j: pair(own_p, F.col("p") + j))
+    with_main = F.transform(F.sequence(F.lit(1), F.col("p")), lambda i: pair(i, own_q))
+    among = F.transform(F.sequence(F.lit(1), F.col("q")), lambda j: pair(F.least(own_q, F.col("p") + j), F.greatest(own_q, F.col("p") + j)))
+    rows = rows.withColumn("to", F.explode(F.when(F.col("is_main"), with_others).otherwise(F.concat(with_main, among))))
+    return rest.unionByName(rows.select("shingle", "to.x", "to.y", "k", "root"))
+
+
+def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """doc_id, text_hash, n, root of every row; rows of one root are one component, and rows
+    without words have none."""
     spark = docs.sparkSession
     rows, seed = texts(docs), 0
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     while True:
-        sets = stage(rows.mapInPandas(_read_sets(seed, words, similarity), _SETS), "sets")
+        sets = stage(hashed.mapInPandas(_read_sets(seed, words, similarity), _SETS), "sets")
         if sets.groupBy("k").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).filter("a <> b").isEmpty():
             break
         seed += 1
     counts = sets.select(F.explode("probe").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toPandas().sort_values("shingle")
     shared = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
-    prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _PAIRS)
-    blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "k").mapInPandas(_shared, _PAIRS)
-    signatures = sets.filter("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    by_shingle = lambda df: df.repartition("shingle").sortWithinPartitions("shingle", "k")
-    first = stage(by_shingle(blocks.join(signatures, "k")).mapInPandas(_first_round(similarity), "shingle long, k long, other long"), "blocks")
+    prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _PREFIXES)
+    order = ["shingle", "part", "k"]
+    blocks = stage(prefixes.repartition("shingle", "part").sortWithinPartitions(*order).mapInPandas(_shared, "shingle long, k long"), "shared")
+    maps = stage(sets.filter("n > 0").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "bits", "fine")]), "maps")
+    by_block = lambda df: df.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "k")
+    dealt = by_block(_dealt(blocks).join(maps.select("k", "n", "bits"), "k"))
+    first = stage(dealt.mapInPandas(_first_round(similarity), "shingle long, k long, other long"), "blocks")
     pairs = stage(first.filter("shingle is null").select(F.col("k").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     how = (seed, words, similarity)
-    links = _links(rows, sets, pairs, how)
+    links = _links(rows, sets, maps, pairs, how)
     roots = stage(components(links), "roots")
-    members, tried, fine = first.filter("shingle is not null").drop("other"), pairs, None
+    members, tried = first.filter("shingle is not null").drop("other"), pairs
     for nearest in (True, False):
-        rooted = members.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-        open_ = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
-        again = stage(rooted.join(open_, "shingle"), "open")
+        again = stage(_open(members, roots), "open")
         if again.isEmpty():
             break
-        if fine is None:
-            fine = stage(_forms(rows, sets, again.select("k").distinct(), how, _fine).withColumnRenamed("form", "bits"), "fine")
-        found = by_shingle(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long, shingle long")
+        fine = maps.select("k", "n", F.col("fine").alias("bits"))
+        found = by_block(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long, shingle long")
         found = stage(found, "found")
         more = stage(found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         # blocks without any likely pair have none later
         members = members.join(found.filter("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
         if not more.isEmpty():
-            links, tried = links.unionByName(_links(rows, sets, more, how)), tried.unionByName(more)
+            links, tried = links.unionByName(_links(rows, sets, maps, more, how)), tried.unionByName(more)
             roots = stage(components(links), "roots")
-    whole = sets.select("doc_id", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left")
-    whole = whole.withColumn("root", F.coalesce("root", "k"))
+    whole = sets.select("doc_id", "text_hash", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left")
+    return whole.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("root", "k")).alias("root"))
+
+
+def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: documents whose shingle sets are
+    similar are linked, and a component has the smallest doc_id reachable by links.
+
+    1. Sets are keyed; documents of one set are one class (a key that two different sets
+       share makes the keys be drawn again).
+    2. Shingles that the prefixes of many rows hold are counted and put last in the order.
+    3. Rows of (prefix shingle, class) form blocks; copies of a class in a task count once, and
+       shingles of one class only fall away before bitmaps are joined to the rest.
+    4. A first round tests the pairs of blocks of one leaf and takes stars of larger blocks;
+       fine bitmaps prune the pairs, and the exact sets of those left decide.
+    5. Two more rounds run the dual traversal of larger blocks, under fine bitmaps, between
+       members that are not connected yet: first each member's likeliest pair, then all.
+       Pairs within a component need no link, since they change no component.
+    A block of more than `BLOCK_ROWS` members is split: in the first round by a hash, with two
+    centres in common; later by pairs of parts, but for those of one component.
+
+    Null or empty text has an empty set and links with nothing.  Null doc_id: it takes
+    part and is passed over in the minimum; a component of such rows alone has a null id.
+    Repeated rows are one class.  Empty table: no rows.  Columns other than doc_id and text,
+    whatever their names, are not read.
+    """
+    whole = _classes(docs, words, similarity)
     least = whole.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return whole.join(least, "root", "left").select(
         "doc_id",
@@ -564,7 +703,20 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The document of smallest doc_id of each component, with its own columns."""
-    classes = similarity_classes(docs, words, similarity)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first__id"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first__id")), "left_semi")
+    """One document of each component, with its own columns: the one of smallest doc_id
+    (null last), then least hash of its text.
+
+    Rows that repeat a doc_id and text are one document, with the other columns of one of
+    them.  Rows without words are linked with nothing and all stay.  Empty table: no rows.
+    Columns may have any names but those that begin with near__.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")
+    kept = _classes(docs, words, similarity).filter("n > 0").groupBy("root").agg(first)
+    kept = stage(kept.select(F.col("f.doc_id").alias("near__id"), F.col("f.text_hash").alias("near__hash")), "kept")
+    rows = docs.withColumn("near__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("near__id")) & (F.col("near__own") == F.col("near__hash"))
+    chosen = rows.filter(~wordless).join(kept, same, "left_semi")
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "near__own"])
+    return chosen.unionByName(rows.filter(wordless)).select(*docs.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,8 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    where = spark.conf.get(SETTING, None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-talkmine-", dir="/tmp")
-        spark.conf.set(SETTING, where)
+    """The folder all executors share; where none is set, one in the warehouse."""
+    where = spark.conf.get(SETTING, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/talkmine-staging"
     return where.rstrip("/")
 
 
