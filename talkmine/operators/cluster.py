@@ -29,7 +29,8 @@ def pairs(rows: DataFrame, cfg: Cluster) -> DataFrame:
     """Pairs that can reach the threshold: in reach of each other, adjacent, or of one story.
 
     A link of other pairs would need more than the topic weight.  Where that alone reaches
-    the threshold, all pairs of a recording are made.  Each pair is made once.
+    the threshold, all pairs of a recording are made.  Each pair is made once: the three ways
+    take pairs that the ones before don't, so no distinct is needed.
     """
     a, b = _side(rows, "a"), _side(rows, "b")
     if cfg.topic >= cfg.threshold:
@@ -42,12 +43,15 @@ def pairs(rows: DataFrame, cfg: Cluster) -> DataFrame:
     right = b.filter("b_start is not null").withColumn("cell", F.explode(F.sequence(first("b_start", 0), F.floor(end_b / cell).cast("long"))))
     once = F.col("cell") == F.greatest(first("a_start", cell), first("b_start", 0))
     near = left.join(right, ["rec_id", "cell"]).filter(once & (F.col("a_cand_no") < F.col("b_cand_no"))).drop("cell")
-    near = near.filter((F.col("b_start") - F.coalesce("a_end", "a_start") < cfg.window) & (F.col("a_start") - F.coalesce("b_end", "b_start") < cfg.window))
+    within = (F.col("b_start") - F.coalesce("a_end", "a_start") < cfg.window) & (F.col("a_start") - F.coalesce("b_end", "b_start") < cfg.window)
+    apart = ~F.coalesce(within, F.lit(False))
+    near = near.filter(within)
     beside = a.withColumn("to", F.explode(F.array(F.col("a_place") - 1, F.col("a_place") + 1))).join(b.withColumn("to", F.col("b_place")), ["rec_id", "to"])
-    beside = beside.filter("a_cand_no < b_cand_no").drop("to")
+    beside = beside.filter("a_cand_no < b_cand_no").filter(apart).drop("to")
     told = a.filter((F.col("a_story_id").isNotNull()) & (F.col("a_story_id") != UNKNOWN_STORY))
     same = told.join(b, (told["rec_id"] == b["rec_id"]) & (F.col("a_story_id") == F.col("b_story_id")) & (F.col("a_cand_no") < F.col("b_cand_no"))).drop(b["rec_id"])
-    return near.unionByName(beside).unionByName(same).dropDuplicates(["rec_id", "a_cand_no", "b_cand_no"])
+    same = same.filter(apart & (F.abs(F.col("a_place") - F.col("b_place")) != 1))
+    return near.unionByName(beside).unionByName(same)
 
 
 def links(candidates: DataFrame, cfg: Cluster = Cluster()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import form_similarity, occurrences
+from .staging import stage
 
 # Fixed values of the scorer: priors, keywords, marks and lines.
 PRIOR = {"person": 0.55, "book": 0.60, "movie": 0.62, "hotword": 0.45}
@@ -44,7 +46,12 @@ SENTENCE_ENDS = "。！？!?；;\n"
 REPLACE_LINE, SUGGEST_LINE = 0.62, 0.40
 STAMP = r"\[[^\]\n]*\]"
 
-_HITS = "doc_id long, start int, end int, alias string, sentence string, sentence_at int, left string, right string"
+#: Texts without any of these letters hold none of the keywords.
+KEYWORD_LETTERS = r"[\x{4e00}-\x{9fff}]|[Ss]team|[Bb]oss"
+#: Lexicons of so many rows at most are broadcast; larger ones are joined.
+BROADCAST_ROWS = 200_000
+
+_HITS = "doc_id long, named string, start int, end int, alias string, sentence string, sentence_at int, left string, right string"
 
 
 def alias_index(entries: DataFrame) -> DataFrame:
@@ -58,7 +65,22 @@ def alias_index(entries: DataFrame) -> DataFrame:
 
 
 def _longest(words: list[str]) -> re.Pattern | None:
-    return re.compile("|".join(map(re.escape, sorted(words, key=lambda w: (-len(w), w))))) if words else None
+    """A pattern that finds the longest of `words` at a place, one branch for each letter."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        ends, parts = "" in node, [re.escape(x) + branch(y) for x, y in sorted(node.items()) if x]
+        if not parts:
+            return ""
+        whole = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+        return whole + "?" if ends else whole
+
+    return re.compile(branch(root)) if root else None
 
 
 def _sentence(text: str, start: int, end: int, reach: int = 120) -> tuple[str, int]:
@@ -68,56 +90,73 @@ def _sentence(text: str, start: int, end: int, reach: int = 120) -> tuple[str, i
     return text[begin : min(stops) + 1 if stops else min(len(text), end + reach)], begin
 
 
+def _bare(text: str, stamp: re.Pattern):
+    """Where the text between stamps lies."""
+    at = 0
+    for m in stamp.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
 def _detect(aliases: list[str], names: list[str]):
+    """Hits, and the canonical words that a text writes (`named`): the longest at each place."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wrong, right, stamp = _longest(aliases), _longest(names), re.compile(STAMP)
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                parts, at = [], 0  # text between protected stamps
-                for m in stamp.finditer(text):
-                    parts.append((at, m.start()))
-                    at = m.end()
-                parts.append((at, len(text)))
-                held = [(i, m.end(0)) for a, b in parts if right for i, m in _each_start(right, text, a, b)]
-                for a, b in parts:
+                named: set[str] = set()
+                for a, b in _bare(text, stamp):
+                    starts, reach, at = [], [], a  # canonical words, and how far they reach so far
+                    while right and (m := right.search(text, at, b)):
+                        named.add(m.group())
+                        starts.append(m.start())
+                        reach.append(max(m.end(), reach[-1] if reach else 0))
+                        at = m.start() + 1
                     for m in wrong.finditer(text, a, b) if wrong else ():
-                        if not any(s <= m.start() and m.end() <= e for s, e in held):
+                        held = bisect_right(starts, m.start())
+                        if not held or reach[held - 1] < m.end():
                             sentence, begin = _sentence(text, m.start(), m.end())
-                            out.append((doc, m.start(), m.end(), m.group(), sentence, begin, text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 6]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _HITS.split(", ")])
+                            out.append((doc, None, m.start(), m.end(), m.group(), sentence, begin, text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 6]))
+                out += [(doc, w, None, None, None, None, None, None, None) for w in named]
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _HITS.split(", ")])
+            yield frame.astype({"start": "Int32", "end": "Int32", "sentence_at": "Int32"})
 
     return run
 
 
-def _each_start(pattern: re.Pattern, text: str, a: int, b: int):
-    """The longest match at every place at which one begins."""
-    at = a
-    while m := pattern.search(text, at, b):
-        yield m.start(), m
-        at = m.start() + 1
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def detect(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """A row for each alias found (leftmost, longest) and each entry that owns it.
+def found(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, named): a row for each alias found (leftmost, longest) and each entry that owns
+    it, and (doc_id, canonical) for each canonical word written, from one pass over the texts.
 
-    Stamps in brackets and words inside a canonical word are passed over.  The lexicon is
-    small; its words go to every task.
+    Stamps in brackets and words inside a canonical word are passed over.  A lexicon is a
+    list that people keep; its words go to every task.
     """
     index = alias_index(entries)
-    aliases, names = [r["alias"] for r in index.select("alias").collect()], [r["canonical"] for r in entries.select("canonical").distinct().collect()]
-    hits = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_detect(aliases, names), _HITS)
+    aliases, names = [r["alias"] for r in index.select("alias").collect()], [r["canonical"] for r in entries.select("canonical").distinct().collect() if r["canonical"]]
+    rows = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_detect(aliases, names), _HITS), "hits")
     plain = entries.filter("not coalesce(is_pattern, false)")
     owners = plain.select(F.explode("aliases").alias("alias"), "canonical", "category", "priority", "context_tags").dropDuplicates(["alias", "canonical"])
-    return hits.join(F.broadcast(owners), "alias").join(F.broadcast(index), "alias")
+    hits = rows.filter("alias is not null").drop("named").join(_small(owners), "alias").join(_small(index), "alias")
+    return hits, rows.filter("alias is null").select("doc_id", F.col("named").alias("canonical"))
+
+
+def detect(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """The hits of `found`."""
+    return found(docs, entries)[0]
 
 
 def _keyword_places(sentence: Column, word: str, begin: Column, end: Column) -> Column:
     """1 where `word` stands in the sentence clear of the hit's place, else 0."""
-    n = len(word)
     before = F.substr(sentence, F.lit(1), F.greatest(F.lit(0), begin))
     after = F.substr(sentence, end + 1, F.length(sentence))
-    return F.when(F.contains(before, F.lit(word)) | F.contains(after, F.lit(word)), n / n).otherwise(0.0)
+    return F.when(F.contains(before, F.lit(word)) | F.contains(after, F.lit(word)), 1.0).otherwise(0.0)
 
 
 def _count(words: tuple[str, ...]) -> Column:
@@ -129,7 +168,9 @@ def _count(words: tuple[str, ...]) -> Column:
 
 
 def document_profile(docs: DataFrame) -> DataFrame:
-    """doc_id, key, strength: how much a document speaks of a category or tag, at most 1."""
+    """doc_id, key, strength: how much a document speaks of a category or tag, at most 1.
+    Only texts with some letter of the keywords are counted."""
+    docs = docs.filter(F.col("text").rlike(KEYWORD_LETTERS))
     parts = []
     for key in dict.fromkeys((*KEYWORDS, *TAGS)):
         strong, weak = KEYWORDS.get(key, ((), ()))
@@ -178,14 +219,12 @@ def scored(hits: DataFrame, profile: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decided(F.col("score"))).drop("profile")
 
 
-def consistent(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Suggested hits are replaced where the document writes the canonical word itself or one
-    hit of the same alias and word is replaced already, and their score then reaches the
-    line.  Aliases of several owners stay."""
+def consistent(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Suggested hits are replaced where the document writes the canonical word itself (as the
+    longest one at its place) or one hit of the same alias and word is replaced already, and
+    their score then reaches the line.  Aliases of several owners stay."""
     w = W.partitionBy("doc_id", "alias", "canonical")
-    text = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), STAMP, "\n").alias("bare"))
-    named = rows.select("doc_id", "canonical").distinct().join(text, "doc_id").filter(F.contains("bare", F.col("canonical"))).select("doc_id", "canonical", F.lit(True).alias("named"))
-    rows = rows.join(named, ["doc_id", "canonical"], "left")
+    rows = rows.join(named.select("doc_id", "canonical", F.lit(True).alias("named")), ["doc_id", "canonical"], "left")
     backed = F.coalesce("named", F.lit(False)) | (F.max((F.col("decision") == "replace").cast("int")).over(w) == 1)
     lifted = backed & (F.col("owners") == 1) & (F.col("decision") == "keep_suggest") & (F.col("score_c") >= REPLACE_LINE)
     return rows.withColumn("lifted", lifted).withColumn("score", F.when(F.col("lifted"), F.col("score_c")).otherwise(F.col("score"))).withColumn(
@@ -212,14 +251,35 @@ def applied(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 def correct(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(corrected documents, decisions)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    decisions = resolved(consistent(scored(detect(docs, entries), document_profile(docs)), docs))
+    hits, named = found(docs, entries)
+    profile = document_profile(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+    decisions = stage(resolved(consistent(scored(hits, profile), named)), "decisions")
     return applied(docs, decisions), decisions
 
 
+def statistics(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """doc_id, lines, chars, applied, suggestions, candidates and whether the text changed."""
+    n = decisions.groupBy("doc_id").agg(F.count_if(F.col("decision") == "replace").alias("applied"), F.count_if(F.col("decision") == "keep_suggest").alias("suggestions"), F.count(F.lit(1)).alias("candidates"))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), F.length(text).cast("long").alias("chars"))
+    out = own.join(n, "doc_id", "left").fillna(0, ["applied", "suggestions", "candidates"])
+    return out.withColumn("changed", F.col("applied") > 0)
+
+
 def report(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Audit rows of replacements and suggestions with the number of their line."""
+    """Audit rows of replacements and suggestions with the number of their line, the parts of
+    their score and what spoke for and against."""
     text = docs.select("doc_id", "text")
     rows = decisions.filter("decision <> 'keep'").join(text, "doc_id")
     ahead = F.substr("text", F.lit(1), F.col("start"))
     line = F.length(ahead) - F.length(F.replace(ahead, F.lit("\n"), F.lit(""))) + 1
-    return rows.select("doc_id", line.alias("line"), "start", "end", F.col("alias").alias("original"), F.col("canonical").alias("corrected"), "category", "decision", F.round("score", 4).alias("score"), "sentence")
+    parts = [F.round(c, 4).alias(c) for c in ("prior", "similarity", "context", "fluency", "ambiguity")]
+    reasons = {
+        "keywords near by": F.col("n_strong") + F.col("n_weak") > 0, "tags near by": F.col("n_tags") > 0, "the document speaks of it": F.col("doc_strength") > 0,
+        "several owners": F.col("owners") > 1, "a word of its own": F.col("is_canonical"), "consistent with the document": F.col("lifted"),
+    }
+    told = F.array_compact(F.array(*[F.when(c, name) for name, c in reasons.items()]))
+    return rows.select(
+        "doc_id", line.alias("line"), "start", "end", F.col("alias").alias("original"), F.col("canonical").alias("corrected"), "category", "decision", F.round("score", 4).alias("score"),
+        *parts, F.array_join(told, "; ").alias("reasons"), "sentence",
+    )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import before, islands, ordered, range_join
+from .staging import stage
 
 # Rich tokens and what they stand for.
 TOKEN = r"<\|[^|]*\|>"
@@ -175,14 +175,21 @@ def attribution(overlaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best, total.join(right, "rec_id").select("rec_id", "total_ms", "right_ms", rate.alias("accuracy"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    used_p, used_t, n = set(), set(), 0
-    for _, p, t in sorted(zip(pairs["dist"], pairs["p"], pairs["t"])):
-        if p not in used_p and t not in used_t:
-            used_p.add(p)
-            used_t.add(t)
-            n += 1
-    return pd.DataFrame({"rec_id": pairs["rec_id"].iloc[:1], "tolerance": pairs["tolerance"].iloc[:1], "tp": [n]})
+def _matched(pairs: DataFrame) -> DataFrame:
+    """One-to-one matches of `pairs` (rec_id, tolerance, dist, p, t), the nearest first: in each
+    round the pairs that are nearest for both their ends match and take away all pairs of
+    these ends.  A round costs two windows over what is left; the rounds are staged."""
+    left, found = stage(pairs, "pairs"), None
+    nearest = lambda end: W.partitionBy("rec_id", "tolerance", end).orderBy("dist", "p", "t")
+    while True:
+        both = left.withColumns({"of_p": F.row_number().over(nearest("p")), "of_t": F.row_number().over(nearest("t"))})
+        won = stage(both.filter("of_p = 1 and of_t = 1").select("rec_id", "tolerance", "dist", "p", "t"), "matched")
+        found = won if found is None else found.unionByName(won)
+        if won.isEmpty():
+            return found
+        for end in ("p", "t"):
+            left = left.join(won.select("rec_id", "tolerance", end), ["rec_id", "tolerance", end], "left_anti")
+        left = stage(left, "pairs")
 
 
 def match_switches(predicted: DataFrame, truth: DataFrame, tolerances=TOLERANCES_MS) -> DataFrame:
@@ -193,7 +200,7 @@ def match_switches(predicted: DataFrame, truth: DataFrame, tolerances=TOLERANCES
     t = truth.select("rec_id", F.col("at").alias("t"), F.col("at").alias("t1")).distinct()
     near = range_join(p, t, ["rec_id"], ("p0", "p1"), ("t", "t1"), 60_000, closed=True).withColumn("dist", F.abs(F.col("p") - F.col("t")))
     each = near.withColumn("tolerance", F.explode(F.array(*[F.lit(x) for x in tolerances]))).filter("dist <= tolerance")
-    found = each.groupBy("rec_id", "tolerance").applyInPandas(_greedy, "rec_id long, tolerance int, tp long")
+    found = _matched(each.select("rec_id", "tolerance", "dist", "p", "t")).groupBy("rec_id", "tolerance").agg(F.count(F.lit(1)).alias("tp"))
     n_p, n_t = predicted.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_p")), truth.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_t"))
     base = n_p.join(n_t, "rec_id", "full").withColumn("tolerance", F.explode(F.array(*[F.lit(x) for x in tolerances])))
     out = base.join(found, ["rec_id", "tolerance"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))

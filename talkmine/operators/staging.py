@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,12 +9,9 @@ from pyspark.sql import DataFrame
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` as Parquet and read it back.  The folder is the session's
-    spark.checkpoint.dir; a temporary one is set only where there is none."""
+    spark.checkpoint.dir; where that is unset, one in the warehouse."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-talkmine-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/talkmine-staging"
     path = f"{where.rstrip('/')}/talkmine-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

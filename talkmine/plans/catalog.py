@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_events, q_media, q_more, q_rest, q_scan
+from . import q_events, q_media, q_more, q_new, q_rest, q_scan
 
-PARTS = (q_scan, q_events, q_media, q_more, q_rest)
+PARTS = (q_scan, q_events, q_media, q_more, q_rest, q_new)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def ag_coverage_rate(spark, d):
 
 
 def wn_gap_stories(spark, d):
-    return structure.gap_stories(views.candidates(spark, d).filter("cand_no % 5 = 0"), views.chapters(spark, d), 20.0)
+    return structure.gap_stories(views.candidates(spark, d), views.chapters(spark, d), 20.0)
 
 
 def wn_fixed_chapters(spark, d):
@@ -265,7 +265,7 @@ SELECT c.rec_id, chapter_count, story_count, with_events, without_events, f.stor
     "ag_default_stories": _str(""" SELECT h.rec_id, h.chapter_id, h.chapter_id || '-story-1' AS story_id, h.start, h."end", string_agg(CAST(c.cand_no AS VARCHAR), ',' ORDER BY c.cand_no) AS event_nos
 FROM chapters h JOIN candidates c ON h.rec_id = c.rec_id AND c.start >= h.start AND c.start < h."end" WHERE h.chapter_id IN ('c0', 'c2') GROUP BY ALL"""),
     "ag_coverage_rate": views.with_views("candidates", "stories", body=_TOLD + " SELECT rec_id, round(avg(CASE WHEN story_id <> '__unknown__' THEN 1.0::DOUBLE ELSE 0 END), 6) AS known_share FROM told GROUP BY 1"),
-    "wn_gap_stories": views.with_views("candidates", "chapters", body=""", i AS (SELECT c.*, chapter_id FROM candidates c JOIN chapters h ON h.rec_id = c.rec_id AND c.start >= h.start AND c.start < h."end" WHERE cand_no % 5 = 0),
+    "wn_gap_stories": views.with_views("candidates", "chapters", body=""", i AS (SELECT c.*, chapter_id FROM candidates c JOIN chapters h ON h.rec_id = c.rec_id AND c.start >= h.start AND c.start < h."end"),
 m AS (SELECT *, CASE WHEN start - lag("end") OVER w > 20 THEN 1 ELSE 0 END AS b FROM i WINDOW w AS (PARTITION BY rec_id, chapter_id ORDER BY start, cand_no)),
 r AS (SELECT *, 1 + CAST(sum(b) OVER (PARTITION BY rec_id, chapter_id ORDER BY start, cand_no) AS BIGINT) AS story_no FROM m)
 SELECT rec_id, chapter_id, story_no, min(start) AS start, max("end") AS "end", count(*) AS n FROM r GROUP BY ALL"""),

@@ -57,7 +57,7 @@ def wn_run_hints(spark, d):
 
 
 def wn_merge_adjacent(spark, d):
-    rows = _some_null(spark, d).filter("spk is not null").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.substr("text", F.lit(1), F.lit(20))).otherwise(""))
+    rows = _some_null(spark, d).filter("spk is not null").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.col("text")).otherwise(""))
     return speakers.merge_adjacent(rows, 0.0)
 
 
@@ -148,7 +148,7 @@ def ag_hotspot_stats(spark, d):
 
 
 def _known(spark, d):
-    e = views.candidates(spark, d).filter("cand_no % 9 = 0").select("rec_id", (F.col("start") / 600).alias("start"), (F.col("end") / 600).alias("end"))
+    e = views.candidates(spark, d).select("rec_id", (F.col("start") / 600).alias("start"), (F.col("end") / 600).alias("end"))
     return audio.known_or_missed(audio.with_text(_spots(spark, d), _short_segments(spark, d)), e)
 
 
@@ -255,7 +255,7 @@ sh AS (SELECT rec_id, line_no, start / 100 AS start, "end" / 100 AS "end", subst
 tg0 AS (SELECT p.rec_id, p.first, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS text_density FROM spots p LEFT JOIN sh ON sh.rec_id = p.rec_id AND sh.start < p."end" AND sh."end" > p.start GROUP BY ALL),
 tagged AS (SELECT *, CASE WHEN text_density <= 8 THEN '文本弱' WHEN text_density <= 30 THEN '文本中' ELSE '文本强' END AS text_tag FROM tg0 JOIN spots USING (rec_id, first))"""
 _KNOWN = _TAGGED + ", " + views.SQL["candidates"] + """, weak AS (SELECT *, (start + "end") / 2 AS c FROM tagged WHERE text_tag = '文本弱' AND kind <> 'energy_burst'),
-known AS (SELECT w.*, EXISTS (SELECT 1 FROM candidates e WHERE e.cand_no % 9 = 0 AND e.rec_id = w.rec_id AND e.start / 600 <= w.c AND e."end" / 600 >= w.c) AS known FROM weak w)"""
+known AS (SELECT w.*, EXISTS (SELECT 1 FROM candidates e WHERE e.rec_id = w.rec_id AND e.start / 600 <= w.c AND e."end" / 600 >= w.c) AS known FROM weak w)"""
 _SPEECH = _FEATS + ", " + views.SQL["segments"] + """, marks AS (SELECT f.rec_id, f.frame_idx, EXISTS (SELECT 1 FROM segments s WHERE s.rec_id = f.rec_id AND f.frame_idx >= floor(s.start / 100 * 10) AND f.frame_idx < floor(s."end" / 100 * 10)) AS speech FROM feats f)"""
 
 ORACLE = {
@@ -269,7 +269,7 @@ SELECT rec_id, printf('ae-%06d', row_number() OVER (PARTITION BY rec_id ORDER BY
     "wn_turns_overlap": _sen(_NULLS + ', lng AS (SELECT * REPLACE ("end" + 1500 AS "end") FROM told)' + _turns("lng", 1000) + """, o AS (SELECT *, coalesce(lead(spk) OVER w IS NOT NULL AND lead(start) OVER w < "end", FALSE) AS overlap FROM turns WINDOW w AS (PARTITION BY rec_id ORDER BY turn_no)) SELECT * FROM o WHERE spk IS NOT NULL"""),
     "wn_speaker_runs": _sen(_RUNS + ' SELECT rec_id, run_no, spk, start, "end", n FROM runs'),
     "wn_run_hints": _sen(_RUNS + " SELECT rec_id, run_no, spk, start, hint, run_no > 0 OR start > 0 AS switch FROM runs"),
-    "wn_merge_adjacent": _sen(_NULLS + ", src AS (SELECT * REPLACE (CASE WHEN line_no % 2 = 0 THEN substr(text, 1, 20) ELSE '' END AS text) FROM told WHERE spk IS NOT NULL)" + _turns("src", 1) + """
+    "wn_merge_adjacent": _sen(_NULLS + ", src AS (SELECT * REPLACE (CASE WHEN line_no % 2 = 0 THEN text ELSE '' END AS text) FROM told WHERE spk IS NOT NULL)" + _turns("src", 1) + """
 SELECT rec_id, min(spk) AS spk, min(start) AS start, max("end") AS "end", min_by(text, line_no) FILTER (text <> '') AS text FROM r5 GROUP BY rec_id, run, part"""),
     "wn_truth_switches": _tru(""", l AS (SELECT *, lag(speaker) OVER w AS was, lag("end") OVER w AS until FROM truth WINDOW w AS (PARTITION BY rec_id ORDER BY line_no)) SELECT rec_id, line_no, (until + start) / 2 AS at FROM l WHERE speaker <> was"""),
     "wn_exclusive_time": _sen(_OVER + ' SELECT rec_id, a AS start, b AS "end", spk FROM act WHERE k = 1'),

@@ -62,12 +62,12 @@ def src_provider_a(spark, d):
 
 
 def jn_context(spark, d):
-    c = views.candidates(spark, d).filter("cand_no % 7 = 0 and rec_id < 5").select("rec_id", F.col("cand_no").alias("event_no"), F.floor(F.col("start") / 3).alias("start"), F.floor(F.col("end") / 3).alias("end"))
+    c = views.candidates(spark, d).select("rec_id", F.col("cand_no").alias("event_no"), F.floor(F.col("start") / 3).alias("start"), F.floor(F.col("end") / 3).alias("end"))
     return events.contexts(c, views.segments(spark, d), 30, 30, 3000).select("rec_id", "event_no", "lines", F.md5("text").alias("text_md5"))
 
 
 def jn_review_context(spark, d):
-    c = views.candidates(spark, d).filter("cand_no % 7 = 0 and rec_id < 5").select("rec_id", F.col("cand_no").alias("event_no"), F.floor(F.col("start") / 3).alias("start"), F.floor(F.col("end") / 3).alias("end"))
+    c = views.candidates(spark, d).select("rec_id", F.col("cand_no").alias("event_no"), F.floor(F.col("start") / 3).alias("start"), F.floor(F.col("end") / 3).alias("end"))
     return events.review_contexts(c, views.segments(spark, d), 60, 4000, 1).select("rec_id", "event_no", "lines", F.md5("text").alias("text_md5"))
 
 
@@ -175,7 +175,7 @@ _cand = lambda body: views.with_views("candidates", body=body)
 _LINE = "trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'))"
 _MM = lambda c: f"printf('%02d:%02d', {c} // 60, {c} % 60)"
 _STAMP = f"'[' || {_CLOCK('start')} || ' - ' || {_CLOCK('e')} || '] ' || text"
-_CTX = """, ev AS (SELECT rec_id, cand_no AS event_no, start // 3 AS a, "end" // 3 AS b FROM candidates WHERE cand_no % 7 = 0 AND rec_id < 5),
+_CTX = """, ev AS (SELECT rec_id, cand_no AS event_no, start // 3 AS a, "end" // 3 AS b FROM candidates),
 sg AS (SELECT rec_id AS r, line_no, start, "end" AS e, text FROM segments), near AS (SELECT ev.*, line_no, start, e, length(text) AS n, STAMP AS line FROM ev JOIN sg ON sg.r = ev.rec_id AND start < b + AROUND AND e > a - AROUND)""".replace("STAMP", _STAMP)
 _EVENTS = """, events_ AS (SELECT rec_id, cand_no AS event_no, start, "end", score, 1 + cand_no % 3 AS source_count FROM candidates),
 later AS (SELECT rec_id, event_no, start + event_no % 4 * 5 AS start, "end", score, source_count FROM events_ WHERE event_no % 10 <> 0)"""

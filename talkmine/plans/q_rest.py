@@ -31,10 +31,10 @@ def src_judgements(spark, d):
 
 
 def src_misschecks(spark, d):
-    c = views.candidates(spark, d).filter("cand_no < 12")
+    c = views.candidates(spark, d)
     item = F.struct("cand_no", (F.col("cand_no") % 7).cast("string").alias("chunk"), (F.col("cand_no") % 3 != 0).alias("miss_risk"), F.concat(F.lit("r"), "cand_no").alias("reason"))
     made = c.groupBy("rec_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("checks"))).alias("reply"))
-    return replies.miss_checks(made, c.select("rec_id", "cand_no").filter("cand_no < 4"))
+    return replies.miss_checks(made, c.select("rec_id", "chunk_no").distinct())
 
 
 def src_simple_highlights(spark, d):
@@ -117,7 +117,7 @@ def _document(spark, d):
 
 def jn_audio_evidence(spark, d):
     u, e, t = _document(spark, d)
-    spans = views.candidates(spark, d).filter("cand_no % 5 = 0 and rec_id < 5").select("rec_id", F.col("cand_no").alias("event_no"), (F.col("start") * 333).alias("start"), (F.col("end") * 333).alias("end"))
+    spans = views.candidates(spark, d).select("rec_id", F.col("cand_no").alias("event_no"), (F.col("start") * 333).alias("start"), (F.col("end") * 333).alias("end"))
     made = quality.audio_evidence(spans, u, e, t)
     return made.select("rec_id", "event_no", F.concat_ws(",", "speakers").alias("speakers"), "emotions", F.concat_ws(",", "sounds").alias("sounds"), "turns", "turn_ms")
 
@@ -143,7 +143,7 @@ def wn_progress_monotone(spark, d):
 
 def jn_pause_event(spark, d):
     g = q_events._graded(spark, d)
-    b = views.candidates(spark, d).filter("cand_no % 4 = 0").select("rec_id", (F.col("start") + 3).alias("start"), (F.col("start") + 4).alias("end"), (F.col("score") / 10).alias("peak"))
+    b = views.candidates(spark, d).select("rec_id", (F.col("start") + 3).alias("start"), (F.col("start") + 4).alias("end"), (F.col("score") / 10).alias("peak"))
     return quality.pause_events(b, g, 5).select("rec_id", "place", "start", "event_no", "hit")
 
 
@@ -213,8 +213,8 @@ ORACLE = {
     "src_user_words": " SELECT trim(p_name) AS word, count(*) AS n FROM part WHERE p_partkey % 5 NOT IN (0, 1) GROUP BY 1",
     "src_dictionary": " SELECT 'w' || p_partkey AS wrong, 'r' || (p_partkey % 10) AS right FROM part WHERE p_partkey % 7 <> 0",
     "src_judgements": _cand(" SELECT rec_id, cand_no AS cluster_no, CASE WHEN cand_no % 3 <> 0 THEN cand_no % 2 = 0 ELSE TRUE END AS same_event, 's ' || cand_no AS event_summary, CASE WHEN cand_no % 4 = 0 THEN 'left' ELSE '' END AS expand_direction, CAST(least(1, cand_no % 5) AS DOUBLE) AS confidence FROM candidates WHERE cand_no % 11 <> 0"),
-    "src_misschecks": _cand(""", r AS (SELECT rec_id, cand_no, cand_no % 7 AS c, row_number() OVER (PARTITION BY rec_id ORDER BY cand_no) AS place FROM candidates WHERE cand_no < 12 AND cand_no % 3 <> 0)
-SELECT rec_id, place, c AS chunk_no, 'r' || cand_no AS reason FROM r WHERE place <= 3 AND c BETWEEN 1 AND 4"""),
+    "src_misschecks": _cand(""", r AS (SELECT rec_id, cand_no, cand_no % 7 AS c, row_number() OVER (PARTITION BY rec_id ORDER BY cand_no) AS place FROM candidates WHERE cand_no % 3 <> 0), n AS (SELECT rec_id, count(DISTINCT chunk_no) AS n FROM candidates GROUP BY 1)
+SELECT rec_id, place, c AS chunk_no, 'r' || cand_no AS reason FROM r JOIN n USING (rec_id) WHERE place <= 3 AND c BETWEEN 1 AND n"""),
     "src_simple_highlights": _cand(f" SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY least(10, score * 2) DESC, cand_no) AS place, {_MM('start')} AS start_time, least(10, score * 2) AS score FROM candidates WHERE cand_no % 6 <> 0"),
     "src_provider_b": _sen(""" SELECT rec_id, start / 1000 AS start, "end" / 1000 AS "end", 'spk_' || (line_no % 3) AS speaker FROM sentences WHERE line_no % 4 <> 0"""),
     "src_probe_logs": " SELECT event_id AS rec_id, event_id % 4 IN (0, 1) AS readable, event_id % 4 <> 0 AS has_audio, event_id % 4 <> 1 AS has_video, CAST(3600 + (event_id % 10) * 60 + 5.5 AS DOUBLE) AS duration_s, CASE WHEN event_id % 4 = 2 THEN 'moov atom not found' END AS fatal FROM events",
@@ -230,7 +230,7 @@ SELECT rec_id, batch_no, md5(string_agg(cand_no || ' ' || {_MM('start')} || ' '
     "wn_progress_monotone": """WITH l AS (SELECT user_id AS rec_id, event_id AS line_no, event_id % 8 AS k, CAST(floor(value) AS BIGINT) % 9 + 1 AS n FROM events),
 p AS (SELECT rec_id, line_no, CASE k WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 10 + (n - 1) / 9.0::DOUBLE * 48 WHEN 2 THEN 72 + (n - 1) / 9.0::DOUBLE * 16 WHEN 3 THEN 94 ELSE 60 END AS percent FROM l WHERE k < 5),
 m AS (SELECT *, max(percent) OVER (PARTITION BY rec_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM p) SELECT rec_id, line_no, round(percent, 6) AS percent FROM m WHERE so_far IS NULL OR percent >= so_far""",
-    "jn_pause_event": views.with_views("candidates", "reviews", body=q_events._GRADED + """, b AS (SELECT rec_id, start + 3 AS start, score, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, start) AS place FROM candidates WHERE cand_no % 4 = 0),
+    "jn_pause_event": views.with_views("candidates", "reviews", body=q_events._GRADED + """, b AS (SELECT rec_id, start + 3 AS start, score, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, start) AS place FROM candidates),
 h AS (SELECT b.rec_id, place, b.start, (SELECT arg_min(event_no, "end" * 100000 + event_no) FROM graded g WHERE g.rec_id = b.rec_id AND grade IN ('A', 'B', 'C') AND g.start <= b.start + 0.5 AND g."end" >= b.start + 0.5) AS event_no FROM b WHERE place <= 5)
 SELECT *, event_no IS NOT NULL AS hit FROM h"""),
     "ag_timing": " SELECT event_type, count(*) AS runs, round(avg(value) FILTER (event_id % 5 <> 0), 6) AS mean_warm FROM events GROUP BY 1",

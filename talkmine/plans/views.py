@@ -5,7 +5,7 @@ Integer arithmetic only, so that Spark and the SQL of the checks agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,14 +27,25 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec_id", F.row_number().over(w).cast("long").alias("line_no"), (end - F.col("dur")).alias("start"), end.alias("end"), F.col("role").alias("speaker"), "text")
 
 
+#: Candidates of a recording; their number of recordings grows with the documents.
+IN_RECORDING = 100
+
+
+def _placed(no: str) -> list[Column]:
+    """The recording of a document and its number there."""
+    return [F.floor(F.col("doc_id") / IN_RECORDING).cast("long").alias("rec_id"), (F.col("doc_id") % IN_RECORDING).alias(no)]
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, cand_no, start, end, title, reason, score, chunk_no from documents."""
+    """rec_id, cand_no, start, end, title, reason, score, chunk_no from documents: the first
+    sentence of a text is the title, the second the reason."""
     d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     start = (F.col("doc_id") * 37) % 3000
+    sentences = F.split("text", r"[.!?\n]+", -1)
     return d.select(
-        (F.col("doc_id") % 20).alias("rec_id"), F.floor(F.col("doc_id") / 20).cast("long").alias("cand_no"), start.alias("start"),
-        (start + 5 + F.col("n_chars") % 180).alias("end"), F.substr("text", F.lit(1), F.lit(40)).alias("title"),
-        F.substr("text", F.lit(41), F.lit(60)).alias("reason"), (1 + F.col("n_chars") % 10).alias("score"),
+        *_placed("cand_no"), start.alias("start"),
+        (start + 5 + F.col("n_chars") % 180).alias("end"), F.trim(F.get(sentences, 0)).alias("title"),
+        F.trim(F.coalesce(F.get(sentences, 1), F.lit(""))).alias("reason"), (1 + F.col("n_chars") % 10).alias("score"),
         F.floor(start / 600).cast("long").alias("chunk_no"),
     )
 
@@ -45,7 +56,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = lambda k: (1 + (F.col("n_chars") * k) % 10).cast("long")
     kind = F.get(F.array(F.lit(""), F.lit("truly_low_value"), F.lit("context_insufficient"), F.lit("event_incomplete"), F.lit("ai_uncertain")), (F.col("doc_id") % 5).cast("int"))
     return d.select(
-        (F.col("doc_id") % 20).alias("rec_id"), F.floor(F.col("doc_id") / 20).cast("long").alias("event_no"),
+        *_placed("event_no"),
         dim(3).alias("hook"), dim(7).alias("contrast"), dim(11).alias("persona"), dim(13).alias("standalone"), dim(17).alias("completeness"),
         (F.col("doc_id") % 9 == 0).alias("flagged"), kind.alias("reject_kind"),
     )
@@ -55,7 +66,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten stories in each recording of the candidates, with gaps between them."""
     recs = candidates(spark, sf_dir).select("rec_id").distinct()
     k = recs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
-    return k.select("rec_id", F.concat(F.lit("s"), "k").alias("story_id"), F.concat(F.lit("c"), F.floor(F.col("k") * 300 / 750)).alias("chapter_id"), (F.col("k") * 300 + F.col("rec_id")).alias("start"), (F.col("k") * 300 + 260).alias("end"))
+    return k.select("rec_id", F.concat(F.lit("s"), "k").alias("story_id"), F.concat(F.lit("c"), F.floor(F.col("k") * 300 / 750)).alias("chapter_id"), (F.col("k") * 300 + F.col("rec_id") % 20).alias("start"), (F.col("k") * 300 + 260).alias("end"))
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,19 +119,19 @@ SQL = {
       SELECT conv_id // 20 AS rec_id, conv_id, turn, role, coalesce(text, '') AS text, 3 + length(text) % 20 AS dur, length(text) % 5 AS gap FROM conversations)
     WINDOW w AS (PARTITION BY rec_id ORDER BY conv_id, turn)))""",
     "candidates": """candidates AS (
-  SELECT doc_id % 20 AS rec_id, doc_id // 20 AS cand_no, (doc_id * 37) % 3000 AS start, (doc_id * 37) % 3000 + 5 + n_chars % 180 AS "end",
-    substr(coalesce(text, ''), 1, 40) AS title, substr(coalesce(text, ''), 41, 60) AS reason, 1 + n_chars % 10 AS score, ((doc_id * 37) % 3000) // 600 AS chunk_no
-  FROM documents)""",
+  SELECT doc_id // 100 AS rec_id, doc_id % 100 AS cand_no, (doc_id * 37) % 3000 AS start, (doc_id * 37) % 3000 + 5 + n_chars % 180 AS "end",
+    trim(s[1], ' ') AS title, trim(coalesce(s[2], ''), ' ') AS reason, 1 + n_chars % 10 AS score, ((doc_id * 37) % 3000) // 600 AS chunk_no
+  FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[.!?\\n]+') AS s FROM documents))""",
     "reviews": """reviews AS (
-  SELECT doc_id % 20 AS rec_id, doc_id // 20 AS event_no, 1 + (n_chars * 3) % 10 AS hook, 1 + (n_chars * 7) % 10 AS contrast, 1 + (n_chars * 11) % 10 AS persona,
+  SELECT doc_id // 100 AS rec_id, doc_id % 100 AS event_no, 1 + (n_chars * 3) % 10 AS hook, 1 + (n_chars * 7) % 10 AS contrast, 1 + (n_chars * 11) % 10 AS persona,
     1 + (n_chars * 13) % 10 AS standalone, 1 + (n_chars * 17) % 10 AS completeness, doc_id % 9 = 0 AS flagged,
     CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'truly_low_value' WHEN 2 THEN 'context_insufficient' WHEN 3 THEN 'event_incomplete' ELSE 'ai_uncertain' END AS reject_kind
   FROM documents WHERE doc_id % 11 <> 0)""",
     "stories": """stories AS (
-  SELECT rec_id, 's' || k AS story_id, 'c' || ((k * 300) // 750) AS chapter_id, k * 300 + rec_id AS start, k * 300 + 260 AS "end"
-  FROM (SELECT DISTINCT doc_id % 20 AS rec_id FROM documents), range(0, 10) t(k))""",
+  SELECT rec_id, 's' || k AS story_id, 'c' || ((k * 300) // 750) AS chapter_id, k * 300 + rec_id % 20 AS start, k * 300 + 260 AS "end"
+  FROM (SELECT DISTINCT doc_id // 100 AS rec_id FROM documents), range(0, 10) t(k))""",
     "chapters": """chapters AS (
-  SELECT rec_id, 'c' || k AS chapter_id, k * 750 AS start, k * 750 + 750 AS "end" FROM (SELECT DISTINCT doc_id % 20 AS rec_id FROM documents), range(0, 4) t(k))""",
+  SELECT rec_id, 'c' || k AS chapter_id, k * 750 AS start, k * 750 + 750 AS "end" FROM (SELECT DISTINCT doc_id // 100 AS rec_id FROM documents), range(0, 4) t(k))""",
     "sentences": """sentences AS (SELECT rec_id, line_no, start * 1000 AS start, "end" * 1000 AS "end", speaker AS spk, text FROM segments)""",
     "truth": """truth AS (
   SELECT rec_id, line_no, start * 1000 + 137 * (line_no % 5) AS start, "end" * 1000 - 89 * (line_no % 3) AS "end", CASE WHEN line_no % 13 = 0 THEN 'unsure' ELSE speaker END AS speaker FROM segments)""",

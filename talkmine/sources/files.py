@@ -94,3 +94,39 @@ def result_documents(events: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("picked"), own))).alias("highlights"), F.array_sort(F.collect_list(F.when(~F.col("picked"), own))).alias("rejected")
     )
     return rows.select("rec_id", F.to_json(F.struct("rec_id", "highlights", "rejected")).alias("document"))
+
+
+def turn_records(turns: DataFrame) -> DataFrame:
+    """rec_id, start, record: turns (seconds) as JSON with times to the millisecond; confidence
+    only where there is one, text only where it is not empty."""
+    cols = {"start": F.round(F.col("start").cast("double"), 3), "end": F.round(F.col("end").cast("double"), 3), "speaker": F.col("speaker").cast("string")}
+    if "confidence" in turns.columns:
+        cols["confidence"] = F.round(F.col("confidence").cast("double"), 4)
+    if "text" in turns.columns:
+        cols["text"] = F.when(F.col("text") != "", F.col("text"))
+    return turns.select("rec_id", "start", F.to_json(F.struct(*[v.alias(k) for k, v in cols.items()])).alias("record"))
+
+
+#: Columns of a hotspot sheet, in order.
+HOTSPOTS = ("start", "end", "dur", "peak_energy", "peak_zcr", "kind", "text_density", "text_tag")
+
+
+def hotspot_rows(spots: DataFrame) -> DataFrame:
+    """rec_id and the columns of a hotspot sheet, from hotspots with their texts."""
+    return spots.withColumn("dur", F.round(F.col("end") - F.col("start"), 3)).select("rec_id", *HOTSPOTS)
+
+
+def write_hotspots(spots: DataFrame, path: str) -> None:
+    """CSV files with a header, in a folder for each recording."""
+    hotspot_rows(spots).repartition("rec_id").sortWithinPartitions("rec_id", "start").write.partitionBy("rec_id").option("header", True).csv(path)
+
+
+def audio_documents(meta: DataFrame, utterances: DataFrame, events: DataFrame, turns: DataFrame, faults: DataFrame) -> DataFrame:
+    """rec_id, document: one nested JSON for each recording without faults."""
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "rec_id"]))).alias(name))
+
+    sound = meta.join(faults.select("rec_id").distinct(), "rec_id", "left_anti")
+    for df, name in ((utterances, "utterances"), (events, "audio_events"), (turns, "speaker_turns")):
+        sound = sound.join(listed(df, name), "rec_id", "left")
+    return sound.select("rec_id", F.to_json(F.struct(*[c for c in sound.columns])).alias("document"))
