@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import grade
-from ..operators import cluster, grading, structure
+from ..operators import cluster, grading, lists, structure
 from . import views
 from .q_scan import _CLEAN, _FINAL, _G, _PAIRS_OF
 
@@ -111,13 +110,11 @@ def sel_display_order(spark, d):
 
 
 def wn_batches(spark, d):
-    w = W.partitionBy("rec_id").orderBy("event_no")
-    return _events(spark, d).select("rec_id", "event_no", F.floor((F.row_number().over(w) - 1) / 3).alias("batch_no"))
+    return lists.batches(_events(spark, d).select("rec_id", "event_no"), 3)
 
 
 def ag_grade_dist(spark, d):
-    made = _graded(spark, d).groupBy("rec_id").pivot("grade", ["S", "A", "B", "C", "D"]).count()
-    return made.select("rec_id", *[F.coalesce(g, F.lit(0)).alias(f"n_{g}") for g in "SABCD"])
+    return lists.grade_distribution(_graded(spark, d))
 
 
 def jn_candidate_story(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audio, feedback, speakers
+from ..operators import audio, feedback, lists, speakers
 from . import views
 
 
@@ -99,9 +99,7 @@ def ag_speaker_stats(spark, d):
 
 
 def ag_speaker_count(spark, d):
-    p = _some_null(spark, d).groupBy("rec_id").agg(F.countDistinct("spk").alias("predicted"))
-    t = views.truth(spark, d).filter("speaker <> 'unsure'").groupBy("rec_id").agg(F.countDistinct("speaker").alias("true_n"))
-    return p.join(t, "rec_id").withColumn("correct", F.col("predicted") == F.col("true_n"))
+    return lists.speaker_counts(_some_null(spark, d), views.truth(spark, d))
 
 
 def ag_segment_coverage(spark, d):
@@ -199,7 +197,7 @@ def ag_feedback_stats(spark, d):
 
 def jn_feedback(spark, d):
     clips = views.table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"))
-    return clips.join(wn_feedback_latest(spark, d).select("clip_id", "user_choice"), "clip_id", "left")
+    return lists.with_feedback(clips, wn_feedback_latest(spark, d))
 
 
 def ag_usage_cost(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clock import line_clock
-from ..operators import cluster, correction, events
+from ..operators import cluster, correction, events, lists
 from ..operators.ranges import ordered
 from ..sources import files, replies
 from . import views
@@ -133,14 +133,11 @@ def set_event_subset(spark, d):
 def set_all_events(spark, d):
     e = _events(spark, d)
     a, b = e.filter("score >= 6").withColumn("recommended", F.lit(True)), e.filter("score < 6").withColumn("reject_reason", F.lit("low"))
-    return a.unionByName(b, allowMissingColumns=True).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.count("recommended").alias("recommended"), F.count("reject_reason").alias("rejected"))
+    return lists.all_events(a, b).groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.count("recommended").alias("recommended"), F.count("reject_reason").alias("rejected"))
 
 
 def sel_top_events(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("rec_id").orderBy(F.desc("score"), "event_no")
-    return _events(spark, d).withColumn("place", F.row_number().over(w)).filter("place <= 5").select("rec_id", "place", "event_no", "score")
+    return lists.top_events(_events(spark, d), 5).select("rec_id", "place", "event_no", "score")
 
 
 def _lexicon(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import REJECT_KINDS
 from ..functions import clock, text
-from ..operators import correction, quality, speakers, windows
+from ..operators import correction, lists, quality, speakers, windows
 from ..sources import files, replies
 from . import q_events, views
 from .q_media import _TOK, _tokens
@@ -82,8 +82,7 @@ def snk_results(spark, d):
 def fn_clip_span(spark, d):
     c = views.candidates(spark, d)
     a, b = F.when(F.col("cand_no") % 3 != 0, F.col("start") + 1), F.when(F.col("cand_no") % 4 != 0, F.col("end") - 1)
-    both = a.isNotNull() & b.isNotNull()
-    return c.select("rec_id", "cand_no", F.when(both, a).otherwise(F.col("start")).alias("clip_start"), F.when(both, b).otherwise(F.col("end")).alias("clip_end"))
+    return lists.clip_spans(c, a, b).select("rec_id", "cand_no", "clip_start", "clip_end")
 
 
 def fn_norm_rec_time(spark, d):
@@ -100,14 +99,14 @@ def fn_norm_text(spark, d):
 
 
 def flt_view(spark, d):
-    rows = q_events._quantity("auto")(spark, d)
-    return rows.groupBy("rec_id").agg(F.count_if("recommended").alias("recommended"), F.count(F.lit(1)).alias("all_events"), F.count_if(~F.col("picked")).alias("rejected"))
+    e = q_events._events(spark, d).select("rec_id", "event_no", "start", "score")
+    rows = q_events._quantity("auto")(spark, d).select("rec_id", "event_no", "picked", "recommended").join(e, ["rec_id", "event_no"])
+    return lists.views(rows).select("rec_id", "view", "place", "event_no")
 
 
 def jn_story_lookup(spark, d):
     told = q_events.jn_candidate_story(spark, d)
-    s = views.stories(spark, d).select("rec_id", "story_id", "chapter_id")
-    return told.join(s, ["rec_id", "story_id"], "left").select("rec_id", "cand_no", "story_id", F.coalesce("chapter_id", F.lit("")).alias("chapter_id"))
+    return lists.story_chapters(told, views.stories(spark, d)).select("rec_id", "cand_no", "story_id", "chapter_id")
 
 
 def _document(spark, d):
@@ -155,7 +154,7 @@ def cor_merge_lexicon(spark, d):
 
 def ag_timing(spark, d):
     e = views.table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(F.when(F.col("event_id") % 5 != 0, F.col("value"))), 6).alias("mean_warm"))
+    return lists.timing(e, "event_type", F.col("event_id") % 5 != 0)
 
 
 def src_reject_kinds(spark, d):
@@ -185,9 +184,8 @@ def ag_project_list(spark, d):
 
 
 def ag_dictionary_stats(spark, d):
-    p = views.table(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey") % 200).alias("alias"), F.col("p_brand").alias("canonical")).distinct()
-    owners = p.groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
-    return owners.agg(F.count(F.lit(1)).alias("aliases"), F.count_if(F.col("n") > 1).alias("ambiguous"))
+    p = views.table(spark, d, "part").select(F.concat(F.lit("a"), F.col("p_partkey") % 200).alias("alias"), F.col("p_brand").alias("canonical"))
+    return lists.dictionary_stats(p)
 
 
 def cor_context(spark, d):
@@ -209,7 +207,7 @@ _PROBE = "SELECT event_id AS rec_id, event_id % 4 AS k FROM events"
 ORACLE = {
     "src_structure": views.with_views("stories", body=""" SELECT rec_id, chapter_id || '-' || story_id AS story_id, chapter_id, 't ' || story_id AS title, start, "end" FROM stories WHERE story_id <> 's3'"""),
     "ag_project_list": "SELECT 'p' || rec_id AS key, 'done' AS state, 'p' || rec_id AS updated_at, 4 AS chapters, 8 AS stories, recommended FROM (SELECT rec_id, count(*) FILTER (recommended AND picked) AS recommended FROM (" + q_events._sql_quantity("auto") + ") GROUP BY 1) WHERE rec_id % 6 <> 0",
-    "ag_dictionary_stats": " SELECT count(*) AS aliases, count(*) FILTER (n > 1) AS ambiguous FROM (SELECT p_partkey % 200 AS a, count(DISTINCT p_brand) AS n FROM part GROUP BY 1)",
+    "ag_dictionary_stats": " SELECT count(*) AS aliases, count(*) FILTER (n > 1) AS ambiguous, CAST(sum(n) AS BIGINT) AS rules, (SELECT count(DISTINCT p_brand) FROM part) AS entries FROM (SELECT p_partkey % 200 AS a, count(DISTINCT p_brand) AS n FROM part GROUP BY 1)",
     "src_user_words": " SELECT trim(p_name) AS word, count(*) AS n FROM part WHERE p_partkey % 5 NOT IN (0, 1) GROUP BY 1",
     "src_dictionary": " SELECT 'w' || p_partkey AS wrong, 'r' || (p_partkey % 10) AS right FROM part WHERE p_partkey % 7 <> 0",
     "src_judgements": _cand(" SELECT rec_id, cand_no AS cluster_no, CASE WHEN cand_no % 3 <> 0 THEN cand_no % 2 = 0 ELSE TRUE END AS same_event, 's ' || cand_no AS event_summary, CASE WHEN cand_no % 4 = 0 THEN 'left' ELSE '' END AS expand_direction, CAST(least(1, cand_no % 5) AS DOUBLE) AS confidence FROM candidates WHERE cand_no % 11 <> 0"),
@@ -225,7 +223,9 @@ SELECT rec_id, batch_no, md5(string_agg(cand_no || ' ' || {_MM('start')} || ' '
     "fn_clip_span": _cand(' SELECT rec_id, cand_no, CASE WHEN cand_no % 3 <> 0 AND cand_no % 4 <> 0 THEN start + 1 ELSE start END AS clip_start, CASE WHEN cand_no % 3 <> 0 AND cand_no % 4 <> 0 THEN "end" - 1 ELSE "end" END AS clip_end FROM candidates'),
     "fn_norm_rec_time": _cand(f""", s AS (SELECT rec_id, cand_no, least(3600, CASE WHEN cand_no % 3 = 0 THEN start * 2 ELSE start END) AS s FROM candidates) SELECT rec_id, cand_no, CAST(s AS DOUBLE) AS seconds, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE {_MM('s')} END AS clock FROM s"""),
     "fn_norm_text": views.with_views("segments", body=" SELECT rec_id, line_no, length(regexp_replace(text, '[\\p{P}\\p{S}\\s]+', '', 'g')) AS n, FALSE AS left_over FROM segments"),
-    "flt_view": "SELECT rec_id, count(*) FILTER (recommended) AS recommended, count(*) AS all_events, count(*) FILTER (NOT picked) AS rejected FROM (" + q_events._sql_quantity("auto") + ") GROUP BY 1",
+    "flt_view": "WITH q AS (" + q_events._sql_quantity("auto") + "), " + views.SQL["candidates"] + """, e AS (SELECT q.*, c.start, c.score FROM q JOIN candidates c ON c.rec_id = q.rec_id AND c.cand_no = q.event_no)
+SELECT rec_id, 'recommended' AS view, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, event_no) AS place, event_no FROM e WHERE recommended
+UNION ALL SELECT rec_id, 'all_events', row_number() OVER (PARTITION BY rec_id ORDER BY start, event_no), event_no FROM e UNION ALL SELECT rec_id, 'rejected', row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, event_no), event_no FROM e WHERE NOT picked""",
     "jn_story_lookup": views.with_views("candidates", "stories", body=q_events._TOLD + " SELECT t.rec_id, cand_no, t.story_id, coalesce(chapter_id, '') AS chapter_id FROM told t LEFT JOIN stories s ON s.rec_id = t.rec_id AND s.story_id = t.story_id"),
     "wn_progress_monotone": """WITH l AS (SELECT user_id AS rec_id, event_id AS line_no, event_id % 8 AS k, CAST(floor(value) AS BIGINT) % 9 + 1 AS n FROM events),
 p AS (SELECT rec_id, line_no, CASE k WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 10 + (n - 1) / 9.0::DOUBLE * 48 WHEN 2 THEN 72 + (n - 1) / 9.0::DOUBLE * 16 WHEN 3 THEN 94 ELSE 60 END AS percent FROM l WHERE k < 5),
@@ -233,7 +233,7 @@ m AS (SELECT *, max(percent) OVER (PARTITION BY rec_id ORDER BY line_no ROWS BET
     "jn_pause_event": views.with_views("candidates", "reviews", body=q_events._GRADED + """, b AS (SELECT rec_id, start + 3 AS start, score, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, start) AS place FROM candidates),
 h AS (SELECT b.rec_id, place, b.start, (SELECT arg_min(event_no, "end" * 100000 + event_no) FROM graded g WHERE g.rec_id = b.rec_id AND grade IN ('A', 'B', 'C') AND g.start <= b.start + 0.5 AND g."end" >= b.start + 0.5) AS event_no FROM b WHERE place <= 5)
 SELECT *, event_no IS NOT NULL AS hit FROM h"""),
-    "ag_timing": " SELECT event_type, count(*) AS runs, round(avg(value) FILTER (event_id % 5 <> 0), 6) AS mean_warm FROM events GROUP BY 1",
+    "ag_timing": " SELECT event_type, count(*) AS runs, round(avg(value) FILTER (event_id % 5 <> 0), 6) AS mean_warm, min(value) FILTER (event_id % 5 <> 0) AS least_warm, max(value) FILTER (event_id % 5 <> 0) AS most_warm FROM events GROUP BY 1",
     "src_reject_kinds": views.with_views("reviews", body=" SELECT reject_kind, count(*) AS n FROM reviews WHERE reject_kind <> '' GROUP BY 1"),
     "ag_doc_counts": _sen(_TOK + """, s AS (SELECT *, CASE WHEN spk IS DISTINCT FROM lag(spk) OVER w OR start - max("end") OVER (PARTITION BY rec_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 800 THEN 1 ELSE 0 END AS t FROM utt WINDOW w AS (PARTITION BY rec_id ORDER BY line_no))
 SELECT rec_id, count(*) AS utterances, count(*) FILTER (k IN (0, 1)) AS emotions, count(DISTINCT spk) AS speakers, CAST(sum(CASE k WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS BIGINT) AS audio_events, CAST(sum(t) AS BIGINT) AS turns FROM s GROUP BY 1"""),

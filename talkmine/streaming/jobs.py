@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,19 +30,39 @@ def bucket_scores(segments: DataFrame, words: Words, scan: Scan = Scan(), delay:
     return rows.groupBy("rec_id", F.window("ts", f"{b} seconds").alias("minute")).agg(F.sum("score").alias("score"))
 
 
-def feedback_into(path: str):
+#: Parts of the table of latest feedback; a batch rewrites those that its clips are in.
+BUCKETS = 256
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of versioned rows those of the newest version of each bucket."""
+    newest = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"])  # a row for each bucket
+
+
+def latest_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The table of latest feedback at `path` as it stands."""
+    return _newest(spark.read.parquet(path)).drop("bucket", "version")
+
+
+def feedback_into(path: str, buckets: int = BUCKETS):
     """For foreachBatch: merge each batch into the table of latest feedback at `path`.
 
-    Each version of the table is written beside the others under the batch's number, so a
-    batch that runs again gives the same.
+    Clips are dealt to buckets by a hash.  A batch reads the buckets that its clips are in, as
+    they stood before it, and writes them anew under its number; others stay as they are.  A
+    batch that runs again writes the same partitions again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("clip_id"), F.lit(buckets)).cast("int")
         own = latest_by_aggregation(batch)
         if number:
-            own = latest_by_aggregation(spark.read.parquet(f"{path}/version={number - 1}").unionByName(own))
-        own.write.mode("overwrite").parquet(f"{path}/version={number}")
+            touched = [r["bucket"] for r in own.select(bucket.alias("bucket")).distinct().collect()]  # numbers, `buckets` at most
+            before = spark.read.parquet(path).filter((F.col("version") < number) & F.col("bucket").isin(touched))
+            own = latest_by_aggregation(_newest(before).select(*own.columns).unionByName(own))
+        rows = own.withColumns({"version": F.lit(number), "bucket": bucket})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(path)
 
     return merge
 
@@ -74,26 +94,33 @@ def progress(events: DataFrame) -> DataFrame:
 
 def _turns(gap_ms: int):
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        closed = []
-        for batch in batches:
-            for row in batch.sort_values("line_no").itertuples(index=False):
-                if held and held[0] == row.spk and row.start - held[2] < gap_ms:
-                    held = (held[0], held[1], max(held[2], int(row.end)), held[3] + 1)
-                else:
-                    if held:
-                        closed.append((key[0], *held))
-                    held = (row.spk, int(row.start), int(row.end), 1)
-        if held:
+        held, closed = state.get if state.exists else None, []
+        rows = list(batches)
+        for row in pd.concat(rows).sort_values("line_no").itertuples(index=False) if rows and not state.hasTimedOut else ():
+            at = int(row.ts.timestamp() * 1000)
+            if held and held[0] == row.spk and row.start - held[2] < gap_ms:
+                held = (held[0], held[1], max(held[2], int(row.end)), held[3] + 1, max(held[4], at))
+            else:
+                closed += [(key[0], *held[:4])] if held else []
+                held = (row.spk, int(row.start), int(row.end), 1, at)
+        if state.hasTimedOut:
+            closed += [(key[0], *held[:4])] if held else []
+            state.remove()
+        elif held:
             state.update(held)
+            state.setTimeoutTimestamp(max(held[4] + gap_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(closed, columns=["rec_id", "spk", "start", "end", "n"])
 
     return run
 
 
-def turns(sentences: DataFrame, gap_ms: int = 800) -> DataFrame:
-    """Speaker turns of a stream of sentences in order; a turn comes out when another speaker
-    or a long gap closes it."""
-    return sentences.groupBy("rec_id").applyInPandasWithState(
-        _turns(gap_ms), "rec_id long, spk string, start long, end long, n long", "spk string, start long, end long, n long", "append", GroupStateTimeout.NoTimeout
+def turns(sentences: DataFrame, gap_ms: int = 800, delay: str = "2 minutes") -> DataFrame:
+    """Speaker turns of a stream of sentences (rec_id, show_start, line_no, start, end in ms,
+    spk); a turn comes out when another speaker or a long gap closes it, and the last one
+    of a recording when the watermark, `delay` behind, has passed its end.  Then nothing of
+    the recording is kept.  The rows of a recording in one micro-batch are put in order.
+    """
+    at = F.timestamp_millis(F.unix_millis("show_start") + F.col("end"))
+    return sentences.withColumn("ts", at).withWatermark("ts", delay).groupBy("rec_id").applyInPandasWithState(
+        _turns(gap_ms), "rec_id long, spk string, start long, end long, n long", "spk string, start long, end long, n long, at long", "append", GroupStateTimeout.EventTimeTimeout
     )

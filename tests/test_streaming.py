@@ -20,11 +20,12 @@ def run(spark, df, tmp_path, job, mode="append"):
 
 
 def test_turns(spark, tmp_path):
-    rows = [(1, k, k * 1000, k * 1000 + (900 if k % 5 else 100), "ab"[k // 3 % 2]) for k in range(12)]
-    df = spark.createDataFrame(rows, "rec_id long, line_no long, start long, end long, spk string")
+    rows = [(1, START, k, k * 1000, k * 1000 + (900 if k % 5 else 100), "ab"[k // 3 % 2]) for k in range(12)]
+    rows.append((2, START + timedelta(hours=1), 1, 0, 500, "c"))  # moves the watermark past the first recording
+    df = spark.createDataFrame(rows, "rec_id long, show_start timestamp, line_no long, start long, end long, spk string")
     made = [(r["spk"], r["start"], r["end"]) for r in run(spark, df.coalesce(1), tmp_path, jobs.turns)]
-    want = [(r["spk"], r["start"], r["end"]) for r in speakers.turns_by_gap(df).orderBy("turn_no").collect()]
-    assert made == want[:-1]  # the last turn is still open
+    want = [(r["spk"], r["start"], r["end"]) for r in speakers.turns_by_gap(df.filter("rec_id = 1").drop("show_start")).orderBy("turn_no").collect()]
+    assert made == want  # the last turn too, once the watermark has passed it
 
 
 def test_progress(spark, tmp_path):
@@ -44,8 +45,9 @@ def test_minutes(spark, tmp_path):
 def test_feedback(spark, tmp_path):
     schema = "clip_id long, user_choice string, ts timestamp, event_id long, snapshot string"
     merge = jobs.feedback_into(str(tmp_path / "t"))
-    merge(spark.createDataFrame([(1, "喜欢", START, 1, "s")], schema), 0)
+    merge(spark.createDataFrame([(1, "喜欢", START, 1, "s"), (2, "喜欢", START, 2, None)], schema), 0)
     for _ in range(2):  # a batch that runs again changes nothing
         merge(spark.createDataFrame([(1, "不喜欢", START + timedelta(1), 2, None)], schema), 1)
-    r = spark.read.parquet(str(tmp_path / "t" / "version=1")).collect()
-    assert [(x["user_choice"], x["snapshot"]) for x in r] == [("不喜欢", "s")]
+    r = jobs.latest_feedback(spark, str(tmp_path / "t")).orderBy("clip_id").collect()
+    assert [(x["user_choice"], x["snapshot"]) for x in r] == [("不喜欢", "s"), ("喜欢", None)]
+    assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1  # the other clip's bucket is not written again
