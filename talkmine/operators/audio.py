@@ -87,6 +87,12 @@ def review_list(missed: DataFrame, top: int = 25) -> DataFrame:
     return missed.filter("not known").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
 
 
+def strong_list(spots: DataFrame, top: int = 30) -> DataFrame:
+    """Strong hotspots, those of most energy first."""
+    w = W.partitionBy("rec_id").orderBy(F.desc("peak_energy"), "first")
+    return spots.filter("kind = 'strong_anomaly'").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+
+
 def energy_bursts(feats: DataFrame, least: float = 0.02, ratio: float = 3.0, back: int = 20, gap: int = 5) -> DataFrame:
     """Bursts out of a whole look-back; hits less than `gap` frames after the last one ends
     are one."""

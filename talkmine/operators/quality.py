@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,11 @@ def document_counts(utterances: DataFrame, events: DataFrame, turns: DataFrame)
     return out.select("rec_id", "utterances", "emotions", "speakers", F.coalesce("audio_events", F.lit(0)).alias("audio_events"), F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
+def recognised(end: Column, total: Column) -> Column:
+    """How far recognition has come, in hundredths: under 100 until it has ended."""
+    return F.when(total > 0, F.least(end / total * 100, F.lit(99.5))).otherwise(0.0)
+
+
 def audio_evidence(spans: DataFrame, utterances: DataFrame, events: DataFrame, turns: DataFrame) -> DataFrame:
     """Speakers, emotions, sounds and turns inside each event (times in ms): evidence beside
     it, no part of its score."""

@@ -209,21 +209,32 @@ def match_switches(predicted: DataFrame, truth: DataFrame, tolerances=TOLERANCES
 
 
 def speaker_stats(sentences: DataFrame) -> DataFrame:
-    """Sentences, speakers, and mean, median, least and most length of a sentence."""
+    """Sentences, speakers, mean, median, least and most length of a sentence, the share of
+    punctuation among the letters of the text, and the rich tokens in it."""
     ms = F.col("end") - F.col("start")
+    text = F.coalesce("text", F.lit(""))
+    marks, letters = F.sum(F.regexp_count(text, F.lit(r"\p{P}"))), F.sum(F.length(text))
     return sentences.groupBy("rec_id").agg(
         F.count(F.lit(1)).alias("sentences"), F.countDistinct("spk").alias("speakers"), F.sum(ms).alias("voiced_ms"), F.round(F.avg(ms), 6).alias("mean_ms"),
         F.percentile(ms, 0.5).alias("median_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
+        F.round(F.coalesce(F.try_divide(marks, letters), F.lit(0.0)), 6).alias("punctuation"), F.sum(F.regexp_count(text, F.lit(r"<\|[^|]*\|>"))).alias("rich_tokens"),
     )
 
 
 def segment_coverage(sentences: DataFrame, truth: DataFrame) -> DataFrame:
-    """For each truth segment: sentences in it, and the speaker with the most time there."""
+    """For each truth segment: sentences in it, the time of each speaker there, the speaker
+    with the most, and how often the speaker changes from one sentence to the next."""
     labels = truth.select("rec_id", F.col("line_no").alias("label_no"), F.col("start").alias("t0"), F.col("end").alias("t1"))
     both = range_join(sentences, labels, ["rec_id"], ("start", "end"), ("t0", "t1"), 60_000)
     ms = F.least("end", "t1") - F.greatest("start", "t0")
-    own = both.groupBy("rec_id", "label_no", "spk").agg(F.sum(ms).alias("ms"), F.count(F.lit(1)).alias("n"))
-    return own.groupBy("rec_id", "label_no").agg(F.sum("n").alias("sentences"), F.sum("ms").alias("ms"), F.min_by("spk", F.struct((-F.col("ms")).alias("m"), "spk")).alias("majority"))
+    w = W.partitionBy("rec_id", "label_no").orderBy("start", "line_no")
+    turns_ = F.row_number().over(w) > 1
+    both = both.withColumn("turns__s", (turns_ & ~F.lag("spk").over(w).eqNullSafe(F.col("spk"))).cast("long"))
+    own = both.groupBy("rec_id", "label_no", "spk").agg(F.sum(ms).alias("ms"), F.count(F.lit(1)).alias("n"), F.sum("turns__s").alias("t"))
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("spk", "ms"))), lambda x: F.concat_ws(":", x["spk"], x["ms"].cast("string"))), ",")
+    return own.groupBy("rec_id", "label_no").agg(
+        F.sum("n").alias("sentences"), F.sum("ms").alias("ms"), F.min_by("spk", F.struct((-F.col("ms")).alias("m"), "spk")).alias("majority"), each.alias("by_speaker"), F.sum("t").alias("switches")
+    )
 
 
 def turn_projection(segments: DataFrame, turns: DataFrame, least: float = 0.6) -> DataFrame:

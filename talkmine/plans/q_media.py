@@ -158,6 +158,10 @@ def sel_review_list(spark, d):
     return audio.review_list(_known(spark, d), 5).select("rec_id", "first", "place")
 
 
+def sel_strong_list(spark, d):
+    return audio.strong_list(_spots(spark, d), 30).select("rec_id", "first", "place")
+
+
 def wn_energy_bursts(spark, d):
     return audio.energy_bursts(_feats(spark, d), 0.02, 1.6, 20, 5).select("rec_id", "first", "last", F.round("peak", 6).alias("peak"))
 
@@ -207,7 +211,7 @@ def ag_usage_cost(spark, d):
 QUERIES = {f.__name__: f for f in (
     src_rich_tokens, doc_utterances, doc_audio_events, doc_speakers, wn_turns_gap, wn_turns_overlap, wn_speaker_runs, wn_run_hints, wn_merge_adjacent, wn_truth_switches,
     wn_exclusive_time, wn_exclusive_overlap, jn_truth_overlap, ag_attribution, ag_best_mapping, cl_match_switches, ag_speaker_stats, ag_speaker_count, ag_segment_coverage,
-    jn_turn_projection, ag_frame_feats, wn_hotspots, jn_hotspot_text, ag_hotspot_stats, jn_hotspot_event, sel_review_list, wn_energy_bursts, wn_pauses, wn_pause_bursts,
+    jn_turn_projection, ag_frame_feats, wn_hotspots, jn_hotspot_text, ag_hotspot_stats, jn_hotspot_event, sel_review_list, sel_strong_list, wn_energy_bursts, wn_pauses, wn_pause_bursts,
     wn_baseline_pct, wn_anomalies, jn_speech_mark, ag_speech_share, wn_feedback_latest, ag_feedback_stats, jn_feedback, ag_usage_cost,
 )}
 
@@ -275,10 +279,12 @@ SELECT rec_id, min(spk) AS spk, min(start) AS start, max("end") AS "end", min_by
     "jn_truth_overlap": _tru(_TRUTH + " SELECT * FROM ov"),
     "ag_best_mapping": _tru(_TRUTH + " SELECT * FROM best"),
     "ag_attribution": _tru(_TRUTH + """, t AS (SELECT rec_id, CAST(sum(ms) AS BIGINT) AS total_ms FROM ov GROUP BY 1), r AS (SELECT rec_id, CAST(sum(ms) AS BIGINT) AS right_ms FROM best GROUP BY 1) SELECT rec_id, total_ms, right_ms, round(right_ms / total_ms, 4) AS accuracy FROM t JOIN r USING (rec_id)"""),
-    "ag_speaker_stats": _sen(""" SELECT rec_id, count(*) AS sentences, count(DISTINCT spk) AS speakers, CAST(sum("end" - start) AS BIGINT) AS voiced_ms, round(avg("end" - start), 6) AS mean_ms, quantile_cont("end" - start, 0.5) AS median_ms, min("end" - start) AS min_ms, max("end" - start) AS max_ms FROM sentences GROUP BY 1"""),
+    "ag_speaker_stats": _sen(""" SELECT rec_id, count(*) AS sentences, count(DISTINCT spk) AS speakers, CAST(sum("end" - start) AS BIGINT) AS voiced_ms, round(avg("end" - start), 6) AS mean_ms, quantile_cont("end" - start, 0.5) AS median_ms, min("end" - start) AS min_ms, max("end" - start) AS max_ms,
+  round(sum(len(regexp_extract_all(text, '\\p{P}'))) / sum(length(text)), 6) AS punctuation, CAST(sum(len(regexp_extract_all(text, '<\\|[^|]*\\|>'))) AS BIGINT) AS rich_tokens FROM sentences GROUP BY 1"""),
     "ag_speaker_count": _tru(_NULLS + """ SELECT rec_id, predicted, true_n, predicted = true_n AS correct FROM (SELECT rec_id, count(DISTINCT spk) AS predicted FROM told GROUP BY 1) JOIN (SELECT rec_id, count(DISTINCT speaker) AS true_n FROM truth WHERE speaker <> 'unsure' GROUP BY 1) USING (rec_id)"""),
-    "ag_segment_coverage": _tru(""", o AS (SELECT t.rec_id, t.line_no AS label_no, spk, CAST(sum(least(s."end", t."end") - greatest(s.start, t.start)) AS BIGINT) AS ms, count(*) AS n FROM sentences s JOIN truth t ON s.rec_id = t.rec_id AND s.start < t."end" AND s."end" > t.start GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY rec_id, label_no ORDER BY ms DESC, spk) AS pl FROM o) SELECT rec_id, label_no, CAST(sum(n) AS BIGINT) AS sentences, CAST(sum(ms) AS BIGINT) AS ms, min(spk) FILTER (pl = 1) AS majority FROM p GROUP BY ALL"""),
+    "ag_segment_coverage": _tru(""", j AS (SELECT t.rec_id, t.line_no AS label_no, spk, least(s."end", t."end") - greatest(s.start, t.start) AS d, CASE WHEN spk <> lag(spk) OVER (PARTITION BY t.rec_id, t.line_no ORDER BY s.start, s.line_no) THEN 1 ELSE 0 END AS c FROM sentences s JOIN truth t ON s.rec_id = t.rec_id AND s.start < t."end" AND s."end" > t.start),
+o AS (SELECT rec_id, label_no, spk, CAST(sum(d) AS BIGINT) AS ms, count(*) AS n, sum(c) AS c FROM j GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY rec_id, label_no ORDER BY ms DESC, spk) AS pl FROM o) SELECT rec_id, label_no, CAST(sum(n) AS BIGINT) AS sentences, CAST(sum(ms) AS BIGINT) AS ms, min(spk) FILTER (pl = 1) AS majority, string_agg(spk || ':' || ms, ',' ORDER BY spk) AS by_speaker, CAST(sum(c) AS BIGINT) AS switches FROM p GROUP BY ALL"""),
     "jn_turn_projection": _sen(_NULLS + _turns("told", 800) + """, t AS (SELECT rec_id, spk, start AS t0, "end" + 500 AS t1 FROM turns WHERE spk IS NOT NULL AND turn_no % 5 <> 0),
 o AS (SELECT s.rec_id, s.line_no, t.spk, sum(least(s."end", t1) - greatest(s.start, t0)) AS ms FROM sentences s JOIN t ON s.rec_id = t.rec_id AND s.start < t1 AND s."end" > t0 GROUP BY ALL),
 g AS (SELECT rec_id, line_no, count(*) AS n, arg_max(spk, ms) AS spk, max(ms) AS ms FROM o GROUP BY ALL)
@@ -290,6 +296,7 @@ SELECT s.rec_id, s.line_no, CASE WHEN n > 1 THEN 'overlap' WHEN ms / (s."end" -
   count(*) FILTER (text_tag = '文本弱') AS text_weak, count(*) FILTER (text_tag = '文本弱' AND kind <> 'energy_burst') AS strong_text_weak FROM tagged GROUP BY 1""",
     "jn_hotspot_event": _KNOWN + " SELECT rec_id, first, known FROM known",
     "sel_review_list": _KNOWN + " SELECT rec_id, first, place FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY text_density, round(peak_energy, 4) DESC, first) AS place FROM known WHERE NOT known) WHERE place <= 5",
+    "sel_strong_list": _SPOTS + " SELECT rec_id, first, place FROM (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY round(peak_energy, 4) DESC, first) AS place FROM spots WHERE kind = 'strong_anomaly') WHERE place <= 30",
     "wn_energy_bursts": _FEATS + f", med AS (SELECT *, {_MED} AS med FROM feats), " + _ISLES("med", "frame_idx >= 20 AND med > 0 AND rms > 0.02 AND rms / med > 1.6", 5) + " SELECT rec_id, min(frame_idx) AS first, max(frame_idx) AS last, round(max(rms), 6) AS peak FROM k3 GROUP BY rec_id, run",
     "wn_pauses": _FEATS + ", " + _ISLES("feats", "rms < 0.13") + " SELECT rec_id, min(frame_idx) AS first, max(frame_idx) AS last FROM k3 GROUP BY rec_id, run HAVING count(*) >= 3",
     "wn_pause_bursts": _FEATS + ", " + _ISLES("feats", "rms < 0.13") + """, ps AS (SELECT rec_id, min(frame_idx) AS p0, max(frame_idx) AS p1 FROM k3 GROUP BY rec_id, run HAVING count(*) >= 3),

@@ -61,6 +61,12 @@ def snk_audio_doc(spark, d):
     return made.select("rec_id", F.get_json_object("document", "$.version").alias("version"), size("utterances").alias("utterances"), size("speaker_turns").alias("turns"))
 
 
+def fn_recognised(spark, d):
+    s = views.segments(spark, d)
+    total = s.groupBy("rec_id").agg(F.max("end").alias("total"))
+    return s.join(total, "rec_id").select("rec_id", "line_no", F.round(quality.recognised(F.col("end"), F.col("total")), 6).alias("percent"))
+
+
 def _raw(spark, d):
     p = views.table(spark, d, "part")
     no = F.col("p_partkey").cast("string")
@@ -136,7 +142,7 @@ def set_cache_valid(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    wn_char_turns, src_annotated_truth, src_turn_sheet, snk_turns, snk_hotspot_csv, snk_audio_doc, src_raw_lexicon, cor_build_lexicon, cor_alias_index, cor_score, cor_consistency,
+    fn_recognised, wn_char_turns, src_annotated_truth, src_turn_sheet, snk_turns, snk_hotspot_csv, snk_audio_doc, src_raw_lexicon, cor_build_lexicon, cor_alias_index, cor_score, cor_consistency,
     cor_resolve, ag_correction_stats, ag_event_stats, set_run_stability, set_cache_valid,
 )}
 
@@ -146,6 +152,7 @@ p AS (SELECT *, unnest(string_split_regex(content, 'A{3,}')) AS part, unnest(ran
 r AS (SELECT *, coalesce(sum(length(part) + 3) OVER (PARTITION BY rec_id, anchor_no ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, greatest(1, length(content)) AS n FROM p)"""
 _EST = lambda c: f"CAST(floor(start + greatest(1, e - start) * ({c}) / n) AS BIGINT)"
 ORACLE = {
+    "fn_recognised": views.with_views("segments", body=""" SELECT rec_id, line_no, round(least("end" / max("end") OVER (PARTITION BY rec_id) * 100, 99.5), 6) AS percent FROM segments"""),
     "wn_char_turns": views.with_views("segments", body=_MARKED + f" SELECT rec_id, anchor_no, part_no, md5(trim(part)) AS text_md5, {_EST("at_")} AS est_start, {_EST("at_ + length(part)")} AS est_end FROM r WHERE trim(part) <> ''"),
     "src_annotated_truth": views.with_views("segments", body=_MARKED + f" SELECT rec_id, anchor_no AS seg, part_no, CASE WHEN anchor_no % 2 = 0 THEN CASE WHEN anchor_no % 7 < 2 THEN (anchor_no % 7) || ',2' WHEN anchor_no % 7 = 2 THEN '2' ELSE '2,' || (anchor_no % 7) END ELSE '' END AS people, md5(trim(part)) AS text_md5, {_EST("at_")} AS est_start, {_EST("at_ + length(part)")} AS est_end FROM r WHERE trim(part) <> ''"),
     "src_turn_sheet": views.with_views("segments", body=""", s AS (SELECT rec_id, line_no, start * 1000 AS a, "end" * 1000 AS b, 'w' || line_no || repeat('x', CAST(line_no % 6 AS INT)) AS t FROM segments),
