@@ -23,11 +23,19 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET = r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}+(?![A-Za-z0-9])"
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Gazetteers: words near a secret or a number that speak for and against it.
+#: Gazetteers, fixed values: ends of mail domains, heads of card numbers by issuer, dialling
+#: codes, and address blocks that no person has.
+MAIL_ENDS = r"(?i)\.(?:com|org|net|edu|gov|int|info|biz|io|co|me|dev|app|eu|de|at|ch|fr|be|es|pt|it|nl|uk|ie|pl|cz|se|no|dk|fi|ru|us|ca|mx|br|ar|cl|cn|jp|kr|in|au|nz|za)$"
+CARD_HEADS = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|35(?:2[89]|[3-8])|6(?:011|22|4[4-9]|5)|62|50|5[6-9]|67)"
+DIALLING = r"^\+(?:1|7|2[07]|21[0-9]|2[2-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[58][0-9]|9[0-58]|9[679][0-9])"
+NOBODYS = r"^0*(?:0|127|22[4-9]|2[34][0-9]|25[0-5])\."
+#: Words before a span that speak for and against it.
 SPEAKS_FOR = r"(?i)(?:token|secret|password|passwd|key|auth|bearer|mail|phone|tel|call|card|account|konto|iban|ip|addr)[a-z]*[\x20\x09]*[:=]?[\x20\x09]*[\"']?$"
 SPEAKS_AGAINST = r"(?i)(?:version|release|section|commit|revision|license|licence|isbn|page|chapter)[\x20\x09.:#]*$"
 CONTEXT = 24
-LABELERS = ("format", "gazetteer", "domain", "left", "right", "length", "variety")
+LABELERS = ("format", "gazetteer", "before_for", "before_against", "left", "right", "length", "variety")
+#: Spans of all kinds together count as so many of a kind when its reliabilities are fitted.
+SHARED = 8
 ROUNDS = 8
 ACCEPT = 0.5
 _RUN = 128
@@ -86,6 +94,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         "phone": lambda s: number(s).between(10, 15),
         "secret": mixed,
     }
+    listed_ = {  # (for, against)
+        "email": lambda s: (s.rlike(MAIL_ENDS), F.lit(False)),
+        "ip": lambda s: (F.lit(False), s.rlike(NOBODYS)),
+        "run": lambda s: (_digits(s).rlike(CARD_HEADS), ~_digits(s).rlike(CARD_HEADS)),
+        "phone": lambda s: (F.concat(F.lit("+"), _digits(s)).rlike(DIALLING), ~F.concat(F.lit("+"), _digits(s)).rlike(DIALLING)),
+        "secret": lambda s: (F.lit(False), F.lit(False)),
+    }
     standard = {
         "email": lambda s: F.length(s).between(6, 64),
         "ip": lambda s: F.length(s).between(7, 15),
@@ -93,6 +108,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "phone": lambda s: number(s).between(10, 12),
         "secret": lambda s: F.length(s).isin(32, 40, 64),
     }
+    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     kinds = {"email": (0, 0), "ip": (1, 1), "run": (2, 5), "phone": (3, 3), "secret": (4, 4)}
 
     def described(name: str) -> Column:
@@ -102,7 +118,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             ok = checks[name](x["word"])
             return F.struct(
                 x["start"].alias("start"), F.when(ok, yes).otherwise(no).alias("kind"), x["end"].alias("end"), ok.alias("ok"),
-                standard[name](x["word"]).alias("standard"),
+                standard[name](x["word"]).alias("standard"), vote(*listed_[name](x["word"])).alias("listed"),
                 F.size(F.array_distinct(F.split(x["word"], ""))).alias("variety"),
                 F.substr("text", F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT))).alias("before"),
                 F.substr("text", x["end"] + 1, F.lit(1)).alias("after"),
@@ -111,12 +127,12 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(name, one)
 
     df = df.select("doc_id", F.concat(*[described(n) for n in kinds]).alias("found"))
-    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
 
     def voted(x: Column) -> Column:
         left, right = F.right(x["before"], F.lit(1)), x["after"]
         votes = [
             F.when(x["ok"], 1).otherwise(-1),
+            x["listed"],
             vote(x["before"].rlike(SPEAKS_FOR), F.lit(False)),
             vote(F.lit(False), x["before"].rlike(SPEAKS_AGAINST)),
             F.when((left == "") | left.rlike(r"[\s\"'=:(<,;]"), 1).otherwise(-1),
@@ -138,30 +154,39 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> Column:
-    """Fit two-class labeler models by expectation-maximisation; the probability that a
-    span with column `votes` is personal data.
+    """Fit two-class labeler models by expectation-maximisation, each kind of span its own;
+    the probability that a span with columns `kind` and `votes` is personal data.
 
     `patterns` counts the vote vectors (kind, votes, n): at most kinds * 3 ** labelers
     rows, however many spans there are.  Each round is one aggregation over it; the driver
-    gets the sums.
+    gets the sums, a row for each kind.  A kind's rates start from those of all kinds, which
+    count as `SHARED` spans of it.
     """
     get = lambda j: F.get("votes", F.lit(j))
     balance = F.aggregate("votes", F.lit(0), lambda a, v: a + v)
     chance = 1 / (1 + F.exp(-balance.cast("double")))
+    names = [(j, v) for j in range(len(LABELERS)) for v in (-1, 0, 1)]
     for _ in range(rounds):
-        p = patterns.withColumn("p", chance)
         sums = {"yes": F.sum(F.col("n") * F.col("p")), "no": F.sum(F.col("n") * (1 - F.col("p")))}
-        for j in range(len(LABELERS)):
-            for v in (-1, 0, 1):
-                here = F.when(get(j) == v, F.col("n")).otherwise(0)
-                sums[f"yes{j},{v}"] = F.sum(here * F.col("p"))
-                sums[f"no{j},{v}"] = F.sum(here * (1 - F.col("p")))
-        got = p.agg(*[c.alias(k) for k, c in sums.items()]).first()
-        got = {k: float(x or 0) for k, x in got.asDict().items()}
-        odds = F.lit(math.log((got["yes"] + 1) / (got["no"] + 1)))
-        for j in range(len(LABELERS)):
-            weigh = {v: math.log((got[f"yes{j},{v}"] + 1) / (got["yes"] + 3)) - math.log((got[f"no{j},{v}"] + 1) / (got["no"] + 3)) for v in (-1, 0, 1)}
-            odds = odds + F.when(get(j) == 1, weigh[1]).when(get(j) == -1, weigh[-1]).otherwise(weigh[0])
+        for j, v in names:
+            here = F.when(get(j) == v, F.col("n")).otherwise(0)
+            sums[f"yes{j},{v}"] = F.sum(here * F.col("p"))
+            sums[f"no{j},{v}"] = F.sum(here * (1 - F.col("p")))
+        got = {r["kind"]: r.asDict() for r in patterns.withColumn("p", chance).groupBy("kind").agg(*[c.alias(k) for k, c in sums.items()]).collect()}
+        every = {k: sum(float(own[k] or 0) for own in got.values()) for k in sums}
+
+        def rate(own: dict, side: str, j: int, v: int) -> float:
+            all_kinds = (every[f"{side}{j},{v}"] + 1) / (every[side] + 3)
+            return (float(own[f"{side}{j},{v}"] or 0) + SHARED * all_kinds) / (float(own[side] or 0) + SHARED)
+
+        prior = (every["yes"] + 1) / (every["yes"] + every["no"] + 2)
+        odds = F.lit(0.0)
+        for kind, own in sorted(got.items()):
+            here = F.lit(math.log((float(own["yes"] or 0) + SHARED * prior) / (float(own["no"] or 0) + SHARED * (1 - prior))))
+            for j in range(len(LABELERS)):
+                weigh = {v: math.log(rate(own, "yes", j, v)) - math.log(rate(own, "no", j, v)) for v in (-1, 0, 1)}
+                here = here + F.when(get(j) == 1, weigh[1]).when(get(j) == -1, weigh[-1]).otherwise(weigh[0])
+            odds = F.when(F.col("kind") == kind, here).otherwise(odds)
         chance = 1 / (1 + F.exp(-odds))
     return chance
 
@@ -186,7 +211,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataF
 
     Base spans stay whatever the votes.  Secrets and long numbers that fail the check
     are added when the final classifier accepts them.  Null or empty text: no spans.
-    Null or repeated doc_id: a row for each row.
+    Null or repeated doc_id: a row for each row.  Empty table: no rows.  Columns other than
+    doc_id and text, whatever their names, are not read.
     """
     found = stage(candidates(docs), "spans")
     each = found.select(F.explode("found").alias("x")).select("x.*")
