@@ -122,7 +122,8 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, pair
     """doc_id, score (0 to 1, higher: likelier good) of every row of `docs`.
 
     Null or empty text: the score of an empty document.  Null or repeated doc_id: scored
-    like others.
+    like others.  No labels, or of one class only: 0.5.  Empty table: no rows.  Columns other
+    than doc_id and text, whatever their names, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_docs, pairs))
 

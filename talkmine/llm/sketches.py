@@ -27,8 +27,9 @@ def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fractio
     """Add column `out`, the sorted distinct retained shingle hashes of column `text`.
 
     All hashes below the fixed threshold are retained, and the least hash always, so
-    that a text with words has a sketch.  Sketches of two texts can be merged by their
-    union.  A text of fewer words is one shingle; one without words has none.
+    that a text with words has a sketch; `merged` gives the sketch of two texts' shingles
+    together.  A text of fewer words is one shingle; one without words has none.  Other
+    columns stay, whatever their names, but those that begin with `out` and two lines.
     """
     words, hashes = f"{out}__words", f"{out}__hashes"
     df = df.withColumn(words, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
@@ -39,6 +40,13 @@ def with_sketch(df: DataFrame, text: str, out: str, size: int = SHINGLE, fractio
     return df.withColumn(out, F.when(F.size(words) > 0, F.array_sort(F.array_distinct(kept))).otherwise(F.array().cast("array<bigint>"))).drop(words, hashes)
 
 
+def merged(a: str, b: str, fraction: float = FRACTION) -> Column:
+    """The sketch of the shingles of two texts together: all hashes below the threshold
+    and the least one."""
+    both = F.array_union(a, b)
+    return F.array_sort(F.filter(both, lambda h: (h < threshold(fraction)) | (h == F.array_min(both))))
+
+
 def containment(a: str, b: str) -> Column:
     """Estimated share of the smaller text's shingles that the other holds; of two empty
     sketches 1, of an empty and another 0."""
@@ -98,7 +106,9 @@ def edited(text: str, other: str) -> Column:
 
 def compare_with_edits(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
     """Sketches of each row's text, of its edited text and of the next row's text,
-    and how alike they are.  Null text is empty; repeated rows follow one another."""
+    and how alike they are.  Null text is empty; repeated rows follow one another; rows
+    without doc_id come last.  Empty table: no rows.  Columns other than doc_id and text,
+    whatever their names, are not read."""
     df = with_next(docs).withColumn("edited_text", edited("text", "next_text"))
     for text, out in (("text", "sketch"), ("edited_text", "edited_sketch"), ("next_text", "next_sketch")):
         df = with_sketch(df, text, out, size, fraction)

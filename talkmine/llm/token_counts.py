@@ -128,7 +128,8 @@ def count_tokens(
     at last as one chunk.  Both ways give the library's own count.
 
     Null or empty text: 0 bytes and tokens.  Null or repeated doc_id: one row for
-    each row.  Equal huge texts are encoded once.
+    each row.  Equal huge texts are encoded once.  Empty table: no rows.  Columns other than
+    doc_id and text, whatever their names, are not read.
     """
     path = path or tokens.default_path()
     rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("n_points", F.length("text"))
