@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import form_similarity, occurrences
+from ..functions.text import form_similarity
 from .staging import stage
 
 # Fixed values of the scorer: priors, keywords, marks and lines.
@@ -152,19 +153,19 @@ def detect(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return found(docs, entries)[0]
 
 
-def _keyword_places(sentence: Column, word: str, begin: Column, end: Column) -> Column:
-    """1 where `word` stands in the sentence clear of the hit's place, else 0."""
-    before = F.substr(sentence, F.lit(1), F.greatest(F.lit(0), begin))
-    after = F.substr(sentence, end + 1, F.length(sentence))
-    return F.when(F.contains(before, F.lit(word)) | F.contains(after, F.lit(word)), 1.0).otherwise(0.0)
+def _listed(words) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def _count(words: tuple[str, ...]) -> Column:
-    begin, end = F.col("start") - F.col("sentence_at"), F.col("end") - F.col("sentence_at")
-    total = F.lit(0.0)
-    for w in words:
-        total = total + _keyword_places(F.col("sentence"), w, begin, end)
-    return total
+def _by_key(key: Column, table: dict) -> Column:
+    """The words of `key` in a fixed table, none for other keys."""
+    pairs = [x for k, words in table.items() for x in (F.lit(k), _listed(words))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), _listed(()))
+
+
+def _told(words: Column) -> Column:
+    """How many of `words` stand in the sentence clear of the hit's place."""
+    return F.size(F.filter(words, lambda w: F.contains(F.col("around"), w))).cast("double")
 
 
 def document_profile(docs: DataFrame) -> DataFrame:
@@ -174,10 +175,10 @@ def document_profile(docs: DataFrame) -> DataFrame:
     parts = []
     for key in dict.fromkeys((*KEYWORDS, *TAGS)):
         strong, weak = KEYWORDS.get(key, ((), ()))
-        total = F.lit(0.0)
-        for words, weight in ((strong, 0.5), (TAGS.get(key, ()), 0.5), (weak, 0.25)):
-            for w in words:
-                total = total + weight * occurrences(F.col("text"), w)
+        weighed = [(w, 0.5) for w in (*strong, *TAGS.get(key, ()))] + [(w, 0.25) for w in weak]
+        words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in weighed])
+        n = lambda w: F.floor((F.length("text") - F.length(F.replace("text", w, F.lit("")))) / F.length(w))
+        total = F.aggregate(words, F.lit(0.0), lambda acc, x: acc + x["weight"] * n(x["word"]))  # noqa: B023
         parts.append(F.struct(F.lit(key).alias("key"), F.least(F.lit(1.0), total).alias("strength")))
     return docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.key", "p.strength").filter("strength > 0")
 
@@ -189,14 +190,15 @@ def scored(hits: DataFrame, profile: DataFrame) -> DataFrame:
     rows = hits.join(own, "doc_id", "left")
     keys = F.array_append(F.coalesce("context_tags", F.array().cast("array<string>")), F.col("category"))
     strength = F.coalesce(F.array_max(F.transform(keys, lambda k: F.coalesce(F.try_element_at("profile", k), F.lit(0.0)))), F.lit(0.0))
-    strong, weak, tags, prior = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.45)
-    for category, (s, w) in KEYWORDS.items():
-        here = F.col("category") == category
-        strong, weak = F.when(here, _count(s)).otherwise(strong), F.when(here, _count(w)).otherwise(weak)
-        prior = F.when(here, PRIOR[category]).otherwise(prior)
-    for tag, words in TAGS.items():
-        tags = tags + F.when(F.array_contains(F.coalesce("context_tags", F.array().cast("array<string>")), tag), _count(words)).otherwise(0.0)
-    rows = rows.withColumns({"n_strong": strong, "n_weak": weak, "n_tags": tags, "doc_strength": strength, "prior": prior})
+    begin, end = F.col("start") - F.col("sentence_at"), F.col("end") - F.col("sentence_at")
+    # the sentence without the hit; no word holds the sign between its halves
+    around = F.concat(F.substr("sentence", F.lit(1), F.greatest(F.lit(0), begin)), F.lit("\u0000"), F.substr("sentence", end + 1, F.length("sentence")))
+    rows = rows.withColumn("around", around)
+    category, own_tags = F.col("category"), F.array_distinct(F.coalesce("context_tags", F.array().cast("array<string>")))
+    tagged = F.aggregate(own_tags, F.lit(0.0), lambda acc, t: acc + _told(_by_key(t, TAGS)))
+    prior = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in PRIOR.items() for x in item]), category), F.lit(0.45))
+    strong, weak = (_told(_by_key(category, {k: v[i] for k, v in KEYWORDS.items()})) for i in (0, 1))
+    rows = rows.withColumns({"n_strong": strong, "n_weak": weak, "n_tags": tagged, "doc_strength": strength, "prior": prior}).drop("around")
 
     def context(base: float) -> Column:
         local = F.when(F.col("n_strong") > 0, F.greatest(F.lit(base), F.least(F.lit(1.0), 0.6 + 0.15 * (F.col("n_strong") - 1)))).when(F.col("n_weak") > 0, F.greatest(F.lit(base), F.lit(0.30))).otherwise(base)
@@ -238,14 +240,25 @@ def resolved(rows: DataFrame) -> DataFrame:
     return rows.withColumn("decision", F.when(F.row_number().over(w) == 1, F.col("decision")).otherwise("keep"))
 
 
+@F.pandas_udf(T.StringType())
+def _written(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with the words at `spans` (start, end, canonical; in order) in place of their own:
+    one pass over a text, however many places it has."""
+    out = []
+    for t, own in zip(text, spans):
+        parts, at = [], 0
+        for x in own if own is not None else ():
+            parts += [t[at : x["start"]], x["canonical"]]
+            at = x["end"]
+        out.append("".join(parts) + t[at:] if parts else t)
+    return pd.Series(out, dtype="object")
+
+
 def applied(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """doc_id, text, corrected, n_applied: replaced places written anew from right to left."""
-    spans = decisions.filter("decision = 'replace'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "canonical")), asc=False).alias("spans"))
-    text = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,canonical:string>>")), F.col("text"),
-        lambda acc, x: F.concat(F.substr(acc, F.lit(1), x["start"]), x["canonical"], F.substr(acc, x["end"] + 1, F.length(acc))),
-    )
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", text.alias("corrected"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_applied"))
+    """doc_id, text, corrected, n_applied: replaced places written anew."""
+    spans = decisions.filter("decision = 'replace'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "canonical"))).alias("spans"))
+    rows = docs.join(spans, "doc_id", "left")
+    return rows.select("doc_id", "text", _written("text", "spans").alias("corrected"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_applied"))
 
 
 def correct(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
