@@ -19,9 +19,9 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
         bits *= 2
     at = F.pmod(F.col(column), F.lit(bits - 1))  # an odd number, so that regular ids spread
     rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("word"))
-    rows = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()
+    rows = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 

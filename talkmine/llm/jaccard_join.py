@@ -33,15 +33,17 @@ FREQUENT_AT_MOST = 500_000
 #: Shingles that are counted, in hundredths of a prefix.
 PROBE = 130
 #: Coarse bitmaps hold one in four shingles and half a bit or more for each of the set's,
-#: fine ones all and two bits or more, small sets up to eight: (one in, bits a shingle,
-#: bits a shingle while the bitmap is of at most so many bits, most bits).
+#: fine ones all shingles and a bit or more for each, rich ones two bits or more, small sets
+#: up to four: (one in, bits a shingle, bits a shingle while the bitmap is of at most so many
+#: bits, most bits).
 COARSE = (4, 0.5, 0.5, 0, 1 << 14)
-FINE = (1, 2, 4, 1 << 11, 1 << 18)
+FINE = (1, 1, 1, 0, 1 << 18)
+RICH = (1, 2, 4, 1 << 11, 1 << 18)
 LEAST_BITS = 64
 #: Blocks of more members are compared by stars first; others are one leaf.
 WHOLE_BLOCK = 8
 #: Members of a block that one task holds; larger blocks are split.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 #: Tables of a row for each split block are broadcast up to so many rows, and joined beyond.
 BROADCAST_ROWS = 500_000
 #: Tasks that the rows of a frequent shingle are dealt to when it is looked for.
@@ -523,8 +525,8 @@ def _sift(similarity: int):
     return run
 
 
-def _chosen(seed: int, words: int, shared):
-    """(k, the set) of the documents that may be chosen."""
+def _chosen(seed: int, words: int, shared, form):
+    """(k, form of the set) of the documents that may be chosen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -534,7 +536,7 @@ def _chosen(seed: int, words: int, shared):
                 k = set_key(own, seed)[0]
                 if k not in met and len(own):
                     met.add(k)
-                    out.append((k, own.tobytes()))
+                    out.append((k, form(own).tobytes()))
             yield pd.DataFrame(out, columns=["k", "form"])
 
     return run
@@ -554,15 +556,19 @@ def _verify(similarity: int):
     return run
 
 
-def _exact(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple) -> DataFrame:
-    """(k, form: the set) of the classes `keys`, made again from a document of each.
+def _rich(own: np.ndarray) -> np.ndarray:
+    return signature(own, RICH)
+
+
+def _forms(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple, form) -> DataFrame:
+    """(k, form of the set) of the classes `keys`, made again from a document of each.
 
     A bit table of bounded size finds these documents, so that no other text is moved.
     """
     seed, words, _ = how
     one_of = sets.join(keys, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     shared = rows.sparkSession.sparkContext.broadcast(bloom(stage(one_of, "chosen"), "doc_id"))
-    made = rows.mapInPandas(_chosen(seed, words, shared), "k long, form binary")
+    made = rows.mapInPandas(_chosen(seed, words, shared, form), "k long, form binary")
     return made.join(keys, "k", "left_semi").dropDuplicates(["k"])
 
 
@@ -573,7 +579,7 @@ def _links(rows: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame,
     left = pairs.join(fine("a", "x"), "a").join(fine("b", "y"), "b").select("a", "b", "x", "xn", "y", "yn").mapInPandas(_sift(how[2]), "a long, b long")
     left = stage(left, "sifted")
     keys = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
-    own = stage(_exact(rows, sets, keys, how), "own")
+    own = stage(_forms(rows, sets, keys, how, np.asarray), "own")
     xs, ys = own.select(F.col("k").alias("a"), F.col("form").alias("x")), own.select(F.col("k").alias("b"), F.col("form").alias("y"))
     return stage(left.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(how[2]), "a long, b long"), "links")
 
@@ -640,7 +646,7 @@ def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             break
         seed += 1
     counts = sets.select(F.explode("probe").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
-    frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toPandas().sort_values("shingle")
+    frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toArrow().to_pandas().sort_values("shingle")
     shared = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
     prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _PREFIXES)
     order = ["shingle", "part", "k"]
@@ -653,13 +659,15 @@ def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     how = (seed, words, similarity)
     links = _links(rows, sets, maps, pairs, how)
     roots = stage(components(links), "roots")
-    members, tried = first.filter("shingle is not null").drop("other"), pairs
+    members, tried, rich = first.filter("shingle is not null").drop("other"), pairs, None
     for nearest in (True, False):
         again = stage(_open(members, roots), "open")
         if again.isEmpty():
             break
-        fine = maps.select("k", "n", F.col("fine").alias("bits"))
-        found = by_block(again.join(fine, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long, shingle long")
+        if rich is None:  # later rounds look at no other class
+            made = _forms(rows, sets, again.select("k").distinct(), how, _rich).withColumnRenamed("form", "bits")
+            rich = stage(made.join(maps.select("k", "n"), "k"), "rich")
+        found = by_block(again.join(rich, "k")).mapInPandas(_later_round(similarity, nearest), "a long, b long, shingle long")
         found = stage(found, "found")
         more = stage(found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         # blocks without any likely pair have none later
@@ -682,7 +690,7 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
        shingles of one class only fall away before bitmaps are joined to the rest.
     4. A first round tests the pairs of blocks of one leaf and takes stars of larger blocks;
        fine bitmaps prune the pairs, and the exact sets of those left decide.
-    5. Two more rounds run the dual traversal of larger blocks, under fine bitmaps, between
+    5. Two more rounds run the dual traversal of larger blocks, under rich bitmaps, between
        members that are not connected yet: first each member's likeliest pair, then all.
        Pairs within a component need no link, since they change no component.
     A block of more than `BLOCK_ROWS` members is split: in the first round by a hash, with two
