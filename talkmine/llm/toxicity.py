@@ -1,15 +1,23 @@
-"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts."""
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
+
+The units are the letters of words.  Each class has its own counts of n-grams of letters
+and backs off to one Kneser-Ney model of all texts, of shorter n-grams over continuation counts,
+so a rare expression that neither class has often met is as likely in both.  Most words of a toxic document are those of any
+other, so its likelihood of a word is `MIXTURE` times that of the toxic model and the rest
+that of the ordinary one.  A document counts each of its words once, so that a
+repeated line weighs no more than a line.  Its score compares the two log-likelihoods,
+each divided by the number of words, and is calibrated on labelled rows kept out of the counts.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,95 +28,99 @@ from .staging import stage, texts
 TRAIN_DOCS = 8_000
 #: One in so many labelled documents may calibrate the score and is kept out of the counts.
 CALIBRATION = 5
-#: Letters of an n-gram; the models see words with marked ends.
-ORDER = 6
-DISCOUNT = 0.75
-#: Share of the words of a toxic document that its class model explains; the others
-#: are ordinary there too.
-MIXTURE = 0.01
+#: Letters of the classes' n-grams and of the shared ones; the models see words with marked
+#: ends.  The shared model backs off once more, to continuation counts.
+ORDER = 8
+SHARED_ORDER = 6
+#: Discounts of the classes' own counts and of the shared ones.
+OWN_DISCOUNT = 1.0
+SHARED_DISCOUNT = 0.75
+#: Share of the words of a toxic document that its class model explains.
+MIXTURE = 0.02
 #: Words added to a document's length, so that a few words alone decide little.
 SHRINK = 4
 THRESHOLD = 0.7
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 400_000
+#: Words that a task keeps before it gives out their n-grams, and scores that it keeps.
+COUNT_WORDS = 150_000
+#: Letters of a word, and words, that are counted in one matrix.
+LONG_WORD = 40
+MATRIX_WORDS = 50_000
+MEMO_WORDS = 200_000
+#: Labels are broadcast up to so many rows (16 bytes each), and joined beyond.
+BROADCAST_LABELS = 4_000_000
+#: The table of ratios is broadcast up to so many entries (12 bytes each); beyond, words meet
+#: it in a join.
+BROADCAST_ENTRIES = 8_000_000
 
 
-def marked(word: str) -> str:
-    return "^" * (ORDER - 1) + word + "$"
+def grams(word: str, order: int = ORDER) -> list[str]:
+    s = "^" * (order - 1) + word + "$"
+    return [s[k : k + order] for k in range(len(word) + 1)]
 
 
-def grams(word: str) -> Iterator[str]:
-    s = marked(word)
-    return (s[k : k + ORDER] for k in range(len(s) - ORDER + 1))
+def words_of(text: str) -> set[str]:
+    return set(WORDS.findall(text.lower()))
 
 
-class Ratio:
-    """Log-likelihood of a word in toxic documents less that in ordinary ones.
+def hashes(strings: Iterable[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each string."""
+    import xxhash
 
-    Each class has its own counts of n-grams; both back off to one distribution
-    of shared continuation counts.  Where neither class has met a context the two agree
-    (0); where an n-gram is unseen, the shared part cancels and the discounted mass
-    of the context remains.  Most words of a toxic document are ordinary, so its
-    likelihood mixes the toxic model with the ordinary one.
-    """
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in strings], np.uint64).view(np.int64)
 
-    def __init__(self, seen: dict[str, float], unseen: dict[str, float]):
-        self.seen, self.unseen = seen, unseen
-        self.memo: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        total, seen, unseen = 0.0, self.seen, self.unseen
-        for g in grams(word):
-            x = seen.get(g)
-            total += x if x is not None else unseen.get(g[:-1], 0.0)
-        return math.log1p(MIXTURE * math.expm1(min(total, 50.0)))
+def mixed(ratio: np.ndarray) -> np.ndarray:
+    """Log-likelihood of words in toxic documents less that in ordinary ones, from the
+    ratio of their models."""
+    return np.log1p(MIXTURE * np.expm1(np.minimum(ratio, 50.0)))
 
-    def text(self, text: str) -> float:
-        """Per word, with `SHRINK` words more."""
-        words = WORDS.findall(text.lower())
-        memo = self.memo
-        try:
-            return sum(map(memo.__getitem__, words)) / (len(words) + SHRINK)
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = self.word(w)
-        return sum(map(memo.__getitem__, words)) / (len(words) + SHRINK)
+
+class Ratios:
+    """Logarithms of toxic over ordinary probability, by hash of an n-gram or a context.
+
+    An n-gram that the classes have not met more than once takes the entry of its context,
+    the ratio of the discounted masses, since the shared part cancels; without that, 0.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.memo: dict[str, float] = {}
 
     def __reduce__(self):
-        return Ratio, (self.seen, self.unseen)
-
-
-def fit_ratio(counts: Iterable[tuple[str, int, int]], shared: dict[str, tuple[int, int, int]], letters: int) -> Ratio:
-    """From (n-gram, count in ordinary, count in toxic documents) and, of the endings of these
-    n-grams, (continuation count, sum and number of those of its context)."""
-    counts = list(counts)
-
-    def backoff(gram: str) -> float:
-        """Shared probability of the last letter after the ones before."""
-        p = 1 / letters
-        for n in range(1, len(gram) + 1):
-            own, total, types = shared[gram[-n:]]
-            p = (max(own - DISCOUNT, 0.0) + DISCOUNT * types * p) / total
-        return p
-
-    contexts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    for g, a, b in counts:
-        c = contexts[g[:-1]]
-        for k, x in ((0, a), (1, b)):
-            c[k] += x
-            c[2 + k] += x > 0
-    mass = {c: [DISCOUNT * types / n if n else 1.0 for n, types in ((x[0], x[2]), (x[1], x[3]))] for c, x in contexts.items()}
-    seen = {}
-    for g, *own in counts:
-        c, p = contexts[g[:-1]], backoff(g[1:])
-        q = [(max(own[k] - DISCOUNT, 0.0) / c[k] if c[k] else 0.0) + mass[g[:-1]][k] * p for k in (0, 1)]
-        seen[g] = math.log(q[1] / q[0])
-    return Ratio(seen, {c: math.log(m[1] / m[0]) for c, m in mass.items()})
+        return Ratios, (self.keys, self.values)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.values[at].astype(float)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        parts = [grams(w) for w in words]
+        every = [g for own in parts for g in own]
+        known, context = self._find(hashes(g[:-1] for g in every))
+        seen, own = self._find(hashes(g for g, k in zip(every, known) if k))
+        value = np.where(known, context, 0.0)
+        at = np.flatnonzero(known)[seen]
+        value[at] = own[seen]
+        return mixed(np.add.reduceat(value, np.cumsum([0, *map(len, parts[:-1])]))) if parts else np.zeros(0)
+
+    def texts(self, texts: Iterable[str]) -> list[float]:
+        """Per word, with `SHRINK` words more."""
+        out, memo = [], self.memo
+        for words in map(words_of, texts):
+            new = [w for w in words if w not in memo]
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = list(words)
+            for k in range(0, len(new), COUNT_WORDS):
+                part = new[k : k + COUNT_WORDS]
+                memo.update(zip(part, self.words(part).tolist()))
+            out.append(sum(memo[w] for w in sorted(words)) / (len(words) + SHRINK))
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
@@ -130,61 +142,152 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[flo
     return float(w[0] / scale), float(w[1])
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"]):
-            for w in WORDS.findall(text.lower()):
-                words[w][toxic] += 1
-    found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for w, (a, b, _) in words.items():
-        for g in grams(w):
-            c = found[g]
-            c[0] += a
-            c[1] += b
-    yield pd.DataFrame([(g, a, b) for g, (a, b) in found.items()], columns=["gram", "ordinary", "toxic"])
-
-
-def _shared(counts: DataFrame) -> tuple[dict[str, tuple[int, int, int]], int]:
-    """Continuation counts over all n-grams, made by Spark; the driver gets those of the
-    endings of labelled n-grams, and the number of letters and one."""
-    own, labelled, found, letters = counts.select("gram"), counts.filter("ordinary + toxic > 0"), {}, 1
-    for n in range(ORDER - 1, 0, -1):
-        own = stage(own.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "endings")
-        context = F.expr(f"substring(gram, 1, {n - 1})").alias("context")
-        totals = own.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        needed = labelled.select(F.expr(f"substring(gram, {ORDER - n + 1})").alias("gram")).distinct()
-        rows = own.join(needed, "gram", "left_semi").select("gram", "n", context).join(totals, "context").select("gram", "n", "total", "types").toPandas()
-        found |= {g: x for g, *x in rows.itertuples(index=False)}
-    return found, letters + own.count()
+def counted(words: dict[str, int], order: int) -> tuple[list[str], np.ndarray]:
+    """The n-grams of `words` and how often each comes, a word counting as often as told.
 
+    Words of up to `LONG_WORD` letters stand in a matrix of letters; n-grams are brought
+    together by sums of random multiples of their letters, 64 bits wide, so only one string is
+    made for each.  Longer words are cut one by one.
+    """
+    longer = Counter()
+    for w, n in words.items():
+        if len(w) > LONG_WORD:
+            for g in grams(w, order):
+                longer[g] += n
+    rest = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
+    found, counts, rng = list(longer), [np.fromiter(longer.values(), np.int64, len(longer))], np.random.default_rng(11)
+    factors = rng.integers(0, 1 << 63, order, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for at in range(0, len(rest), MATRIX_WORDS):
+        own = rest[at : at + MATRIX_WORDS]
+        padded = ["^" * (order - 1) + w + "$" for w in own]
+        letters = np.array(padded).view(np.uint32).reshape(len(own), -1).astype(np.uint64)
+        letters = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        letters ^= letters >> np.uint64(29)
+        letters *= np.uint64(0xBF58476D1CE4E5B9)
+        letters ^= letters >> np.uint64(32)
+        width = letters.shape[1] - order + 1
+        keys = np.zeros((len(own), width), np.uint64)
+        for j in range(order):
+            keys += letters[:, j : j + width] * factors[j]
+        word, place = np.nonzero(np.arange(width) <= np.fromiter(map(len, own), np.int64, len(own))[:, None])
+        _, first, which = np.unique(keys[word, place], return_index=True, return_inverse=True)
+        times = np.fromiter((words[w] for w in own), np.int64, len(own))[word]
+        found += [padded[w][p : p + order] for w, p in zip(word[first].tolist(), place[first].tolist())]
+        counts.append(np.bincount(which, times, len(first)).astype(np.int64))
+    return found, np.concatenate(counts)
 
-class Model:
-    """A ratio and its calibration; `score` is a column function on texts."""
 
-    def __init__(self, spark: SparkSession, ratio: Ratio, slope: float, intercept: float):
-        self.shared = spark.sparkContext.broadcast(ratio)
-        self.slope, self.intercept = slope, intercept
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, ordinary, toxic, every) of documents' words, each once a document: long n-grams
+    by class, and short ones of all rows."""
+
+    def given(words: list[Counter]) -> Iterator[pd.DataFrame]:
+        parts = {"ordinary": (words[0], ORDER), "toxic": (words[1], ORDER), "every": (words[0] + words[1] + words[2], SHARED_ORDER)}
+        for name, (own, order) in parts.items():
+            if own:
+                found, n = counted(own, order)
+                none = np.zeros(len(found), np.int64)
+                yield pd.DataFrame({"gram": found, **{c: n if c == name else none for c in parts}})
+
+    words = [Counter(), Counter(), Counter()]
+    for batch in batches:
+        for text, kind in zip(batch["text"], batch["toxic"]):
+            words[kind].update(words_of(text))
+            if sum(map(len, words)) >= COUNT_WORDS:
+                yield from given(words)
+                words = [Counter(), Counter(), Counter()]
+    yield from given(words)
+
+
+def shared_model(counts: DataFrame) -> DataFrame:
+    """(gram, p): the probability of a short n-gram's last letter in the Kneser-Ney model of
+    all texts, whose lower order is the continuation counts.  Only joins and sums of Spark."""
+    own = counts.filter(F.length("gram") == SHARED_ORDER).select("gram", F.col("every").alias("n"), F.expr("substring(gram, 2)").alias("end"))
+    ends = stage(own.groupBy("end").agg(F.count(F.lit(1)).alias("c")), "endings")
+
+    def with_context(df: DataFrame, column: str, order: int, **sums: Column) -> DataFrame:
+        context = F.expr(f"substring({column}, 1, {order - 1})")
+        return df.join(df.groupBy(context.alias("context")).agg(*[v.alias(k) for k, v in sums.items()]), F.col("context") == context).drop("context")
+
+    lower = with_context(ends, "end", SHARED_ORDER - 1, all=F.sum("c")).select("end", (F.col("c") / F.col("all")).alias("lower"))
+    rows = with_context(own, "gram", SHARED_ORDER, total=F.sum("n"), types=F.count(F.lit(1))).join(lower, "end")
+    p = (F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * F.col("types") * F.col("lower")) / F.col("total")
+    return rows.select("gram", p.alias("p"))
+
+
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """(key, value): the log ratio of each n-gram that a class has met more than once, and of
+    each context of such ones; the key is the hash of the n-gram or context."""
+    context = F.expr(f"substring(gram, 1, {ORDER - 1})")
+    own = counts.filter(F.length("gram") == ORDER).withColumn("context", context)
+    kept = lambda c: F.least(F.col(c), F.lit(OWN_DISCOUNT))
+    sums = {f"{c}_{k}": x for c in ("ordinary", "toxic") for k, x in (("n", F.sum(c)), ("mass", F.sum(kept(c))))}
+    contexts = own.groupBy("context").agg(F.max(F.greatest("ordinary", "toxic")).alias("most"), *[x.alias(k) for k, x in sums.items()])
+    contexts = stage(contexts.filter(F.col("most") > OWN_DISCOUNT), "contexts")
+    met = own.filter(F.greatest("ordinary", "toxic") > OWN_DISCOUNT)
+    end = F.expr(f"substring(gram, {ORDER - SHARED_ORDER + 1})")
+    met = met.select("gram", "ordinary", "toxic", "context", end.alias("end"))
+    both = met.join(shared_model(counts).withColumnRenamed("gram", "end"), "end").join(contexts, "context")
+    mass = lambda c: F.when(F.col(f"{c}_n") > 0, F.col(f"{c}_mass") / F.col(f"{c}_n")).otherwise(1.0)
+    part = lambda c: F.when(F.col(f"{c}_n") > 0, F.greatest(F.col(c) - OWN_DISCOUNT, F.lit(0.0)) / F.col(f"{c}_n")).otherwise(0.0)
+    seen = F.log((part("toxic") + mass("toxic") * F.col("p")) / (part("ordinary") + mass("ordinary") * F.col("p")))
+    # a class that has spent no mass on a context has met it once only
+    unseen = F.log(mass("toxic") / mass("ordinary"))
+    rows = both.select(F.xxhash64("gram").alias("key"), seen.cast("float").alias("value"))
+    return rows.unionByName(contexts.select(F.xxhash64("context").alias("key"), unseen.cast("float").alias("value")))
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(rid, w) for rid, text in zip(batch["rid"], batch["text"]) for w in words_of(text)]
+        yield pd.DataFrame(out, columns=["rid", "word"])
 
-    def raw(self):
-        shared = self.shared
 
-        @F.pandas_udf(T.DoubleType())
-        def ratio(text: pd.Series) -> pd.Series:
-            return text.map(shared.value.text).astype("float64")
+def _grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(w, g) for w in batch["word"] for g in grams(w)]
+        yield pd.DataFrame(out, columns=["word", "gram"])
 
-        return ratio
 
-    def score(self, text):
-        x = self.raw()(F.coalesce(text, F.lit("")))
-        return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), x * self.slope + self.intercept))))
+class Model:
+    """A table of ratios and their calibration."""
+
+    def __init__(self, spark: SparkSession, table: DataFrame):
+        self.table, self.slope, self.intercept, self.shared = table, 1.0, 0.0, None
+        if table.count() <= BROADCAST_ENTRIES:
+            rows = table.toArrow()  # columns, so that the driver holds no row objects
+            self.shared = spark.sparkContext.broadcast(Ratios(rows["key"].to_numpy(), rows["value"].to_numpy()))
+
+    def raw(self, docs: DataFrame) -> DataFrame:
+        """`docs` with column `toxicity__raw`, the difference of the two log-likelihoods per word."""
+        if self.shared is not None:
+            shared = self.shared
+
+            @F.pandas_udf(T.DoubleType())
+            def ratio(text: pd.Series) -> pd.Series:
+                return pd.Series(shared.value.texts(text), dtype="float64")
+
+            return docs.withColumn("toxicity__raw", ratio(F.coalesce("text", F.lit(""))))
+        rows = stage(docs.withColumn("toxicity__rid", F.monotonically_increasing_id()), "rows")
+        words = stage(rows.select(F.col("toxicity__rid").alias("rid"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_words, "rid long, word string"), "words")
+        parts = words.select("word").distinct().mapInPandas(_grams_of, "word string, gram string")
+        parts = parts.withColumns({"key": F.xxhash64("gram"), "c_key": F.xxhash64(F.expr(f"substring(gram, 1, {ORDER - 1})"))})
+        parts = parts.join(self.table.withColumnRenamed("value", "own"), "key", "left").join(self.table.select(F.col("key").alias("c_key"), F.col("value").alias("context")), "c_key", "left")
+        value = F.when(F.col("context").isNull(), 0.0).otherwise(F.coalesce("own", "context").cast("double"))
+        ratio = parts.groupBy("word").agg(F.sum(value).alias("x"))
+        each = ratio.select("word", F.log1p(MIXTURE * F.expm1(F.least("x", F.lit(50.0)))).alias("x"))
+        sums = words.join(each, "word").groupBy(F.col("rid").alias("toxicity__rid")).agg((F.sum("x") / (F.count(F.lit(1)) + SHRINK)).alias("toxicity__raw"))
+        return rows.join(sums, "toxicity__rid", "left").withColumn("toxicity__raw", F.coalesce("toxicity__raw", F.lit(0.0))).drop("toxicity__rid")
+
+    def chance(self, raw: str = "toxicity__raw") -> Column:
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col(raw) * self.slope + self.intercept))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Count on all labelled rows outside the held-out third, less one in `CALIBRATION`; the
     shared counts take the texts of all rows.  Those left out calibrate, of at most `train_docs`
-    labelled rows of each class, those of least hash.  Counts are made by Spark; the driver gets
-    those of the distinct n-grams of labelled rows.  Rows without label or text teach no class.
+    labelled rows of each class, those of least hash.  Counts and ratios are made by Spark.
+    Rows without label or text teach no class; a doc_id with several labels has the greatest.
     """
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").filter(f"not ({HELD_OUT})")
@@ -194,14 +297,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         some = marks.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         chosen = some if chosen is None else chosen.unionByName(some)
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(CALIBRATION))
-    every = texts(docs).join(marks.filter(fold != 0), "doc_id", "left").select("text", F.coalesce("toxic", F.lit(2)).alias("toxic"))
-    parts = every.mapInPandas(_count_grams, "gram string, ordinary long, toxic long")
-    counts = stage(parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "grams")
-    taught = counts.filter("ordinary + toxic > 0").toPandas()
-    ratio = fit_ratio(sorted(zip(*taught[["gram", "ordinary", "toxic"]].to_dict("list").values())), *_shared(counts))
-    model = Model(spark, ratio, 1.0, 0.0)
-    own = texts(docs).join(F.broadcast(chosen.filter(fold == 0)), "doc_id").select(model.raw()("text").alias("x"), "toxic").toPandas()
-    model.slope, model.intercept = fit_logistic(own["x"].to_numpy(), own["toxic"].to_numpy())
+    taught = stage(marks.filter(fold != 0), "taught")
+    taught = F.broadcast(taught) if taught.count() <= BROADCAST_LABELS else taught
+    every = texts(docs).join(taught, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(2)).alias("toxic"))
+    parts = every.mapInPandas(_count_grams, "gram string, ordinary long, toxic long, every long")
+    counts = stage(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")]), "grams")
+    model = Model(spark, stage(ratio_table(counts), "ratios"))
+    own = texts(docs).join(F.broadcast(chosen.filter(fold == 0)), "doc_id").select("text", "toxic")
+    own = model.raw(own).select("toxicity__raw", "toxic").toArrow().to_pandas().sort_values(["toxicity__raw", "toxic"])
+    model.slope, model.intercept = fit_logistic(own["toxicity__raw"].to_numpy(), own["toxic"].to_numpy())
     return model
 
 
@@ -209,13 +313,18 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> D
     """doc_id, score (0 to 1, higher: likelier toxic) of every row of `docs`.
 
     Null or empty text: the score of an empty document.  Null or repeated doc_id: scored
-    like others.  No labels: scores of 0.5 or near.
+    like others.  No labels: scores of 0.5 or near.  Empty table: no rows.  Columns other than
+    doc_id and text, whatever their names, are not read.
     """
     model = fit(docs, labels, train_docs)
-    return docs.select("doc_id", model.score(F.col("text")).alias("score"))
+    return model.raw(docs.select("doc_id", "text")).select("doc_id", model.chance().alias("score"))
 
 
 def ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The documents that score under `threshold`, with their own columns."""
+    """The documents that score under `threshold`, with their own columns.
+
+    Rows are judged one by one, so repeated rows and rows without doc_id or text are kept or
+    dropped as `score` has them.  Columns may have any names but those that begin with toxicity__.
+    """
     model = fit(docs, labels, train_docs)
-    return docs.withColumn("toxicity__score", model.score(F.col("text"))).filter(F.col("toxicity__score") < threshold).drop("toxicity__score")
+    return model.raw(docs).filter(model.chance() < threshold).select(*docs.columns)

@@ -215,7 +215,7 @@ def test_prefixes_follow_one_order_where_counts_tie(n):
 
 def test_signatures_never_hide_a_link():
     rnd = np.random.default_rng(6)
-    for kind in (jaccard_join.COARSE, jaccard_join.FINE):
+    for kind in (jaccard_join.COARSE, jaccard_join.FINE, jaccard_join.RICH):
         for n in (30, 100, 300, 1200):
             base = rnd.integers(-(2**62), 2**62, n)
             sets = [np.unique(np.concatenate([rnd.choice(base, n - d, replace=False), rnd.integers(-(2**62), 2**62, d)])) for d in rnd.integers(0, max(1, n // 9), 40)]
@@ -345,29 +345,57 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_toxicity_counts_all_labelled_rows_and_shares_all_texts(spark):
-    texts = [" ".join(t.split()[:6]) for t in prose(80, 13)]
-    marks = labels(spark, 60, toxic_of=lambda k: k % 2)  # the last 20 rows have no label
+def brute_ratios(texts, marks):
+    """Word: log ratio of two Kneser-Ney models, one n-gram after the other."""
+    size, short, own, every, ends = toxicity.ORDER, toxicity.SHARED_ORDER, ({}, {}), {}, {}
+
+    def parts(w, n):
+        s = "^" * (n - 1) + w + "$"
+        return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    for k, text in enumerate(texts):
+        for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+            for g in parts(w, short):
+                every[g] = every.get(g, 0) + 1
+            for g in parts(w, size) if k in marks else ():
+                own[marks[k]][g] = own[marks[k]].get(g, 0) + 1
+    for g in every:
+        ends[g[1:]] = ends.get(g[1:], 0) + 1
+
+    def shared(g):
+        after, lower = [x for h, x in every.items() if h[:-1] == g[:-1]], [x for h, x in ends.items() if h[:-1] == g[1:-1]]
+        return (max(every[g] - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT * len(after) * ends[g[1:]] / sum(lower)) / sum(after)
+
+    def word(w):
+        total = 0.0
+        for g in parts(w, size):
+            p, q = shared(g[size - short :]), []
+            for counts in own:
+                after = [x for h, x in counts.items() if h[:-1] == g[:-1]]
+                q.append((max(counts.get(g, 0) - 1, 0) + len(after) * p) / sum(after) if after else p)
+            total += np.log(q[1] / q[0])
+        return total
+
+    return {w: word(w) for t in texts for w in set(re.findall(r"[^\W\d_]+", t.lower()))}
+
+
+@pytest.mark.parametrize("entries", [10**9, -1])
+def test_toxicity_is_kneser_ney_word_by_word(spark, monkeypatch, entries):
+    monkeypatch.setattr(toxicity, "BROADCAST_ENTRIES", entries)
+    texts = [" ".join(t.split()[:6]) for t in prose(80, 13, ["vequza"])] + ["", "42 ..."]
+    marks = labels(spark, 60, toxic_of=lambda k: int(k % 4 == 0))  # the last rows have no label
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(toxicity.CALIBRATION))
     taught = {r["doc_id"]: r["toxic"] for r in marks.filter(f"not ({toxicity.HELD_OUT})").filter(fold != 0).collect()}
-    counts, every = {}, set()
-    for k, text in enumerate(texts):
-        for w in toxicity.WORDS.findall(text.lower()):
-            for g in toxicity.grams(w):
-                every.add(g)
-                if k in taught:
-                    counts.setdefault(g, [0, 0])[taught[k]] += 1
-    shared, level = {}, every
-    for n in range(toxicity.ORDER - 1, 0, -1):
-        ends = [g[1:] for g in level]
-        own = {g: ends.count(g) for g in set(ends)}
-        for g in own:
-            after = [x for h, x in own.items() if h[:-1] == g[:-1]]
-            shared[g] = (own[g], sum(after), len(after))
-        level = set(own)
-    want = toxicity.fit_ratio([(g, *c) for g, c in counts.items()], shared, len(level) + 1)
-    made = toxicity.fit(table(spark, texts), marks, train_docs=4).shared.value
-    assert made.seen == pytest.approx(want.seen) and made.unseen == pytest.approx(want.unseen)
+    ratio = brute_ratios(texts, taught)
+    model = toxicity.fit(table(spark, texts), marks, train_docs=4)
+    if entries > 0:
+        words = sorted(ratio)
+        assert model.shared.value.words(words) == pytest.approx(toxicity.mixed(np.array([ratio[w] for w in words])), abs=1e-5)
+    made = {r["doc_id"]: r["toxicity__raw"] for r in model.raw(table(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        own = set(re.findall(r"[^\W\d_]+", t.lower()))
+        want = sum(toxicity.mixed(np.array([ratio[w]]))[0] for w in own) / (len(own) + toxicity.SHRINK)
+        assert made[k] == pytest.approx(want, abs=1e-5)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -424,3 +452,72 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert len(made) == df.count() if a_row_each else len(made) >= df.count()
     assert apply(df.limit(0), marks).count() == 0
     assert apply(df, marks.limit(0)).count() == len(made)
+
+
+def test_shifted_checksums_join():
+    rnd = random.Random(31)
+    for _ in range(200):
+        parts = [rnd.randbytes(rnd.choice([0, 1, 4, 70, 4096, 300_000])) for _ in range(rnd.randint(1, 4))]
+        whole, joined, after = b"".join(parts), 0, 0
+        for part in reversed(parts):
+            joined ^= token_files.moved_crc(zlib.crc32(part), after)
+            after += len(part)
+        assert joined == zlib.crc32(whole)
+
+
+def test_words_of_two_letters_hash_apart():
+    x, y, words = "a", "b", set()
+    for _ in range(13):
+        words |= {x, y}
+        x, y = x + y, y + x
+    assert len(set(jaccard_join.word_hashes(" ".join(sorted(words))).tolist())) == len(words)
+
+
+@pytest.mark.parametrize("seed, rows", [(1, 5), (4, 3)])
+def test_jaccard_join_of_split_blocks(spark, monkeypatch, seed, rows):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    texts = families(seed, n=5, copies=24)
+    made = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(table(spark, texts)).collect()}
+    assert made == brute_components(texts, 3, 90)
+
+
+def test_shared_rows_come_out_once():
+    rnd = random.Random(14)
+    for _ in range(200):
+        rows = sorted((rnd.randint(0, 6), rnd.choice([0, 0, 1]), rnd.randint(0, 3)) for _ in range(rnd.randint(0, 30)))
+        rows = [(s, p * (s % 2), k) for s, p, k in rows]
+        rows.sort()
+        cuts = sorted(rnd.sample(range(len(rows) + 1), min(len(rows), 4)))
+        import pandas as pd
+
+        frames = [pd.DataFrame(rows[a:b], columns=["shingle", "part", "k"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        made = [tuple(r) for f in jaccard_join._shared(iter(frames)) for r in f.itertuples(index=False)]
+        each = sorted(set(rows))
+        want = [(s, k) for s, p, k in each if p or sum(s == t for t, _, _ in each) > 1]
+        assert sorted(made) == sorted(want)
+
+
+def test_one_of_each_keeps_one_row(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, base), (None, base + " "), (1, base), (1, base), (1, "other words stand here alone now"), (2, base + " more"), (3, None), (3, ""), (3, " "), (None, "single text of a row without id"), (5, "single text of a row without id")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    made = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df, 5, 80).collect()), key=repr)
+    want = [(1, base), (1, "other words stand here alone now"), (3, None), (3, ""), (3, " "), (5, "single text of a row without id")]
+    assert made == sorted(want, key=repr)
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order", [6, 8])
+def test_ngrams_are_counted(monkeypatch, order):
+    monkeypatch.setattr(toxicity, "MATRIX_WORDS", 100)
+    rnd = random.Random(order)
+    words = {"".join(rnd.choice("abé漢𐐀") for _ in range(rnd.choice([1, 2, 3, 8, 39, 40, 41, 90]))): rnd.randint(1, 9) for _ in range(700)}
+    want = {}
+    for w, n in words.items():
+        for g in toxicity.grams(w, order):
+            want[g] = want.get(g, 0) + n
+    made = {}
+    for g, n in zip(*toxicity.counted(words, order)):
+        made[g] = made.get(g, 0) + int(n)
+    assert made == want
