@@ -18,22 +18,32 @@ NEAR_SIMILARITY = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the toxicity threshold.  Null and empty texts are scored as
+    empty; repeated rows alike; an empty table gives none."""
     return toxicity.ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, blanks aside: the longest, then the smallest
+    doc_id (null last).  Null and empty texts are one group; an empty table gives none."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: the smallest doc_id (null last).  Texts
+    without words and null stay; an empty table gives none."""
     return jaccard_join.one_of_each(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, in training order.  Null source: one of its
+    own; null text: size 0; repeated rows are one document; an empty table gives none."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and offset.  Null text: the end id
+    alone; an empty table gives none."""
     return packing.pack(docs)
 
 
