@@ -29,8 +29,8 @@ def total_occurrences(text: Column, words: Sequence[str]) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring letters and digits; of one, itself."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), NON_TOPIC, "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clean) - 1)), lambda k: F.substr(clean, k, F.lit(2)))
-    return F.when(F.length(clean) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    pairs = F.array_distinct(F.regexp_extract_all(clean, F.lit("(?=(..))"), F.lit(1)))  # one pass, however long the text
+    return F.when(F.length(clean) == 0, F.array().cast("array<string>")).when(F.length(clean) == 1, F.array(clean)).otherwise(pairs)
 
 
 def set_overlap(a: Column, b: Column) -> Column:
