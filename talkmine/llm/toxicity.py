@@ -11,6 +11,7 @@ each divided by the number of words, and is calibrated on labelled rows kept out
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -47,7 +48,7 @@ COUNT_WORDS = 150_000
 #: Letters of a word, and words, that are counted in one matrix.
 LONG_WORD = 40
 MATRIX_WORDS = 50_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 #: Labels are broadcast up to so many rows (16 bytes each), and joined beyond.
 BROADCAST_LABELS = 4_000_000
 #: The table of ratios is broadcast up to so many entries (12 bytes each); beyond, words meet
@@ -110,17 +111,15 @@ class Ratios:
 
     def texts(self, texts: Iterable[str]) -> list[float]:
         """Per word, with `SHRINK` words more."""
-        out, memo = [], self.memo
-        for words in map(words_of, texts):
-            new = [w for w in words if w not in memo]
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(words)
-            for k in range(0, len(new), COUNT_WORDS):
-                part = new[k : k + COUNT_WORDS]
-                memo.update(zip(part, self.words(part).tolist()))
-            out.append(sum(memo[w] for w in sorted(words)) / (len(words) + SHRINK))
-        return out
+        memo, sets = self.memo, [words_of(t) for t in texts]
+        new = list(set().union(*sets).difference(memo))
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = list(set().union(*sets))
+        for k in range(0, len(new), MATRIX_WORDS):
+            part = new[k : k + MATRIX_WORDS]
+            memo.update(zip(part, self.words(part).tolist()))
+        return [math.fsum(map(memo.__getitem__, words)) / (len(words) + SHRINK) for words in sets]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
