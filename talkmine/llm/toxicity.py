@@ -44,11 +44,13 @@ THRESHOLD = 0.7
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words that a task keeps before it gives out their n-grams, and scores that it keeps.
-COUNT_WORDS = 150_000
+COUNT_WORDS = 100_000
 #: Letters of a word, and words, that are counted in one matrix.
 LONG_WORD = 40
-MATRIX_WORDS = 50_000
-MEMO_WORDS = 500_000
+MATRIX_WORDS = 40_000
+MEMO_WORDS = 400_000
+#: Keys of a join with more than one in so many rows do not go through its shuffle.
+FREQUENT = 10_000
 #: Labels are broadcast up to so many rows (16 bytes each), and joined beyond.
 BROADCAST_LABELS = 4_000_000
 #: The table of ratios is broadcast up to so many entries (12 bytes each); beyond, words meet
@@ -65,11 +67,36 @@ def words_of(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-def hashes(strings: Iterable[str]) -> np.ndarray:
-    """What Spark's xxhash64 gives for each string."""
-    import xxhash
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, max(ORDER, SHARED_ORDER), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in strings], np.uint64).view(np.int64)
+
+def letters_of(strings: list[str]) -> np.ndarray:
+    """A row of mixed letters for each string, as wide as the longest."""
+    letters = np.array(strings).view(np.uint32).reshape(len(strings), -1).astype(np.uint64)
+    letters = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    letters ^= letters >> np.uint64(29)
+    letters *= np.uint64(0xBF58476D1CE4E5B9)
+    return letters ^ (letters >> np.uint64(32))
+
+
+def windows(letters: np.ndarray, order: int, width: int | None = None) -> np.ndarray:
+    """Sums of multiples of the letters in each window of `order` columns; that of a context is
+    the sum of its n-gram without the last letter's part."""
+    width = letters.shape[1] - order + 1 if width is None else width
+    keys = np.zeros((len(letters), width), np.uint64)
+    for j in range(order):
+        keys += letters[:, j : j + width] * _FACTORS[j]
+    return keys
+
+
+def string_keys(strings: list[str]) -> np.ndarray:
+    """The keys of n-grams, or of contexts, of one length."""
+    return windows(letters_of(strings), len(strings[0])).view(np.int64)[:, 0] if strings else np.zeros(0, np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def gram_key(gram: pd.Series) -> pd.Series:
+    return pd.Series(string_keys(gram.tolist()), dtype="int64")
 
 
 def mixed(ratio: np.ndarray) -> np.ndarray:
@@ -99,15 +126,35 @@ class Ratios:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.keys[at] == keys, self.values[at].astype(float)
 
+    def _longer(self, words: list[str]) -> np.ndarray:
+        out = []
+        for w in words:
+            own = grams(w)
+            known, value = self._find(string_keys([g[:-1] for g in own]))
+            seen, own_value = self._find(string_keys(own))
+            out.append(math.fsum(np.where(known, np.where(seen, own_value, value), 0.0)))
+        return np.array(out)
+
     def words(self, words: list[str]) -> np.ndarray:
-        parts = [grams(w) for w in words]
-        every = [g for own in parts for g in own]
-        known, context = self._find(hashes(g[:-1] for g in every))
-        seen, own = self._find(hashes(g for g, k in zip(every, known) if k))
-        value = np.where(known, context, 0.0)
-        at = np.flatnonzero(known)[seen]
-        value[at] = own[seen]
-        return mixed(np.add.reduceat(value, np.cumsum([0, *map(len, parts[:-1])]))) if parts else np.zeros(0)
+        """Of each word; those of up to `LONG_WORD` letters in one matrix."""
+        out = np.zeros(len(words))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        longer = np.flatnonzero(length > LONG_WORD)
+        out[longer] = self._longer([words[k] for k in longer])
+        order = np.flatnonzero(length <= LONG_WORD)
+        order = order[np.argsort(length[order], kind="stable")]
+        for at in range(0, len(order), MATRIX_WORDS):
+            rows = order[at : at + MATRIX_WORDS]
+            letters = letters_of(["^" * (ORDER - 1) + words[k] + "$" for k in rows])
+            width = letters.shape[1] - ORDER + 1
+            contexts = windows(letters, ORDER - 1, width=width)
+            word, place = np.nonzero(np.arange(width) <= length[rows, None])
+            known, value = self._find(contexts[word, place].view(np.int64))
+            word, place, value = word[known], place[known], value[known]
+            ends = letters[word, place + ORDER - 1] * _FACTORS[ORDER - 1]
+            seen, own = self._find((contexts[word, place] + ends).view(np.int64))
+            out[rows] = np.bincount(word, np.where(seen, own, value), len(rows))
+        return mixed(out)
 
     def texts(self, texts: Iterable[str]) -> list[float]:
         """Per word, with `SHRINK` words more."""
@@ -154,20 +201,12 @@ def counted(words: dict[str, int], order: int) -> tuple[list[str], np.ndarray]:
             for g in grams(w, order):
                 longer[g] += n
     rest = sorted((w for w in words if len(w) <= LONG_WORD), key=len)
-    found, counts, rng = list(longer), [np.fromiter(longer.values(), np.int64, len(longer))], np.random.default_rng(11)
-    factors = rng.integers(0, 1 << 63, order, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    found, counts = list(longer), [np.fromiter(longer.values(), np.int64, len(longer))]
     for at in range(0, len(rest), MATRIX_WORDS):
         own = rest[at : at + MATRIX_WORDS]
         padded = ["^" * (order - 1) + w + "$" for w in own]
-        letters = np.array(padded).view(np.uint32).reshape(len(own), -1).astype(np.uint64)
-        letters = (letters + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        letters ^= letters >> np.uint64(29)
-        letters *= np.uint64(0xBF58476D1CE4E5B9)
-        letters ^= letters >> np.uint64(32)
-        width = letters.shape[1] - order + 1
-        keys = np.zeros((len(own), width), np.uint64)
-        for j in range(order):
-            keys += letters[:, j : j + width] * factors[j]
+        keys = windows(letters_of(padded), order)
+        width = keys.shape[1]
         word, place = np.nonzero(np.arange(width) <= np.fromiter(map(len, own), np.int64, len(own))[:, None])
         _, first, which = np.unique(keys[word, place], return_index=True, return_inverse=True)
         times = np.fromiter((words[w] for w in own), np.int64, len(own))[word]
@@ -216,7 +255,7 @@ def shared_model(counts: DataFrame) -> DataFrame:
 
 def ratio_table(counts: DataFrame) -> DataFrame:
     """(key, value): the log ratio of each n-gram that a class has met more than once, and of
-    each context of such ones; the key is the hash of the n-gram or context."""
+    each context of such ones, by key of the n-gram or context."""
     context = F.expr(f"substring(gram, 1, {ORDER - 1})")
     own = counts.filter(F.length("gram") == ORDER).withColumn("context", context)
     kept = lambda c: F.least(F.col(c), F.lit(OWN_DISCOUNT))
@@ -232,8 +271,8 @@ def ratio_table(counts: DataFrame) -> DataFrame:
     seen = F.log((part("toxic") + mass("toxic") * F.col("p")) / (part("ordinary") + mass("ordinary") * F.col("p")))
     # a class that has spent no mass on a context has met it once only
     unseen = F.log(mass("toxic") / mass("ordinary"))
-    rows = both.select(F.xxhash64("gram").alias("key"), seen.cast("float").alias("value"))
-    return rows.unionByName(contexts.select(F.xxhash64("context").alias("key"), unseen.cast("float").alias("value")))
+    rows = both.select(gram_key("gram").alias("key"), seen.cast("float").alias("value"))
+    return rows.unionByName(contexts.select(gram_key("context").alias("key"), unseen.cast("float").alias("value")))
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,6 +287,15 @@ def _grams_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "gram"])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on `key`, unique in `right`.  Keys that hold over one in `FREQUENT` rows of `left`
+    are fewer than that many, so their rows of `right` are broadcast; the rest meet in a shuffle."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("spread__n"))
+    often = F.broadcast(counts.filter(F.col("spread__n") > left.count() / FREQUENT).select(key))
+    hot = left.join(often, key, "left_semi").join(F.broadcast(right.join(often, key, "left_semi")), key, "left")
+    return hot.unionByName(left.join(often, key, "left_anti").join(right, key, "left"))
+
+
 class Model:
     """A table of ratios and their calibration."""
 
@@ -270,12 +318,13 @@ class Model:
         rows = stage(docs.withColumn("toxicity__rid", F.monotonically_increasing_id()), "rows")
         words = stage(rows.select(F.col("toxicity__rid").alias("rid"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_words, "rid long, word string"), "words")
         parts = words.select("word").distinct().mapInPandas(_grams_of, "word string, gram string")
-        parts = parts.withColumns({"key": F.xxhash64("gram"), "c_key": F.xxhash64(F.expr(f"substring(gram, 1, {ORDER - 1})"))})
-        parts = parts.join(self.table.withColumnRenamed("value", "own"), "key", "left").join(self.table.select(F.col("key").alias("c_key"), F.col("value").alias("context")), "c_key", "left")
+        parts = stage(parts.withColumns({"key": gram_key("gram"), "c_key": gram_key(F.expr(f"substring(gram, 1, {ORDER - 1})"))}), "parts")
+        parts = spread_join(parts, self.table.select("key", F.col("value").alias("own")), "key")
+        parts = spread_join(parts, self.table.select(F.col("key").alias("c_key"), F.col("value").alias("context")), "c_key")
         value = F.when(F.col("context").isNull(), 0.0).otherwise(F.coalesce("own", "context").cast("double"))
         ratio = parts.groupBy("word").agg(F.sum(value).alias("x"))
         each = ratio.select("word", F.log1p(MIXTURE * F.expm1(F.least("x", F.lit(50.0)))).alias("x"))
-        sums = words.join(each, "word").groupBy(F.col("rid").alias("toxicity__rid")).agg((F.sum("x") / (F.count(F.lit(1)) + SHRINK)).alias("toxicity__raw"))
+        sums = spread_join(words, stage(each, "each"), "word").groupBy(F.col("rid").alias("toxicity__rid")).agg((F.sum("x") / (F.count(F.lit(1)) + SHRINK)).alias("toxicity__raw"))
         return rows.join(sums, "toxicity__rid", "left").withColumn("toxicity__raw", F.coalesce("toxicity__raw", F.lit(0.0))).drop("toxicity__rid")
 
     def chance(self, raw: str = "toxicity__raw") -> Column:
