@@ -105,14 +105,28 @@ def test_turn_sheets(spark):
     assert [tuple(r) for r in missing.collect()] == [("b", 1)]
 
 
-@pytest.mark.parametrize("word, variants, category, aliases", [
+ALIASES = [
     ("魏劭", "（谐音：魏少、卫劭；外号：大魏；打错字：劭→邵/绍）", "person", ["魏少", "卫劭", "大魏", "魏邵", "魏绍"]),
     ("小杨哥", "小羊哥 小杨哥 小杨哥儿 81", "person", ["小羊哥", "小杨哥儿"]),
     ("权力的游戏", "外号：二丫、龙妈；谐音：全力的游戏；常被简称/叫错", "movie", ["全力的游戏"]),
     ("number one", "谐音：number won/two、ok", "hotword", ["number won", "number two"]),
-])
-def test_lexicon_aliases(word, variants, category, aliases):
-    assert lexicon.variants_of(word, variants, category in lexicon.STRICT)[0] == aliases
+    ("魏劭", "（打错字：常写作少→劭）", "person", ["魏少"]),
+    ("白蛇传", "（打错字：“白舌传→白蛇传”）", "movie", ["白舌传"]),
+    ("白蛇传", "打错字：「蛇->舌/社」、传=>转；谐音：《白舌传》、易读错白蛇", "movie", ["白舌传", "白社传", "白蛇转"]),
+    ("a big cat", "谐音：a big bat/hat/rat/the pig/dog/ox", "hotword", ["a big bat", "a big hat", "a big rat", "the pig", "the dog", "the ox"]),
+    ("ab", "谐音：abcd/ef x/gh", "hotword", ["abcd", "ef x", "ef gh"]),
+    ("Some-Word", "some word，SOME WORT、some-wort、１２３４、12、…、也叫Sum Word", "hotword", ["some", "word", "WORT", "some-wort"]),
+    ("剑来", "剑莱 常读错 见来", "book", ["剑莱", "见来"]),
+    ("剑来", "（）", "book", []), ("剑来", "：剑莱", "book", ["：剑莱"]), ("甲乙", "打错字：丙→丁、乙→丙", "person", ["甲丙"]),
+]
+
+
+def test_lexicon_aliases(spark):
+    rows = [(k, word, variants, category) for k, (word, variants, category, _) in enumerate(ALIASES)]
+    rows += [(100 + r[0], *r[1:]) for r in rows] + [(200, "", "x", "book"), (201, "无", None, None)]
+    made = {r["entry_no"]: r["aliases"] for r in lexicon.build(spark.createDataFrame(rows, "entry_no int, canonical string, variants string, category string")).collect()}
+    assert made == {k + shift: x[3] for k, x in enumerate(ALIASES) for shift in (0, 100)} | {201: []}
+    assert lexicon.build(spark.createDataFrame([], "entry_no int, canonical string, variants string, category string")).collect() == []
 
 
 def test_lexicon_entries(spark):
