@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import form_similarity
+from .automaton import Words, automata, leftmost_longest, longest_at_each
 from .staging import stage
 
 # Fixed values of the scorer: priors, keywords, marks and lines.
@@ -65,25 +67,6 @@ def alias_index(entries: DataFrame) -> DataFrame:
     return counted.join(names, "alias", "left").withColumn("is_canonical", F.coalesce("is_canonical", F.lit(False)))
 
 
-def _longest(words: list[str]) -> re.Pattern | None:
-    """A pattern that finds the longest of `words` at a place, one branch for each letter."""
-    root: dict = {}
-    for word in words:
-        node = root
-        for letter in word:
-            node = node.setdefault(letter, {})
-        node[""] = {}
-
-    def branch(node: dict) -> str:
-        ends, parts = "" in node, [re.escape(x) + branch(y) for x, y in sorted(node.items()) if x]
-        if not parts:
-            return ""
-        whole = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
-        return whole + "?" if ends else whole
-
-    return re.compile(branch(root)) if root else None
-
-
 def _sentence(text: str, start: int, end: int, reach: int = 120) -> tuple[str, int]:
     low = max(0, start - reach)
     begin = max([low, *(text.rfind(c, low, start) + 1 for c in SENTENCE_ENDS)])
@@ -100,32 +83,70 @@ def _bare(text: str, stamp: re.Pattern):
     yield at, len(text)
 
 
-def _detect(aliases: list[str], names: list[str]):
-    """Hits, and the canonical words that a text writes (`named`): the longest at each place."""
+def _spans(text: str, words: Words, stamp: re.Pattern) -> list[tuple[int, int]]:
+    return [x for a, b in _bare(text, stamp) for x in words.spans(text, a, b)]
+
+
+def _told_of(doc, text: str, wrong: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple]:
+    """Rows of a text's hits, and of the canonical words that it writes (`named`): the longest at
+    each place.  Hits inside a canonical word are passed over."""
+    right = longest_at_each(right)
+    starts, reach, out = [a for a, _ in right], [], []
+    for _, b in right:
+        reach.append(max(b, reach[-1] if reach else 0))
+    for a, b in leftmost_longest(wrong):
+        held = bisect_right(starts, a)
+        if not held or reach[held - 1] < b:
+            sentence, begin = _sentence(text, a, b)
+            out.append((doc, None, a, b, text[a:b], sentence, begin, text[max(0, a - 8) : a], text[b : b + 6]))
+    return out + [(doc, w, None, None, None, None, None, None, None) for w in sorted({text[a:b] for a, b in right})]
+
+
+def _hits_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _HITS.split(", ")])
+    return frame.astype({"doc_id": "Int64", "start": "Int32", "end": "Int32", "sentence_at": "Int32"})
+
+
+def _one_pass(docs: DataFrame, wrong: Words, right: Words) -> DataFrame:
+    """Rows of `_told_of` where one automaton holds all aliases, and one all canonical words."""
+    shared = docs.sparkSession.sparkContext.broadcast((wrong, right))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wrong, right, stamp = _longest(aliases), _longest(names), re.compile(STAMP)
+        (wrong, right), stamp = shared.value, re.compile(STAMP)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                named: set[str] = set()
-                for a, b in _bare(text, stamp):
-                    starts, reach, at = [], [], a  # canonical words, and how far they reach so far
-                    while right and (m := right.search(text, at, b)):
-                        named.add(m.group())
-                        starts.append(m.start())
-                        reach.append(max(m.end(), reach[-1] if reach else 0))
-                        at = m.start() + 1
-                    for m in wrong.finditer(text, a, b) if wrong else ():
-                        held = bisect_right(starts, m.start())
-                        if not held or reach[held - 1] < m.end():
-                            sentence, begin = _sentence(text, m.start(), m.end())
-                            out.append((doc, None, m.start(), m.end(), m.group(), sentence, begin, text[max(0, m.start() - 8) : m.start()], text[m.end() : m.end() + 6]))
-                out += [(doc, w, None, None, None, None, None, None, None) for w in named]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _HITS.split(", ")])
-            yield frame.astype({"start": "Int32", "end": "Int32", "sentence_at": "Int32"})
-
-    return run
+            yield _hits_frame([x for doc, text in zip(_ids(batch["doc_id"]), batch["text"]) for x in _told_of(doc, text, _spans(text, wrong, stamp), _spans(text, right, stamp))])
+
+    return docs.mapInPandas(run, _HITS)
+
+
+def _ids(ids: pd.Series) -> list:
+    return ids.astype(object).where(ids.notna(), None).tolist()
+
+
+def _by_shards(docs: DataFrame, wrong: Iterable[Words], right: Iterable[Words]) -> DataFrame:
+    """The same rows for a lexicon of any size: each automaton passes over the texts, and the
+    spans of a text come together again."""
+    docs = stage(docs.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    spans = None
+    for is_wrong, lists in ((True, wrong), (False, right)):
+        for words in lists:
+            shared = docs.sparkSession.sparkContext.broadcast(words)
+
+            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                stamp = re.compile(STAMP)
+                for batch in batches:
+                    yield pd.DataFrame([(rid, a, b) for rid, text in zip(batch["rid"], batch["text"]) for a, b in _spans(text, shared.value, stamp)], columns=["rid", "a", "b"])
+
+            own = stage(docs.select("rid", "text").mapInPandas(run, "rid long, a int, b int").withColumn("wrong", F.lit(is_wrong)), "spans")
+            spans = own if spans is None else spans.unionByName(own)
+    each = spans.groupBy("rid").agg(*[F.collect_list(F.when(c, F.struct("a", "b"))).alias(k) for k, c in (("wrong", F.col("wrong")), ("right", ~F.col("wrong")))])
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = lambda own: [(x["a"], x["b"]) for x in own]
+        for batch in batches:
+            yield _hits_frame([x for doc, text, w, r in zip(_ids(batch["doc_id"]), batch["text"], batch["wrong"], batch["right"]) for x in _told_of(doc, text, pairs(w), pairs(r))])
+
+    return docs.join(each, "rid").mapInPandas(told, _HITS)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -134,14 +155,21 @@ def _small(df: DataFrame) -> DataFrame:
 
 def found(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, named): a row for each alias found (leftmost, longest) and each entry that owns
-    it, and (doc_id, canonical) for each canonical word written, from one pass over the texts.
+    it, and (doc_id, canonical) for each canonical word written.
 
-    Stamps in brackets and words inside a canonical word are passed over.  A lexicon is a
-    list that people keep; its words go to every task.
+    Stamps in brackets and words inside a canonical word are passed over.  One pass over the
+    texts finds all words; a lexicon beyond one automaton takes a pass for each.
     """
     index = alias_index(entries)
-    aliases, names = [r["alias"] for r in index.select("alias").collect()], [r["canonical"] for r in entries.select("canonical").distinct().collect() if r["canonical"]]
-    rows = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_detect(aliases, names), _HITS), "hits")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    aliases, names = index.select("alias"), entries.select("canonical")
+    lists = [automata(aliases), automata(names)]
+    first = [next(x) for x in lists]
+    if (more := [next(x, None) for x in lists]) == [None, None]:
+        rows = _one_pass(texts, *first)
+    else:
+        rows = _by_shards(texts, *[chain([f], [] if m is None else [m], rest) for f, m, rest in zip(first, more, lists)])
+    rows = stage(rows, "hits")
     plain = entries.filter("not coalesce(is_pattern, false)")
     owners = plain.select(F.explode("aliases").alias("alias"), "canonical", "category", "priority", "context_tags").dropDuplicates(["alias", "canonical"])
     hits = rows.filter("alias is not null").drop("named").join(_small(owners), "alias").join(_small(index), "alias")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clock import line_clock
-from ..operators import cluster, correction, events, lists
+from ..operators import cluster, correction, events, lexicon, lists, quality
+from ..operators.staging import stage
 from ..operators.ranges import ordered
 from ..sources import files, replies
 from . import views
@@ -140,25 +141,41 @@ def sel_top_events(spark, d):
     return lists.top_events(_events(spark, d), 5).select("rec_id", "place", "event_no", "score")
 
 
-def _lexicon(spark):
-    rows = [("tionx", ["tion", "thon"], "person", 1, ["game"], False), ("other", ["thre", "thon"], "movie", 0, [], False), ("quex", ["que la", "que"], "hotword", 1, ["book"], False)]
-    return spark.createDataFrame(rows, "canonical string, aliases array<string>, category string, priority int, context_tags array<string>, is_pattern boolean")
+def _raw_lexicon(spark, d):
+    """Lines of a lexicon of the words of `benchmark`, as people write them; each word is written
+    in one category, with its misspellings and an edit of letters."""
+    words = views.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).filter("length(w) >= 6").distinct()
+    n, w, no = F.length("w"), F.col("w"), F.pmod(F.xxhash64("w"), F.lit(1000))
+    twice = F.concat(F.substr(w, F.lit(1), F.lit(3)), F.substr(w, F.lit(3), n))
+    variants = F.concat(F.lit("（谐音："), twice, F.lit("、"), F.substr(w, F.lit(1), n - 1), F.lit("；打错字：th→ht/tt）"))
+    rows = words.select(F.concat(no.cast("string"), F.lit(" / "), w, F.lit(" / "), variants).alias("value"), F.pmod(n, F.lit(4)).alias("kind"))
+    kinds = [quality.raw_lexicon(rows.filter(F.col("kind") == k), c) for k, c in enumerate(("person", "movie", "book", "hotword"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
 
 
+def lexicon_of(spark, d):
+    return stage(lexicon.build(_raw_lexicon(spark, d)), "lexicon")
+
+
+def documents_of(spark, d):
+    """Texts that begin with words of a topic, and write a letter twice in some words."""
+    misheard = F.regexp_replace(F.coalesce("text", F.lit("")), r"\b(th[a-z])([a-z]{3,} [aeiou])", "$1$1$2")
+    misheard = F.regexp_replace(misheard, r"\b(th)([a-z])th\2", "$1$2$2")
+    return views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("游戏主播 "), misheard).alias("text"))
+
 
 def cor_detect(spark, d):
-    docs = views.table(spark, d, "documents")
-    return correction.detect(docs, _lexicon(spark)).groupBy("doc_id", "alias", "canonical").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    return correction.detect(documents_of(spark, d), lexicon_of(spark, d)).groupBy("doc_id", "alias", "canonical").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
 
 
 def cor_apply(spark, d):
-    made, _ = correction.correct(views.table(spark, d, "documents"), _lexicon(spark))
+    made, _ = correction.correct(documents_of(spark, d), lexicon_of(spark, d))
     return made.select("doc_id", "n_applied", F.md5("corrected").alias("corrected_md5"))
 
 
 def cor_report(spark, d):
-    docs = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    _, decisions = correction.correct(docs, _lexicon(spark))
+    docs = documents_of(spark, d)
+    _, decisions = correction.correct(docs, lexicon_of(spark, d))
     return correction.report(docs, decisions).drop("sentence")
 
 

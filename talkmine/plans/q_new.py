@@ -92,12 +92,31 @@ def cor_alias_index(spark, d):
 
 
 def _decided(spark, d):
-    docs = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("游戏主播 "), F.coalesce("text", F.lit(""))).alias("text"))
-    hits, named = correction.found(docs, q_more._lexicon(spark))
+    docs = q_more.documents_of(spark, d)
+    hits, named = correction.found(docs, q_more.lexicon_of(spark, d))
     profile = correction.document_profile(docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
     return docs, correction.scored(hits, profile), named
 
 
+def ag_doc_profile(spark, d):
+    """How much each document speaks of each category or tag."""
+    return correction.document_profile(_decided(spark, d)[0])
+
+
+def cor_context(spark, d):
+    """What of the sentence and the document speaks for each hit."""
+    rows = _decided(spark, d)[1]
+    return rows.select("doc_id", "start", "alias", "canonical", *[F.col(c).cast("long").alias(c) for c in ("n_strong", "n_weak", "n_tags")], *[F.round(c, 6).alias(c) for c in ("doc_strength", "context")])
+
+
+def cor_fluency(spark, d):
+    return _decided(spark, d)[1].select("doc_id", "start", "canonical", "left", "right", F.round("fluency", 6).alias("fluency"))
+
+
+def cor_ambiguity(spark, d):
+    return _decided(spark, d)[1].select("doc_id", "start", "alias", "canonical", "owners", "is_canonical", "priority", F.round("ambiguity", 6).alias("ambiguity"))
+
+
 def cor_score(spark, d):
     """Each hit with the parts of its score: fluency, ambiguity, context, similarity."""
     rows = _decided(spark, d)[1]
@@ -116,7 +135,7 @@ def cor_resolve(spark, d):
 
 def ag_correction_stats(spark, d):
     docs = views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return correction.statistics(docs, correction.correct(docs, q_more._lexicon(spark))[1])
+    return correction.statistics(docs, correction.correct(docs, q_more.lexicon_of(spark, d))[1])
 
 
 def ag_event_stats(spark, d):
@@ -142,7 +161,7 @@ def set_cache_valid(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    fn_recognised, wn_char_turns, src_annotated_truth, src_turn_sheet, snk_turns, snk_hotspot_csv, snk_audio_doc, src_raw_lexicon, cor_build_lexicon, cor_alias_index, cor_score, cor_consistency,
+    fn_recognised, wn_char_turns, src_annotated_truth, src_turn_sheet, snk_turns, snk_hotspot_csv, snk_audio_doc, src_raw_lexicon, cor_build_lexicon, cor_alias_index, ag_doc_profile, cor_context, cor_fluency, cor_ambiguity, cor_score, cor_consistency,
     cor_resolve, ag_correction_stats, ag_event_stats, set_run_stability, set_cache_valid,
 )}
 

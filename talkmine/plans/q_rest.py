@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import REJECT_KINDS
 from ..functions import clock, text
-from ..operators import correction, lists, quality, speakers, windows
+from ..operators import lists, quality, speakers, windows
 from ..sources import files, replies
 from . import q_events, views
 from .q_media import _TOK, _tokens
@@ -188,13 +188,8 @@ def ag_dictionary_stats(spark, d):
     return lists.dictionary_stats(p)
 
 
-def cor_context(spark, d):
-    docs = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("游戏主播 "), F.coalesce("text", F.lit(""))).alias("text"))
-    return correction.document_profile(docs).groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("strength"), 6).alias("strength"))
-
-
 QUERIES = {f.__name__: f for f in (
-    src_structure, sel_speaker_windows, ag_project_list, ag_dictionary_stats, cor_context,
+    src_structure, sel_speaker_windows, ag_project_list, ag_dictionary_stats,
     src_user_words, src_dictionary, src_judgements, src_misschecks, src_simple_highlights, src_provider_b, src_probe_logs, snk_legacy_lines, snk_requests, snk_results, fn_clip_span,
     fn_norm_rec_time, fn_norm_text, flt_view, jn_story_lookup, jn_audio_evidence, ag_doc_counts, dq_audio_doc, wn_progress_monotone, jn_pause_event, cor_merge_lexicon, ag_timing, src_reject_kinds,
 )}
