@@ -132,9 +132,9 @@ def wn_hotspots(spark, d):
 
 
 def _short_segments(spark, d):
-    """Segments on the time scale of the frames."""
+    """Segments on the time scale of the frames, with silence after each."""
     s = views.segments(spark, d)
-    return s.select("rec_id", "line_no", (F.col("start") / 100).alias("start"), (F.col("end") / 100).alias("end"), F.substr("text", F.lit(1), F.lit(1) + (F.col("line_no") % 40).cast("int")).alias("text"))
+    return s.select("rec_id", "line_no", (F.col("start") / 100).alias("start"), ((F.col("start") * 3 + F.col("end")) / 400).alias("end"), "text")
 
 
 def jn_hotspot_text(spark, d):
@@ -180,7 +180,7 @@ def wn_baseline_pct(spark, d):
 
 
 def wn_anomalies(spark, d):
-    return audio.anomalies(_feats(spark, d), 1.02, 1.2, 20, 10, 1, 40)
+    return audio.anomalies(_feats(spark, d), _short_segments(spark, d), 1.02, 1.2, 20, 10, 1, 40)
 
 
 def jn_speech_mark(spark, d):
@@ -242,23 +242,25 @@ marks AS (SELECT rec_id, start AS t FROM pool UNION SELECT rec_id, "end" FROM po
 act AS (SELECT c.rec_id, a, b, count(DISTINCT spk) AS k, min(spk) AS spk FROM cuts c JOIN pool p ON c.rec_id = p.rec_id AND p.start <= a AND p."end" >= b WHERE b IS NOT NULL GROUP BY ALL)"""
 _TRUTH = _NULLS + """, ov AS (SELECT s.rec_id, s.spk, t.speaker, CAST(sum(least(s."end", t."end") - greatest(s.start, t.start)) AS BIGINT) AS ms FROM told s JOIN truth t ON s.rec_id = t.rec_id AND s.start < t."end" AND s."end" > t.start WHERE s.spk IS NOT NULL AND t.speaker <> 'unsure' GROUP BY ALL),
 best AS (SELECT rec_id, spk, speaker, ms FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, spk ORDER BY ms DESC, speaker) AS pl FROM ov) WHERE pl = 1)"""
-_FEATS = """WITH fr AS (SELECT label AS rec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * ((1 + vec_id % 7) / 4.0::DOUBLE)) AS s FROM embeddings),
+_FEATS = """WITH fr AS (SELECT vec_id // 100 AS rec_id, vec_id % 100 AS frame_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * ((1 + vec_id % 7) / 4.0::DOUBLE)) AS s FROM embeddings),
 feats AS (SELECT CAST(rec_id AS BIGINT) AS rec_id, frame_idx, sqrt(list_sum(list_transform(s, lambda v: v * v)) / len(s)) AS rms,
   list_sum(list_transform(range(1, len(s)), lambda i: CASE WHEN s[i] * s[i + 1] < 0 THEN 1 ELSE 0 END)) / (len(s) - 1) AS zcr FROM fr)"""
 _MED = "quantile_cont(rms, 0.5) OVER (PARTITION BY rec_id ORDER BY frame_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 _ISLES = lambda src, cond, gap=1: f"""k1 AS (SELECT * FROM {src} WHERE {cond}), k2 AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY rec_id ORDER BY frame_idx) > {gap} THEN 1 ELSE 0 END AS m FROM k1),
 k3 AS (SELECT *, sum(m) OVER (PARTITION BY rec_id ORDER BY frame_idx) AS run FROM k2)"""
+_BASE = lambda name, half, share: f"""{name}a AS (SELECT rec_id, frame_idx // 5 AS k, (SELECT quantile_cont(rms, {share}) FROM feats g WHERE g.rec_id = f.rec_id AND g.frame_idx >= f.frame_idx - {half} AND g.frame_idx < f.frame_idx + {half}) AS v FROM feats f WHERE frame_idx % 5 = 0),
+{name} AS (SELECT f.rec_id, f.frame_idx, CASE WHEN b.v IS NULL THEN a.v ELSE a.v + (b.v - a.v) * ((f.frame_idx - a.k * 5) / 5) END AS base FROM feats f JOIN {name}a a ON a.rec_id = f.rec_id AND a.k = f.frame_idx // 5 LEFT JOIN {name}a b ON b.rec_id = f.rec_id AND b.k = a.k + 1)"""
 _SPOTS = _FEATS + f""", med AS (SELECT *, coalesce({_MED}, 0) AS med FROM feats),
 fl AS (SELECT *, CASE WHEN rms < {LOUD} THEN 0 WHEN med > 1e-4 AND rms / med > 1.5 AND zcr >= {HIGH_ZCR} THEN 3 WHEN zcr >= {HIGH_ZCR} THEN 2 WHEN med > 1e-4 AND rms / med > 1.5 THEN 1 ELSE 0 END AS flag FROM med), """ + _ISLES("fl", "flag > 0") + """,
 g AS (SELECT rec_id, min(frame_idx) AS first, max(frame_idx) AS last, arg_max(frame_idx, rms) AS peak_idx, max(rms) AS peak_energy, max(flag) AS flag FROM k3 GROUP BY rec_id, run),
 spots AS (SELECT rec_id, first, last, last - first + 1 AS frames, peak_idx, peak_energy, CASE flag WHEN 1 THEN 'energy_burst' WHEN 2 THEN 'high_freq_burst' ELSE 'strong_anomaly' END AS kind, first / 10 AS start, (last + 1) / 10 AS "end" FROM g WHERE last - first + 1 <= 40)"""
 _TAGGED = _SPOTS + ", " + views.SQL["segments"] + """,
-sh AS (SELECT rec_id, line_no, start / 100 AS start, "end" / 100 AS "end", substr(text, 1, CAST(1 + line_no % 40 AS INT)) AS text FROM segments),
+sh AS (SELECT rec_id, line_no, start / 100 AS start, (start * 3 + "end") / 400 AS "end", text FROM segments),
 tg0 AS (SELECT p.rec_id, p.first, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS text_density FROM spots p LEFT JOIN sh ON sh.rec_id = p.rec_id AND sh.start < p."end" AND sh."end" > p.start GROUP BY ALL),
 tagged AS (SELECT *, CASE WHEN text_density <= 8 THEN '文本弱' WHEN text_density <= 30 THEN '文本中' ELSE '文本强' END AS text_tag FROM tg0 JOIN spots USING (rec_id, first))"""
 _KNOWN = _TAGGED + ", " + views.SQL["candidates"] + """, weak AS (SELECT *, (start + "end") / 2 AS c FROM tagged WHERE text_tag = '文本弱' AND kind <> 'energy_burst'),
 known AS (SELECT w.*, EXISTS (SELECT 1 FROM candidates e WHERE e.rec_id = w.rec_id AND e.start / 600 <= w.c AND e."end" / 600 >= w.c) AS known FROM weak w)"""
-_SPEECH = _FEATS + ", " + views.SQL["segments"] + """, marks AS (SELECT f.rec_id, f.frame_idx, EXISTS (SELECT 1 FROM segments s WHERE s.rec_id = f.rec_id AND f.frame_idx >= floor(s.start / 100 * 10) AND f.frame_idx < floor(s."end" / 100 * 10)) AS speech FROM feats f)"""
+_SPEECH = _FEATS + ", " + views.SQL["segments"] + """, marks AS (SELECT f.rec_id, f.frame_idx, EXISTS (SELECT 1 FROM segments s WHERE s.rec_id = f.rec_id AND f.frame_idx >= floor(s.start / 100 * 10) AND f.frame_idx < floor((s.start * 3 + s."end") / 400 * 10)) AS speech FROM feats f)"""
 
 ORACLE = {
     "src_rich_tokens": _sen(_TOK + """ SELECT rec_id, line_no, CASE k WHEN 0 THEN 'en' WHEN 1 THEN 'zh' WHEN 2 THEN 'ja' END AS language, CASE k WHEN 0 THEN '<|HAPPY|>' WHEN 1 THEN '<|SAD|>' END AS emotion_raw,
@@ -303,8 +305,11 @@ SELECT s.rec_id, s.line_no, CASE WHEN n > 1 THEN 'overlap' WHEN ms / (s."end" -
 w AS (SELECT ps.*, (SELECT max(rms) FROM feats f WHERE f.rec_id = ps.rec_id AND f.frame_idx BETWEEN p1 + 1 AND p1 + 20) AS peak, (SELECT arg_max(frame_idx, rms) FROM feats f WHERE f.rec_id = ps.rec_id AND f.frame_idx BETWEEN p1 + 1 AND p1 + 20) AS peak_idx,
   (SELECT quantile_cont(rms, 0.5) FROM feats f WHERE f.rec_id = ps.rec_id AND f.frame_idx BETWEEN p0 - 3 AND p1 + 1) AS med FROM ps)
 SELECT rec_id, p0, p1, peak_idx, round(peak, 6) AS peak FROM w WHERE peak > 0.02 AND peak / greatest(med, 1e-6) > 1.8""",
-    "wn_baseline_pct": _FEATS + """, an AS (SELECT rec_id, frame_idx // 5 AS k, (SELECT quantile_cont(rms, 0.85) FROM feats g WHERE g.rec_id = f.rec_id AND g.frame_idx >= f.frame_idx - 10 AND g.frame_idx < f.frame_idx + 10) AS v FROM feats f WHERE frame_idx % 5 = 0)
-SELECT f.rec_id, f.frame_idx, round(CASE WHEN b.v IS NULL THEN a.v ELSE a.v + (b.v - a.v) * ((f.frame_idx - a.k * 5) / 5) END, 6) AS base FROM feats f JOIN an a ON a.rec_id = f.rec_id AND a.k = f.frame_idx // 5 LEFT JOIN an b ON b.rec_id = f.rec_id AND b.k = a.k + 1""",
+    "wn_baseline_pct": _FEATS + ", " + _BASE("b", 10, 0.85) + " SELECT rec_id, frame_idx, round(base, 6) AS base FROM b",
+    "wn_anomalies": _SPEECH + ", " + _BASE("w", 10, 0.85) + ", " + _BASE("n", 5, 0.5) + """, ab AS (SELECT f.rec_id, f.frame_idx, f.rms, w.base AS wide FROM feats f JOIN w USING (rec_id, frame_idx) JOIN n USING (rec_id, frame_idx) WHERE f.rms > greatest(w.base, 1e-4) * 1.02 AND f.rms > greatest(n.base, 1e-4) * 1.2),
+""" + _ISLES("ab", "TRUE") + """, r AS (SELECT rec_id, min(frame_idx) AS first, max(frame_idx) AS last, arg_max(frame_idx, rms) AS peak_idx, max(rms) AS p, arg_max(wide, rms) AS wide FROM k3 GROUP BY rec_id, run)
+SELECT rec_id, first, last, peak_idx, round(p, 4) AS peak, round(p / wide, 2) AS above, CASE WHEN last - first + 1 < 8 THEN 'short_pulse' WHEN round(p, 4) > greatest(wide, 1e-4) * 3.5 THEN 'sustained' ELSE 'burst' END AS kind,
+  (SELECT speech FROM marks m WHERE m.rec_id = r.rec_id AND m.frame_idx = r.peak_idx) AS speech FROM r WHERE last - first + 1 <= 40""",
     "jn_speech_mark": _SPEECH + " SELECT * FROM marks",
     "ag_speech_share": _SPEECH + " SELECT rec_id, round(100 * avg(CASE WHEN speech THEN 1.0::DOUBLE ELSE 0 END), 1) AS speech_pct FROM marks GROUP BY 1",
     "wn_feedback_latest": views.with_views("feedback", body=""" SELECT clip_id, arg_max(user_choice, event_id) AS user_choice, max(event_id) AS event_id, arg_max(snapshot, event_id) FILTER (snapshot IS NOT NULL) AS snapshot

@@ -75,12 +75,15 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("rec_id", F.concat(F.lit("c"), "k").alias("chapter_id"), (F.col("k") * 750).alias("start"), (F.col("k") * 750 + 750).alias("end"))
 
 
+#: Frames of a recording; their number of recordings grows with the vectors.
+FRAMES = 100
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, frame_idx, samples from embeddings."""
-    w = W.partitionBy("label").orderBy("vec_id")
     scale = (1 + F.col("vec_id") % 7) / 4.0
     return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("rec_id"), (F.row_number().over(w) - 1).cast("long").alias("frame_idx"),
+        F.floor(F.col("vec_id") / FRAMES).cast("long").alias("rec_id"), (F.col("vec_id") % FRAMES).alias("frame_idx"),
         F.transform("embedding", lambda x: x.cast("double") * scale).alias("samples"),
     )
 
