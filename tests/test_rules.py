@@ -20,7 +20,9 @@ def share(a, b):
     return both / least if both > 0 and least > 0 else 0.0
 
 
-def test_dedupe_takes_events_in_order(spark):
+@pytest.mark.parametrize("size", [7, 20_000])
+def test_dedupe_takes_events_in_order(spark, size, monkeypatch):
+    monkeypatch.setattr(events, "ROUND_EVENTS", size)
     rnd = random.Random(1)
     rows = []
     for rec in range(4):
