@@ -100,3 +100,15 @@ class Words:
     def of(cls, kind: str = "娱乐聊天", user: tuple[str, ...] = ()) -> Words:
         strong, normal = LEXICONS[kind]
         return cls(tuple(dict.fromkeys((*COMMON_STRONG, *strong, *user))), normal)
+
+# Themes of chapters by their words, and that of chapters without any.
+THEMES = {
+    "美军口粮": ("美军", "美军口粮", "single ration"),
+    "俄军口粮": ("俄军", "俄军口粮", "俄罗斯"),
+    "乌军口粮": ("乌军", "乌军口粮", "乌克兰"),
+    "罐头测评": ("罐头", "牛肉罐头", "午餐肉"),
+    "咖啡测评": ("咖啡", "美式", "奶精"),
+    "晚餐/微波炉": ("米饭", "微波炉", "蛋糕", "牛腩", " dinner"),
+    "互动/抽奖": ("抽奖", "关注", "礼物", "粉丝"),
+}
+NO_THEME = "直播互动"

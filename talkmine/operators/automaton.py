@@ -8,11 +8,13 @@ of which passes over the texts in turn.  A Python worker builds an automaton onc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of the words of one automaton, about; a letter takes some 40 bytes of a task's memory.
 AUTOMATON_LETTERS = 4_000_000
@@ -62,3 +64,14 @@ def leftmost_longest(spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, in
 def longest_at_each(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest span of each start, in order."""
     return sorted({start: end for start, end in sorted(spans)}.items())
+
+
+def words_in(text: Column, words: Sequence[str]) -> Column:
+    """Which of a fixed list of `words` a text holds, each once, in the order of the list."""
+    shared, place = Words(list(words)), {w: k for k, w in enumerate(words)}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({t[a:b] for a, b in shared.spans(t, 0, len(t))}, key=place.get) for t in texts], dtype="object")
+
+    return held(F.coalesce(text, F.lit("")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import UNKNOWN_STORY
+from ..config import NO_THEME, THEMES, UNKNOWN_STORY
 from ..functions.scores import grade
+from .automaton import words_in
 from .ranges import range_join
 
 
@@ -76,9 +79,23 @@ def structure_stats(chapters: DataFrame, scored: DataFrame) -> DataFrame:
     return chapters.groupBy("rec_id").agg(F.count(F.lit(1)).alias("chapter_count")).join(s, "rec_id", "left")
 
 
-def coverage_rate(told: DataFrame) -> DataFrame:
-    """Share of candidates with a known story."""
-    return told.groupBy("rec_id").agg(F.round(F.avg((F.col("story_id") != UNKNOWN_STORY).cast("double")), 6).alias("known_share"))
+def lineage(events: DataFrame) -> DataFrame:
+    """rec_id, event_no, cand_no: the candidates that each event came from (`source_candidates`)."""
+    return events.select("rec_id", "event_no", F.explode("source_candidates").alias("cand_no")).distinct()
+
+
+def coverage_rate(told: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Share of candidates with a known story; with `events`, also the share of events whose
+    candidates belong to several known stories."""
+    rate = told.groupBy("rec_id").agg(F.round(F.avg((F.col("story_id") != UNKNOWN_STORY).cast("double")), 6).alias("known_share"))
+    if events is None:
+        return rate
+    known = told.filter(F.col("story_id") != UNKNOWN_STORY).select("rec_id", "cand_no", "story_id")
+    stories = lineage(events).join(known, ["rec_id", "cand_no"]).groupBy("rec_id", "event_no").agg(F.countDistinct("story_id").alias("n"))
+    across = stories.filter("n > 1").groupBy("rec_id").agg(F.count(F.lit(1)).alias("across"))
+    n = events.groupBy("rec_id").agg(F.count(F.lit(1)).alias("events"))
+    share = n.join(across, "rec_id", "left").select("rec_id", F.round(F.coalesce("across", F.lit(0)) / F.col("events"), 6).alias("across_share"))
+    return rate.join(share, "rec_id", "left")
 
 
 def gap_stories(candidates: DataFrame, chapters: DataFrame, gap: float = 120.0) -> DataFrame:
@@ -92,8 +109,32 @@ def gap_stories(candidates: DataFrame, chapters: DataFrame, gap: float = 120.0)
     return runs.groupBy("rec_id", "chapter_id", (F.col("story_no") + 1).alias("story_no")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
 
 
-def fixed_chapters(candidates: DataFrame, seconds: int = 900) -> DataFrame:
-    """Windows of equal length that hold candidates, numbered without gaps."""
+def _words_of_themes(candidates: DataFrame, segments: DataFrame, themes: Mapping[str, Sequence[str]], around: float, keys: Sequence[str]) -> DataFrame:
+    """`keys` and word: the words of themes in the titles of candidates and in the segments that begin
+    within `around` seconds of one."""
+    words = list(dict.fromkeys(w for own in themes.values() for w in own))
+    # a blank before each line, as where lines are joined
+    told = segments.select("rec_id", F.col("start").alias("s0"), F.col("start").alias("s1"), words_in(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))), words).alias("words")).filter(F.size("words") > 0)
+    spans = candidates.select(*keys, (F.col("start") - around).alias("a0"), (F.col("end") + around).alias("a1"))
+    near = range_join(spans, told, ["rec_id"], ("a0", "a1"), ("s0", "s1"), 60, closed=True).select(*keys, F.explode("words").alias("word"))
+    titles = candidates.select(*keys, F.explode(words_in(F.concat(F.lit(" "), F.coalesce("title", F.lit(""))), words)).alias("word"))
+    return near.unionByName(titles).distinct()
+
+
+def fixed_chapters(candidates: DataFrame, seconds: int = 900, segments: DataFrame | None = None, themes: Mapping[str, Sequence[str]] = THEMES, around: float = 30) -> DataFrame:
+    """Windows of equal length that hold candidates, numbered without gaps; the last one ends
+    with the last candidate.  With `segments`, also the theme most of whose words come in the titles
+    or near the candidates (the first of equals; none: talk with the audience)."""
     w = W.partitionBy("rec_id").orderBy("window_no")
-    held = candidates.groupBy("rec_id", F.floor(F.col("start") / seconds).cast("long").alias("window_no")).agg(F.count(F.lit(1)).alias("n"))
-    return held.select("rec_id", F.dense_rank().over(w).alias("chapter_no"), (F.col("window_no") * seconds).alias("start"), ((F.col("window_no") + 1) * seconds).alias("end"), "n")
+    placed = candidates.withColumn("window_no", F.floor(F.col("start") / seconds).cast("long"))
+    held = placed.groupBy("rec_id", "window_no").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last"))
+    end = F.least((F.col("window_no") + 1) * seconds, F.max("last").over(W.partitionBy("rec_id")))
+    keys = ["rec_id", "window_no"]
+    rows = held.select(*keys, F.dense_rank().over(w).alias("chapter_no"), (F.col("window_no") * seconds).alias("start"), end.alias("end"), "n")
+    if segments is None:
+        return rows.drop("window_no")
+    pairs = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(t).alias("theme"), F.lit(x).alias("word")) for k, (t, own) in enumerate(themes.items()) for x in own])
+    listed = candidates.sparkSession.range(1).select(F.explode(pairs).alias("p")).select("p.*")
+    scores = _words_of_themes(placed, segments, themes, around, keys).join(F.broadcast(listed), "word").groupBy(*keys, "place", "theme").agg(F.count(F.lit(1)).alias("score"))
+    best = scores.groupBy(*keys).agg(F.max_by("theme", F.struct("score", -F.col("place"))).alias("theme"))
+    return rows.join(best, keys, "left").withColumn("theme", F.coalesce("theme", F.lit(NO_THEME))).drop("window_no")

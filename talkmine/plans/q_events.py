@@ -155,7 +155,9 @@ def ag_default_stories(spark, d):
 
 
 def ag_coverage_rate(spark, d):
-    return structure.coverage_rate(structure.candidate_story(views.candidates(spark, d), views.stories(spark, d)))
+    c = views.candidates(spark, d)
+    events = c.groupBy("rec_id", F.floor(F.col("start") / 90).alias("event_no")).agg(F.collect_set("cand_no").alias("source_candidates"))
+    return structure.coverage_rate(structure.candidate_story(c, views.stories(spark, d)), events)
 
 
 def wn_gap_stories(spark, d):
@@ -163,8 +165,10 @@ def wn_gap_stories(spark, d):
 
 
 def wn_fixed_chapters(spark, d):
-    return structure.fixed_chapters(views.candidates(spark, d).filter("rec_id <> 3 or start < 900 or start > 1800"))
+    return structure.fixed_chapters(views.candidates(spark, d), 60, views.segments(spark, d), _THEMES)
+
 
+_THEMES = {"a": ("thsh", "ouwh", " un"), "b": ("eaux", "pfe"), "c": ("schie", "aiai", "onts")}
 
 QUERIES = {f.__name__: f for f in (
     cl_links, cl_links_story, cl_components, ag_cluster_span, ag_cluster_stats, wn_adjacent, jn_review, sel_final_grade, sel_reject_reason, sel_forced_keep,
@@ -261,11 +265,15 @@ SELECT c.rec_id, chapter_count, story_count, with_events, without_events, f.stor
     "ag_orphan_chapters": _str(""" SELECT * FROM chapters WHERE chapter_id <> 'c1' UNION ALL SELECT rec_id, chapter_id, min(start), max("end") FROM stories WHERE chapter_id NOT IN ('c0', 'c2', 'c3') GROUP BY 1, 2"""),
     "ag_default_stories": _str(""" SELECT h.rec_id, h.chapter_id, h.chapter_id || '-story-1' AS story_id, h.start, h."end", string_agg(CAST(c.cand_no AS VARCHAR), ',' ORDER BY c.cand_no) AS event_nos
 FROM chapters h JOIN candidates c ON h.rec_id = c.rec_id AND c.start >= h.start AND c.start < h."end" WHERE h.chapter_id IN ('c0', 'c2') GROUP BY ALL"""),
-    "ag_coverage_rate": views.with_views("candidates", "stories", body=_TOLD + " SELECT rec_id, round(avg(CASE WHEN story_id <> '__unknown__' THEN 1.0::DOUBLE ELSE 0 END), 6) AS known_share FROM told GROUP BY 1"),
+    "ag_coverage_rate": views.with_views("candidates", "stories", body=_TOLD + """, e AS (SELECT rec_id, start // 90 AS e, count(DISTINCT CASE WHEN story_id <> '__unknown__' THEN story_id END) AS n FROM told GROUP BY ALL)
+SELECT rec_id, round(avg(CASE WHEN story_id <> '__unknown__' THEN 1.0::DOUBLE ELSE 0 END), 6) AS known_share, (SELECT round(count(*) FILTER (n > 1) / count(*), 6) FROM e WHERE e.rec_id = told.rec_id) AS across_share FROM told GROUP BY 1"""),
     "wn_gap_stories": views.with_views("candidates", "chapters", body=""", i AS (SELECT c.*, chapter_id FROM candidates c JOIN chapters h ON h.rec_id = c.rec_id AND c.start >= h.start AND c.start < h."end"),
 m AS (SELECT *, CASE WHEN start - lag("end") OVER w > 20 THEN 1 ELSE 0 END AS b FROM i WINDOW w AS (PARTITION BY rec_id, chapter_id ORDER BY start, cand_no)),
 r AS (SELECT *, 1 + CAST(sum(b) OVER (PARTITION BY rec_id, chapter_id ORDER BY start, cand_no) AS BIGINT) AS story_no FROM m)
 SELECT rec_id, chapter_id, story_no, min(start) AS start, max("end") AS "end", count(*) AS n FROM r GROUP BY ALL"""),
-    "wn_fixed_chapters": _cand(""", h AS (SELECT rec_id, start // 900 AS w, count(*) AS n FROM candidates WHERE rec_id <> 3 OR start < 900 OR start > 1800 GROUP BY ALL)
-SELECT rec_id, dense_rank() OVER (PARTITION BY rec_id ORDER BY w) AS chapter_no, w * 900 AS start, (w + 1) * 900 AS "end", n FROM h"""),
+    "wn_fixed_chapters": views.with_views("candidates", "segments", body=""", c AS (SELECT *, start // 60 AS w FROM candidates), h AS (SELECT rec_id, w, count(*) AS n FROM c GROUP BY ALL), d AS (SELECT rec_id, max("end") AS last FROM c GROUP BY 1),
+wd AS (SELECT * FROM (VALUES """ + ", ".join(f"({k}, '{t}', '{x}')" for k, (t, own) in enumerate(_THEMES.items()) for x in own) + """) v(place, theme, word)),
+m AS (SELECT DISTINCT c.rec_id, c.w, place, theme, word FROM c, wd WHERE contains(' ' || title, word) UNION SELECT DISTINCT c.rec_id, c.w, place, theme, word FROM c JOIN segments s ON s.rec_id = c.rec_id AND s.start BETWEEN c.start - 30 AND c."end" + 30 JOIN wd ON contains(' ' || s.text, word)),
+t AS (SELECT rec_id, w, theme, row_number() OVER (PARTITION BY rec_id, w ORDER BY count(*) DESC, place) AS pl FROM m GROUP BY rec_id, w, place, theme)
+SELECT h.rec_id, dense_rank() OVER (PARTITION BY h.rec_id ORDER BY h.w) AS chapter_no, h.w * 60 AS start, least((h.w + 1) * 60, last) AS "end", n, coalesce(theme, '直播互动') AS theme FROM h JOIN d USING (rec_id) LEFT JOIN t ON t.rec_id = h.rec_id AND t.w = h.w AND pl = 1"""),
 } | {f"sel_quantity_{m}": _sql_quantity(m) for m in ("auto", "pool", "top")}

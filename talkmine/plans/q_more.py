@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clock import line_clock
-from ..operators import cluster, correction, events, lexicon, lists, quality
+from ..functions.scores import grade
+from ..operators import cluster, correction, events, feedback, lexicon, lists, quality
 from ..operators.staging import stage
 from ..operators.ranges import ordered
 from ..sources import files, replies
@@ -115,7 +116,10 @@ def ag_run_summary(spark, d):
 
 
 def set_run_delta(spark, d):
-    return events.run_delta(_events(spark, d), _later(spark, d))
+    graded = lambda e, more: e.withColumn("grade", grade(F.col("score") * 10 - more))
+    usage = views.table(spark, d, "events").select((F.col("user_id") % 20).alias("rec_id"), (F.col("event_id") % 2).alias("run"), F.floor(F.col("value") * 100).cast("long").alias("in_tokens"), F.floor(F.col("value") * 10).cast("long").alias("out_tokens"))
+    costs = tuple(feedback.usage_cost(usage.filter(F.col("run") == k).drop("run")) for k in (0, 1))
+    return events.run_delta(graded(_events(spark, d), 0), graded(_later(spark, d), F.col("event_no") % 3 * 5), costs=costs)
 
 
 def set_match_runs(spark, d):
@@ -220,7 +224,10 @@ SELECT rec_id, group_no, min(start) AS start, max("end") AS "end", md5(substr(co
     "jn_rescan_anti": _cand(""", f AS (SELECT rec_id, cand_no, start + cand_no % 2 AS start, "end" + cand_no % 2 AS e FROM candidates WHERE cand_no % 3 = 0), k AS (SELECT rec_id, start, "end" AS e FROM candidates WHERE cand_no % 3 <> 0)
 SELECT rec_id, cand_no FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rec_id = f.rec_id AND ((k.start = f.start AND k.e = f.e) OR (least(k.e, f.e) > greatest(k.start, f.start) AND (least(k.e, f.e) - greatest(k.start, f.start)) / least(k.e - k.start, f.e - f.start) > 0.5)))"""),
     "ag_run_summary": _cand(_EVENTS + _summary("events_", "s") + " SELECT * FROM s"),
-    "set_run_delta": _cand(_EVENTS + _summary("events_", "s") + _summary("later", "t") + " SELECT s.rec_id, " + ", ".join(f"t.{c} - s.{c} AS d_{c}" for c in _COLS) + " FROM s JOIN t USING (rec_id)"),
+    "set_run_delta": _cand(_EVENTS + _summary("events_", "s") + _summary("later", "t") + "".join(f""", {n} AS (SELECT rec_id, {", ".join(f"count(*) FILTER (g = '{x}') AS {x}" for x in "SABCD")} FROM (SELECT rec_id, CASE WHEN p >= 90 THEN 'S' WHEN p >= 80 THEN 'A' WHEN p >= 60 THEN 'B' WHEN p >= 50 THEN 'C' ELSE 'D' END AS g FROM (SELECT rec_id, score * 10 - {m} AS p FROM {src})) GROUP BY 1)""" for n, src, m in (("sg", "events_", "0"), ("tg", "later", "event_no % 3 * 5")))
+    + """, cost AS (SELECT user_id % 20 AS rec_id, event_id % 2 AS run, round((sum(CAST(floor(value * 100) AS BIGINT)) * 2.0::DOUBLE + sum(CAST(floor(value * 10) AS BIGINT)) * 8.0::DOUBLE) / 1000000, 4) AS cost FROM events GROUP BY ALL) SELECT s.rec_id, """
+    + ", ".join(f"t.{c} - s.{c} AS d_{c}" for c in _COLS) + ", " + ", ".join(f"tg.{x} - sg.{x} AS d_grade_{x}" for x in "SABCD") + """, round(coalesce(c1.cost, 0) - coalesce(c0.cost, 0), 4) AS d_cost
+FROM s JOIN t USING (rec_id) JOIN sg USING (rec_id) JOIN tg USING (rec_id) LEFT JOIN cost c0 ON c0.rec_id = s.rec_id AND c0.run = 0 LEFT JOIN cost c1 ON c1.rec_id = s.rec_id AND c1.run = 1"""),
     "set_title_clash": _cand(" SELECT title, count(DISTINCT rec_id) AS recordings FROM candidates GROUP BY 1 HAVING count(DISTINCT rec_id) > 1"),
     "set_event_subset": _cand(" SELECT rec_id, cand_no + 1000 AS event_no FROM candidates WHERE cand_no % 9 = 0"),
     "set_all_events": _cand(" SELECT rec_id, count(*) AS n, count(*) FILTER (score >= 6) AS recommended, count(*) FILTER (score < 6) AS rejected FROM candidates GROUP BY 1"),

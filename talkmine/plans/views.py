@@ -38,14 +38,14 @@ def _placed(no: str) -> list[Column]:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_id, cand_no, start, end, title, reason, score, chunk_no from documents: the first
-    sentence of a text is the title, the second the reason."""
+    sentence of a text is the title, the rest the reason."""
     d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     start = (F.col("doc_id") * 37) % 3000
     sentences = F.split("text", r"[.!?\n]+", -1)
     return d.select(
         *_placed("cand_no"), start.alias("start"),
         (start + 5 + F.col("n_chars") % 180).alias("end"), F.trim(F.get(sentences, 0)).alias("title"),
-        F.trim(F.coalesce(F.get(sentences, 1), F.lit(""))).alias("reason"), (1 + F.col("n_chars") % 10).alias("score"),
+        F.trim(F.array_join(F.slice(sentences, F.lit(2), F.size(sentences)), " ")).alias("reason"), (1 + F.col("n_chars") % 10).alias("score"),
         F.floor(start / 600).cast("long").alias("chunk_no"),
     )
 
@@ -123,7 +123,7 @@ SQL = {
     WINDOW w AS (PARTITION BY rec_id ORDER BY conv_id, turn)))""",
     "candidates": """candidates AS (
   SELECT doc_id // 100 AS rec_id, doc_id % 100 AS cand_no, (doc_id * 37) % 3000 AS start, (doc_id * 37) % 3000 + 5 + n_chars % 180 AS "end",
-    trim(s[1], ' ') AS title, trim(coalesce(s[2], ''), ' ') AS reason, 1 + n_chars % 10 AS score, ((doc_id * 37) % 3000) // 600 AS chunk_no
+    trim(s[1], ' ') AS title, trim(array_to_string(s[2:], ' '), ' ') AS reason, 1 + n_chars % 10 AS score, ((doc_id * 37) % 3000) // 600 AS chunk_no
   FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '[.!?\\n]+') AS s FROM documents))""",
     "reviews": """reviews AS (
   SELECT doc_id // 100 AS rec_id, doc_id % 100 AS event_no, 1 + (n_chars * 3) % 10 AS hook, 1 + (n_chars * 7) % 10 AS contrast, 1 + (n_chars * 11) % 10 AS persona,
