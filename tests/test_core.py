@@ -236,9 +236,11 @@ def windows_one_by_one(pool):
     return found
 
 
-def test_speaker_windows(spark):
+@pytest.mark.parametrize("block", [1_800_000, 45_000])
+def test_speaker_windows(spark, block, monkeypatch):
     from talkmine.operators import windows
 
+    monkeypatch.setattr(windows, "BLOCK_MS", block)
     rnd, rows, at = random.Random(8), [], 0
     for k in range(120):
         length = rnd.randint(1500, 9000)
