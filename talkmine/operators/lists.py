@@ -64,6 +64,13 @@ def timing(runs: DataFrame, key: str, warm: Column) -> DataFrame:
     return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(value), 6).alias("mean_warm"), F.min(value).alias("least_warm"), F.max(value).alias("most_warm"))
 
 
+def run_timings(runs: DataFrame, key: str, order: str) -> DataFrame:
+    """A row for each run of a group: its number in `order`, its time and its share of the group's
+    greatest."""
+    w = W.partitionBy(key)
+    return runs.select(key, F.row_number().over(w.orderBy(order)).alias("run_no"), "value", F.round(F.col("value") / F.max("value").over(w), 4).alias("of_most"))
+
+
 def batches(events: DataFrame, size: int) -> DataFrame:
     """Events in batches of `size` by number."""
     w = W.partitionBy("rec_id").orderBy("event_no")

@@ -157,6 +157,10 @@ def ag_timing(spark, d):
     return lists.timing(e, "event_type", F.col("event_id") % 5 != 0)
 
 
+def ag_run_timings(spark, d):
+    return lists.run_timings(views.table(spark, d, "events"), "user_id", "event_id")
+
+
 def src_reject_kinds(spark, d):
     """How often each known reject kind is told."""
     return views.reviews(spark, d).filter(F.col("reject_kind").isin(*REJECT_KINDS)).groupBy("reject_kind").agg(F.count(F.lit(1)).alias("n"))
@@ -191,7 +195,7 @@ def ag_dictionary_stats(spark, d):
 QUERIES = {f.__name__: f for f in (
     src_structure, sel_speaker_windows, ag_project_list, ag_dictionary_stats,
     src_user_words, src_dictionary, src_judgements, src_misschecks, src_simple_highlights, src_provider_b, src_probe_logs, snk_legacy_lines, snk_requests, snk_results, fn_clip_span,
-    fn_norm_rec_time, fn_norm_text, flt_view, jn_story_lookup, jn_audio_evidence, ag_doc_counts, dq_audio_doc, wn_progress_monotone, jn_pause_event, cor_merge_lexicon, ag_timing, src_reject_kinds,
+    fn_norm_rec_time, fn_norm_text, flt_view, jn_story_lookup, jn_audio_evidence, ag_doc_counts, dq_audio_doc, wn_progress_monotone, jn_pause_event, cor_merge_lexicon, ag_timing, ag_run_timings, src_reject_kinds,
 )}
 
 _cand = lambda body: views.with_views("candidates", body=body)
@@ -229,6 +233,7 @@ m AS (SELECT *, max(percent) OVER (PARTITION BY rec_id ORDER BY line_no ROWS BET
 h AS (SELECT b.rec_id, place, b.start, (SELECT arg_min(event_no, "end" * 100000 + event_no) FROM graded g WHERE g.rec_id = b.rec_id AND grade IN ('A', 'B', 'C') AND g.start <= b.start + 0.5 AND g."end" >= b.start + 0.5) AS event_no FROM b WHERE place <= 5)
 SELECT *, event_no IS NOT NULL AS hit FROM h"""),
     "ag_timing": " SELECT event_type, count(*) AS runs, round(avg(value) FILTER (event_id % 5 <> 0), 6) AS mean_warm, min(value) FILTER (event_id % 5 <> 0) AS least_warm, max(value) FILTER (event_id % 5 <> 0) AS most_warm FROM events GROUP BY 1",
+    "ag_run_timings": " SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS run_no, value, round(value / max(value) OVER (PARTITION BY user_id), 4) AS of_most FROM events",
     "src_reject_kinds": views.with_views("reviews", body=" SELECT reject_kind, count(*) AS n FROM reviews WHERE reject_kind <> '' GROUP BY 1"),
     "ag_doc_counts": _sen(_TOK + """, s AS (SELECT *, CASE WHEN spk IS DISTINCT FROM lag(spk) OVER w OR start - max("end") OVER (PARTITION BY rec_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 800 THEN 1 ELSE 0 END AS t FROM utt WINDOW w AS (PARTITION BY rec_id ORDER BY line_no))
 SELECT rec_id, count(*) AS utterances, count(*) FILTER (k IN (0, 1)) AS emotions, count(DISTINCT spk) AS speakers, CAST(sum(CASE k WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS BIGINT) AS audio_events, CAST(sum(t) AS BIGINT) AS turns FROM s GROUP BY 1"""),
