@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is set, one in the warehouse."""
-    where = spark.conf.get(SETTING, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/talkmine-staging"
+    """The folder all executors share; where none is set, one in the warehouse.  On a cluster a
+    warehouse in local files is no such folder, so ValueError is raised."""
+    where = spark.conf.get(SETTING, None)
+    if where is None:
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/talkmine-staging"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match(r"file:|/", where):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
     return where.rstrip("/")
 
 
