@@ -11,6 +11,7 @@ of one leaf needs no tree: its pairs are tested at once.  A block of more than
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -439,6 +440,11 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.n
         yield held, _cuts(held)
 
 
+def _digest(members: np.ndarray) -> bytes:
+    """128 bits that tell the members of a block, so that a task remembers little of each."""
+    return hashlib.blake2b(np.ascontiguousarray(members), digest_size=16).digest()
+
+
 def _cuts(frame: pd.DataFrame) -> np.ndarray:
     keys = frame[["shingle", "x", "y"]].to_numpy(np.int64)
     return np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True]) if len(keys) else np.zeros(1, np.int64)
@@ -462,7 +468,7 @@ def _first_round(similarity: int):
             starts, sizes = cuts[:-1], np.diff(cuts)
             pairs = [_leaf_pairs(starts, sizes, k, n, bits, similarity)]
             for a, b in zip(starts[sizes > WHOLE_BLOCK], cuts[1:][sizes > WHOLE_BLOCK]):
-                if (own := k[a:b].tobytes()) not in met:  # the same members give the same pairs
+                if (own := _digest(k[a:b])) not in met:  # the same members give the same pairs
                     met.add(own)
                     block = Block(n[a:b], list(bits[a:b]), np.arange(b - a), similarity)
                     pairs += [np.stack([k[a + i], k[a + j]], axis=1) for i, j in block.stars() if len(i)]
@@ -489,7 +495,7 @@ def _later_round(similarity: int, nearest: bool):
             s, k, n, bits, root = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy(), frame["root"].to_numpy()
             pairs, more = [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a < 2 or (own := k[a:b].tobytes()) in met:
+                if b - a < 2 or (own := _digest(k[a:b])) in met:
                     continue
                 met.add(own)
                 got = list(Block(n[a:b], list(bits[a:b]), root[a:b], similarity).dual())
