@@ -151,7 +151,8 @@ def _raw_lexicon(spark, d):
     words = views.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("w")).filter("length(w) >= 6").distinct()
     n, w, no = F.length("w"), F.col("w"), F.pmod(F.xxhash64("w"), F.lit(1000))
     twice = F.concat(F.substr(w, F.lit(1), F.lit(3)), F.substr(w, F.lit(3), n))
-    variants = F.concat(F.lit("（谐音："), twice, F.lit("、"), F.substr(w, F.lit(1), n - 1), F.lit("；打错字：th→ht/tt）"))
+    cut = F.when(n >= 9, F.concat(F.lit("、"), F.substr(w, F.lit(1), n - 1))).otherwise("")  # of a short word it is part of many others
+    variants = F.concat(F.lit("（谐音："), twice, cut, F.lit("；打错字：th→ht/tt）"))
     rows = words.select(F.concat(no.cast("string"), F.lit(" / "), w, F.lit(" / "), variants).alias("value"), F.pmod(n, F.lit(4)).alias("kind"))
     kinds = [quality.raw_lexicon(rows.filter(F.col("kind") == k), c) for k, c in enumerate(("person", "movie", "book", "hotword"))]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
