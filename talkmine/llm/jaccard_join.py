@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ AT_ONCE = 1 << 14
 LEAF = 16
 FAN = 4
 #: Bytes of a text that are hashed at once, and the smallest table of powers.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SMALL = 1 << 17
 #: Primes and bases of the two polynomials that hash a word.
 _MODULI = (2147483647, 2147483629)
@@ -65,6 +66,10 @@ _IS_BLANK = np.isin(np.arange(256), _BLANK)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: Rows, and bytes of forms, that a task hands out at once.
+OUT_ROWS = 2048
+OUT_BYTES = 1 << 23
+
 _SETS = "doc_id long, text_hash long, k long, k2 long, n int, bits binary, fine binary, probe array<long>"
 _PREFIXES = "shingle long, part int, k long"
 
@@ -96,11 +101,11 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """62-bit hashes of the words of a text: two polynomials of byte values modulo primes,
-    from running sums over the whole text and shifted to the place of the word.  Long texts
-    are taken by segments that end at blanks."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def word_hashes(text: str | np.ndarray) -> np.ndarray:
+    """62-bit hashes of the words of a text, given as such or as its UTF-8 bytes: two
+    polynomials of byte values modulo primes, from running sums over the whole text and
+    shifted to the place of the word.  Long texts are taken by segments that end at blanks."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if isinstance(text, str) else text
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + SEGMENT)
@@ -125,7 +130,7 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | np.ndarray, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles.
 
     Words are runs of other than ASCII white space with A-Z lower-cased; a text of
@@ -198,18 +203,47 @@ def folded(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
+def _values(column: pa.Array) -> Iterator[np.ndarray]:
+    """The bytes of each text or binary value, as views of the column's own memory."""
+    if not len(column):
+        return
+    _, at, data = column.buffers()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    for begin, end in zip(at, at[1:]):
+        yield data[begin:end]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, OUT_ROWS):
+            yield batch.slice(at, OUT_ROWS)
+
+
+def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
 def _read_sets(seed: int, words: int, similarity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
+    names = [c.split()[0] for c in _SETS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            keys, sizes, coarse, fine, probes = [], [], [], [], []
+            for text in _values(batch.column("text")):
                 own = shingles(text, words)
-                k, k2 = set_key(own, seed)
-                probe = own[: prefix_length(len(own), similarity) * PROBE // 100] if len(own) else own
-                out.append((None if pd.isna(doc) else int(doc), text_hash, k, k2, len(own), signature(own).tobytes(), signature(own, FINE).tobytes(), probe))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                keys.append(set_key(own, seed))
+                sizes.append(len(own))
+                coarse.append(signature(own).tobytes())
+                fine.append(signature(own, FINE).tobytes())
+                probes.append(own[: prefix_length(len(own), similarity) * PROBE // 100].copy() if len(own) else own)
+            k = np.array(keys, np.int64)
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in probes])].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(sizes, pa.int32()),
+                pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(probes))),
+            ], names)
 
     return run
 
@@ -217,21 +251,21 @@ def _read_sets(seed: int, words: int, similarity: int):
 def _read_prefixes(seed: int, words: int, similarity: int, shared):
     """(shingle, part, k); the rows of a frequent shingle are dealt to parts from 1 on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             met, keys, firsts = set(), [], []
-            for text in batch["text"]:
+            for text in _values(batch.column("text")):
                 own = shingles(text, words)
                 k = set_key(own, seed)[0]
                 if len(own) and k not in met:
                     met.add(k)
                     keys.append(k)
-                    firsts.append(prefix(own, frequent, rank, similarity))
+                    firsts.append(prefix(own, frequent, rank, similarity).copy())
             if keys:
                 s, k = np.concatenate(firsts), np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])
                 heavy = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-                yield pd.DataFrame({"shingle": s, "part": np.where(heavy, 1 + k % SPREAD, 0).astype(np.int32), "k": k})
+                yield _longs(shingle=s, part=np.where(heavy, 1 + k % SPREAD, 0).astype(np.int32), k=k)
 
     return run
 
@@ -534,30 +568,36 @@ def _sift(similarity: int):
 def _chosen(seed: int, words: int, shared, form):
     """(k, form of the set) of the documents that may be chosen."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met, out = set(), []
-            for text in batch["text"][passes(shared.value, batch["doc_id"])]:
-                own = shingles(text, words)
-                k = set_key(own, seed)[0]
-                if k not in met and len(own):
-                    met.add(k)
-                    out.append((k, form(own).tobytes()))
-            yield pd.DataFrame(out, columns=["k", "form"])
+            ids, met, keys, forms, held = batch.column("doc_id").cast(pa.int64()), set(), [], [], 0
+            ids = pd.Series(pd.arrays.IntegerArray(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)))
+            for may, text in zip(passes(shared.value, ids), _values(batch.column("text"))):
+                if not may or not len(own := shingles(text, words)) or (k := set_key(own, seed)[0]) in met:
+                    continue
+                met.add(k)
+                keys.append(k)
+                forms.append(form(own).tobytes())
+                held += len(forms[-1])
+                if held >= OUT_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary())], ["k", "form"])
+                    keys, forms, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary())], ["k", "form"])
 
     return run
 
 
 def _verify(similarity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for x, y in zip(_values(batch.column("x")), _values(batch.column("y"))):
+                x, y = x.view(np.int64), y.view(np.int64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -574,7 +614,7 @@ def _forms(rows: DataFrame, sets: DataFrame, keys: DataFrame, how: tuple, form)
     seed, words, _ = how
     one_of = sets.join(keys, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     shared = rows.sparkSession.sparkContext.broadcast(bloom(stage(one_of, "chosen"), "doc_id"))
-    made = rows.mapInPandas(_chosen(seed, words, shared, form), "k long, form binary")
+    made = rows.mapInArrow(_chosen(seed, words, shared, form), "k long, form binary")
     return made.join(keys, "k", "left_semi").dropDuplicates(["k"])
 
 
@@ -587,7 +627,7 @@ def _links(rows: DataFrame, sets: DataFrame, maps: DataFrame, pairs: DataFrame,
     keys = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
     own = stage(_forms(rows, sets, keys, how, np.asarray), "own")
     xs, ys = own.select(F.col("k").alias("a"), F.col("form").alias("x")), own.select(F.col("k").alias("b"), F.col("form").alias("y"))
-    return stage(left.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInPandas(_verify(how[2]), "a long, b long"), "links")
+    return stage(left.join(xs, "a").join(ys, "b").select("a", "b", "x", "y").mapInArrow(_verify(how[2]), "a long, b long"), "links")
 
 
 def _small(df: DataFrame, tag: str) -> DataFrame:
@@ -647,14 +687,14 @@ def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     rows, seed = texts(docs), 0
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     while True:
-        sets = stage(hashed.mapInPandas(_read_sets(seed, words, similarity), _SETS), "sets")
+        sets = stage(hashed.mapInArrow(_read_sets(seed, words, similarity), _SETS), "sets")
         if sets.groupBy("k").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).filter("a <> b").isEmpty():
             break
         seed += 1
     counts = sets.select(F.explode("probe").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toArrow().to_pandas().sort_values("shingle")
     shared = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
-    prefixes = rows.mapInPandas(_read_prefixes(seed, words, similarity, shared), _PREFIXES)
+    prefixes = rows.mapInArrow(_read_prefixes(seed, words, similarity, shared), _PREFIXES)
     order = ["shingle", "part", "k"]
     blocks = stage(prefixes.repartition("shingle", "part").sortWithinPartitions(*order).mapInPandas(_shared, "shingle long, k long"), "shared")
     maps = stage(sets.filter("n > 0").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "bits", "fine")]), "maps")
