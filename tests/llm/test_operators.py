@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -521,3 +523,38 @@ def test_ngrams_are_counted(monkeypatch, order):
     for g, n in zip(*toxicity.counted(words, order)):
         made[g] = made.get(g, 0) + int(n)
     assert made == want
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary(), pa.large_binary()])
+def test_values_are_views_of_any_slice(kind):
+    texts = ["", "a b c", "größe 漢字 🙂", "", "x" * 70_000]
+    column = pa.array(texts, kind)
+    for at in range(len(texts) + 1):
+        for size in range(len(texts) + 1 - at):
+            made = [x.tobytes().decode() for x in jaccard_join._values(column.slice(at, size))]
+            assert made == texts[at : at + size]
+    assert list(jaccard_join._values(pa.array([], kind))) == []
+    assert [x.tobytes() for x in jaccard_join._values(pa.array(["", ""], kind))] == [b"", b""]
+
+
+def test_sets_of_arrow_batches_equal_those_of_texts():
+    texts = ["", " \t", "One two", "a b c d a b c e", "größe 漢字 🙂 x y"] * 500
+    ids = [None, (1 << 60) + 1, 3, 4, 5] * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    rows = [r for b in jaccard_join._read_sets(0, 3, 90)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text_hash"]) for r in rows] == list(zip(ids, range(len(texts))))
+    for text, r in zip(texts, rows):
+        own = jaccard_join.shingles(text)
+        assert (r["k"], r["k2"], r["n"]) == (*jaccard_join.set_key(own, 0), len(own))
+        assert r["bits"] == jaccard_join.signature(own).tobytes() and r["fine"] == jaccard_join.signature(own, jaccard_join.FINE).tobytes()
+        assert r["probe"] == own[: jaccard_join.prefix_length(len(own), 90) * jaccard_join.PROBE // 100 if len(own) else 0].tolist()
+
+
+def test_chosen_finds_great_ids_beside_null():
+    """Ids beyond 2^53 are exact where others of the batch are null."""
+    ids, table = [None, (1 << 60) + 1, 7], np.zeros(1 << 12, bool)
+    table[((1 << 60) + 1) % (len(table) - 1)] = True
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["n n n", "g g g", "s s s"])], ["doc_id", "text"])
+    made = jaccard_join._chosen(0, 3, SimpleNamespace(value=table), np.asarray)(iter([batch]))
+    want = {jaccard_join.set_key(own, 0)[0]: own.tobytes() for own in map(jaccard_join.shingles, ["n n n", "g g g"])}
+    assert {r["k"]: r["form"] for b in made for r in b.to_pylist()} == want
