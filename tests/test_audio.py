@@ -98,3 +98,23 @@ def test_anomalies(spark, feats, recordings):
     made = audio.anomalies(feats, spark.createDataFrame(spoken, "rec_id long, start double, end double"))
     assert {tuple(r) for r in made.select("rec_id", "first", "last", "peak_idx", "peak", "above", "kind", "speech").collect()} == expected and {x[-1] for x in expected} == {True, False}
     assert audio.anomalies(feats.limit(0)).collect() == []
+
+
+def test_recordings_of_labels_are_whole(spark, tmp_path, monkeypatch):
+    """Frames of a label are numbered on past 100, pauses and bursts cross that place, segments mark all their frames."""
+    from talkmine.plans import q_media
+
+    monkeypatch.setattr(blocks.numbered, "__defaults__", (64,))
+    quiet = lambda k: 90 <= k < 130
+    vecs = [(2 * k, [0.01 if quiet(k) else 0.9 if k == 135 else 0.3] * 4, 0) for k in range(250)] + [(2 * k + 1, [0.3] * 4, 1) for k in range(5)]
+    random.Random(2).shuffle(vecs)
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(0, t, "user", "x" * 19) for t in range(8)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    made = {(r["rec_id"], r["frame_idx"]): r["rms"] for r in q_media.ag_frame_feats(spark, str(tmp_path)).collect()}
+    samples = {v: (x[0], (1 + v % 7) / 4) for v, x, _ in vecs}
+    assert made == {(y, k): pytest.approx(samples[2 * k + y][0] * samples[2 * k + y][1], abs=1e-6) for y, n in ((0, 250), (1, 5)) for k in range(n)}
+    bursts = {(r["p0"], r["p1"]) for r in q_media.wn_pause_bursts(spark, str(tmp_path)).collect() if r["rec_id"] == 0}
+    assert (90, 129) in bursts
+    marks = {r["frame_idx"] for r in q_media.jn_speech_mark(spark, str(tmp_path)).collect() if r["rec_id"] == 0 and r["speech"]}
+    spans = [(26 * k + 4, 26 * k + 26) for k in range(8)]  # seconds of a segment: 22, after a gap of 4
+    assert marks == {i for a, b in spans for i in range(int(a / 100 * 10), int(b / 100 * 10))}
