@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: what a topic keeps of a text.
 NON_TOPIC = "[^一-龥a-zA-Z0-9]"
@@ -33,6 +36,24 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(clean) == 0, F.array().cast("array<string>")).when(F.length(clean) == 1, F.array(clean)).otherwise(pairs)
 
 
+#: Whether a code point is kept as topic; the last place stands for all beyond the plane.
+_TOPIC = np.zeros(0x10000, dtype=bool)
+for _first, _last in ("一龥", "az", "AZ", "09"):
+    _TOPIC[ord(_first) : ord(_last) + 1] = True
+
+
+def _pair_codes(text: str) -> bytes:
+    kept = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = kept[_TOPIC[np.minimum(kept, 0xFFFF)]]
+    return (np.unique(kept[:-1] << 16 | kept[1:]) if len(kept) > 1 else kept).tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def bigram_codes(texts: pd.Series) -> pd.Series:
+    """The set of `bigrams` as sorted 32-bit numbers: two code points of 16 bits."""
+    return pd.Series([_pair_codes(x or "") for x in texts], dtype="object")
+
+
 def set_overlap(a: Column, b: Column) -> Column:
     """Shared members as a share of the smaller set."""
     least = F.least(F.size(a), F.size(b))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_STORY, Cluster
 from ..functions.scores import overlap, thousandths, time_decay
-from ..functions.text import bigrams, set_overlap
+from ..functions.text import bigram_codes
 from .staging import stage
 
+#: Candidates of a tile: neighbours by rank whose topics one task compares at a time.
+TILE = 128
+#: Columns of the matrix of a tile's topics.
+COLUMNS = 8192
+
 
 def ranked(candidates: DataFrame) -> DataFrame:
     """Times put in order, and `place`: the rank by start, unknown times last, ties by
@@ -22,7 +29,7 @@ def ranked(candidates: DataFrame) -> DataFrame:
 
 
 def _side(df: DataFrame, p: str) -> DataFrame:
-    return df.select("rec_id", *[F.col(c).alias(f"{p}_{c}") for c in ("cand_no", "start", "end", "place", "grams", "story_id")])
+    return df.select("rec_id", *[F.col(c).alias(f"{p}_{c}") for c in ("cand_no", "start", "end", "place", "story_id")])
 
 
 def pairs(rows: DataFrame, cfg: Cluster) -> DataFrame:
@@ -54,17 +61,55 @@ def pairs(rows: DataFrame, cfg: Cluster) -> DataFrame:
     return near.unionByName(beside).unionByName(same)
 
 
+def shared_members(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of `sets` share, by products of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, member, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = n[member] > 1  # others are shared by none
+    owner, member = owner[met], (np.cumsum(n > 1) - 1)[member[met]]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int((n > 1).sum()), COLUMNS):
+        own = (member >= low) & (member < low + COLUMNS)
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[own], member[own] - low] = 1
+        out += x @ x.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _topic_of(pairs: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    """`pairs` of two tiles with `topic`: the shared pairs of letters as a share of the smaller set."""
+    if pairs.empty:
+        return pairs.assign(topic=pd.Series(dtype="float64"))
+    sets = [np.frombuffer(x, np.uint32) for x in grams["grams"]]
+    at = pd.Index(grams["place"])
+    a, b = at.get_indexer(pairs["a_place"]), at.get_indexer(pairs["b_place"])
+    n = np.array([len(x) for x in sets])
+    least = np.minimum(n[a], n[b])
+    return pairs.assign(topic=np.where(least > 0, shared_members(sets)[a, b] / np.maximum(least, 1), 0.0))
+
+
+def with_topic(pairs_: DataFrame, rows: DataFrame) -> DataFrame:
+    """`pairs_` with `topic`.  `rows`: rec_id, place, grams.  Pairs go by tiles of ranks, and the
+    texts of a tile once to each tile that a pair joins it with."""
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    on = ["rec_id", "a_tile", "b_tile"]
+    pairs_ = stage(pairs_.withColumns({"a_tile": tile("a_place"), "b_tile": tile("b_place")}), "pairs")
+    met = pairs_.select("rec_id", F.col("a_tile").alias("first"), F.col("b_tile").alias("second")).distinct().withColumn("tile", F.explode(F.array_distinct(F.array("first", "second"))))
+    grams = rows.select("rec_id", "place", "grams", tile("place").alias("tile")).join(met, ["rec_id", "tile"]).select("rec_id", "first", "second", "place", "grams")
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in pairs_.schema)
+    return pairs_.groupBy(on).cogroup(grams.groupBy("rec_id", "first", "second")).applyInPandas(_topic_of, f"{schema}, topic double").drop("a_tile", "b_tile")
+
+
 def links(candidates: DataFrame, cfg: Cluster = Cluster()) -> DataFrame:
     """rec_id, a, b, score and its parts, for pairs of score `threshold` or more.
 
     `candidates`: rec_id, cand_no, start, end, title, reason and, if stories count,
-    story_id.  Without story_id no story speaks.
+    story_id.  Without story_id no story speaks.  Only pairs that a full topic would lift to
+    the threshold have their topics compared.
     """
     told = "story_id" in candidates.columns
-    rows = ranked(candidates if told else candidates.withColumn("story_id", F.lit(None).cast("string")))
-    topic = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.when(F.col("reason") != "", F.col("reason")))
-    rows = rows.withColumn("grams", bigrams(topic))
-    both = pairs(rows, cfg)
+    both = pairs(ranked(candidates if told else candidates.withColumn("story_id", F.lit(None).cast("string"))), cfg)
     gap = F.greatest(F.lit(0), F.greatest(F.col("b_start") - F.coalesce("a_end", "a_start"), F.col("a_start") - F.coalesce("b_end", "b_start")))
     unknown = F.col("a_start").isNull() | F.col("b_start").isNull()
     time = F.when(unknown, 0.0).otherwise(time_decay(gap, cfg.window))
@@ -73,11 +118,14 @@ def links(candidates: DataFrame, cfg: Cluster = Cluster()) -> DataFrame:
     known = F.coalesce((F.col("a_story_id") != UNKNOWN_STORY) & (F.col("b_story_id") != UNKNOWN_STORY), F.lit(False))
     same = known & F.coalesce(F.col("a_story_id") == F.col("b_story_id"), F.lit(False))
     story = F.when(same, cfg.same_story).when(known, cfg.cross_story).otherwise(0.0)
-    scored = both.withColumns({"time": time, "overlap": over, "topic": set_overlap(F.col("a_grams"), F.col("b_grams")), "adjacent": adjacent, "same_story": same})
-    total = cfg.time * F.col("time") + cfg.overlap * F.col("overlap") + cfg.topic * F.col("topic") + F.when(F.col("adjacent"), cfg.adjacency).otherwise(0.0) + story
-    scored = scored.withColumn("score", total).filter(F.round("score", 9) >= cfg.threshold)
-    parts = [thousandths(F.col(c)).alias(c) for c in ("score", "time", "overlap", "topic")]
-    return scored.select("rec_id", F.col("a_cand_no").alias("a"), F.col("b_cand_no").alias("b"), *parts, "adjacent", "same_story")
+    parts = both.select("rec_id", "a_cand_no", "b_cand_no", "a_place", "b_place", time.alias("time"), over.alias("overlap"), adjacent.alias("adjacent"), same.alias("same_story"), story.alias("story"))
+    total = lambda topic: cfg.time * F.col("time") + cfg.overlap * F.col("overlap") + cfg.topic * topic + F.when(F.col("adjacent"), cfg.adjacency).otherwise(0.0) + F.col("story")
+    parts = parts.filter(F.round(total(F.lit(1.0)), 9) >= cfg.threshold)
+    topic = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.when(F.col("reason") != "", F.col("reason")))
+    texts = ranked(candidates.select("rec_id", "cand_no", "start", "end", bigram_codes(topic).alias("grams")))
+    scored = with_topic(parts, texts).withColumn("score", total(F.col("topic"))).filter(F.round("score", 9) >= cfg.threshold)
+    shown = [thousandths(F.col(c)).alias(c) for c in ("score", "time", "overlap", "topic")]
+    return scored.select("rec_id", F.col("a_cand_no").alias("a"), F.col("b_cand_no").alias("b"), *shown, "adjacent", "same_story")
 
 
 def components(candidates: DataFrame, edges: DataFrame) -> DataFrame:
