@@ -100,7 +100,7 @@ def _decided(spark, d):
 
 def ag_doc_profile(spark, d):
     """How much each document speaks of each category or tag."""
-    return correction.document_profile(_decided(spark, d)[0])
+    return correction.document_profile(q_more.documents_of(spark, d))
 
 
 def cor_context(spark, d):
