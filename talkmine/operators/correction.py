@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,6 +53,8 @@ STAMP = r"\[[^\]\n]*\]"
 KEYWORD_LETTERS = r"[\x{4e00}-\x{9fff}]|[Ss]team|[Bb]oss"
 #: Lexicons of so many rows at most are broadcast; larger ones are joined.
 BROADCAST_ROWS = 200_000
+#: Rows of hits that a Python task holds at a time.
+HELD_ROWS = 5_000
 
 _HITS = "doc_id long, named string, start int, end int, alias string, sentence string, sentence_at int, left string, right string"
 
@@ -107,6 +109,13 @@ def _hits_frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"doc_id": "Int64", "start": "Int32", "end": "Int32", "sentence_at": "Int32"})
 
 
+def _hits_frames(rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+    """Rows as they come, a few at a time: a batch of texts has many times as many hits."""
+    rows = iter(rows)
+    while part := list(islice(rows, HELD_ROWS)):
+        yield _hits_frame(part)
+
+
 def _one_pass(docs: DataFrame, wrong: Words, right: Words) -> DataFrame:
     """Rows of `_told_of` where one automaton holds all aliases, and one all canonical words."""
     shared = docs.sparkSession.sparkContext.broadcast((wrong, right))
@@ -114,7 +123,7 @@ def _one_pass(docs: DataFrame, wrong: Words, right: Words) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (wrong, right), stamp = shared.value, re.compile(STAMP)
         for batch in batches:
-            yield _hits_frame([x for doc, text in zip(_ids(batch["doc_id"]), batch["text"]) for x in _told_of(doc, text, _spans(text, wrong, stamp), _spans(text, right, stamp))])
+            yield from _hits_frames(x for doc, text in zip(_ids(batch["doc_id"]), batch["text"]) for x in _told_of(doc, text, _spans(text, wrong, stamp), _spans(text, right, stamp)))
 
     return docs.mapInPandas(run, _HITS)
 
@@ -144,7 +153,7 @@ def _by_shards(docs: DataFrame, wrong: Iterable[Words], right: Iterable[Words])
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = lambda own: [(x["a"], x["b"]) for x in own]
         for batch in batches:
-            yield _hits_frame([x for doc, text, w, r in zip(_ids(batch["doc_id"]), batch["text"], batch["wrong"], batch["right"]) for x in _told_of(doc, text, pairs(w), pairs(r))])
+            yield from _hits_frames(x for doc, text, w, r in zip(_ids(batch["doc_id"]), batch["text"], batch["wrong"], batch["right"]) for x in _told_of(doc, text, pairs(w), pairs(r)))
 
     return docs.join(each, "rid").mapInPandas(told, _HITS)
 
@@ -196,19 +205,38 @@ def _told(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: F.contains(F.col("around"), w))).cast("double")
 
 
+#: What an occurrence of each keyword adds to the strength of each key.
+_WEIGHTS: dict[str, dict[str, float]] = {}
+for _key in dict.fromkeys((*KEYWORDS, *TAGS)):
+    for _words, _weight in (*zip(KEYWORDS.get(_key, ()), (0.5, 0.25)), (TAGS.get(_key, ()), 0.5)):
+        for _word in _words:
+            _own = _WEIGHTS.setdefault(_word, {})
+            _own[_key] = _own.get(_key, 0.0) + _weight
+_KEYWORDS = Words(list(_WEIGHTS))
+
+
+def _strengths(text: str) -> list[dict]:
+    """Occurrences of each keyword that do not overlap one another, by weight, at most 1 a key."""
+    total, ends = {}, {}
+    for start, end in _KEYWORDS.spans(text, 0, len(text)):
+        word = text[start:end]
+        if start >= ends.get(word, 0):
+            ends[word] = end
+            for key, weight in _WEIGHTS[word].items():
+                total[key] = total.get(key, 0.0) + weight
+    return [{"key": key, "strength": min(1.0, x)} for key, x in total.items()]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("strength", T.DoubleType())])))
+def _profiled(texts: pd.Series) -> pd.Series:
+    return pd.Series([_strengths(x) for x in texts], dtype="object")
+
+
 def document_profile(docs: DataFrame) -> DataFrame:
     """doc_id, key, strength: how much a document speaks of a category or tag, at most 1.
-    Only texts with some letter of the keywords are counted."""
+    Only texts with some letter of the keywords are counted, all words in one pass."""
     docs = docs.filter(F.col("text").rlike(KEYWORD_LETTERS))
-    parts = []
-    for key in dict.fromkeys((*KEYWORDS, *TAGS)):
-        strong, weak = KEYWORDS.get(key, ((), ()))
-        weighed = [(w, 0.5) for w in (*strong, *TAGS.get(key, ()))] + [(w, 0.25) for w in weak]
-        words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(x).alias("weight")) for w, x in weighed])
-        n = lambda w: F.floor((F.length("text") - F.length(F.replace("text", w, F.lit("")))) / F.length(w))
-        total = F.aggregate(words, F.lit(0.0), lambda acc, x: acc + x["weight"] * n(x["word"]))  # noqa: B023
-        parts.append(F.struct(F.lit(key).alias("key"), F.least(F.lit(1.0), total).alias("strength")))
-    return docs.select("doc_id", F.explode(F.array(*parts)).alias("p")).select("doc_id", "p.key", "p.strength").filter("strength > 0")
+    return docs.select("doc_id", F.explode(_profiled("text")).alias("p")).select("doc_id", "p.key", "p.strength")
 
 
 def scored(hits: DataFrame, profile: DataFrame) -> DataFrame:

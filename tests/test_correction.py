@@ -133,3 +133,26 @@ def test_spans():
     assert list(automaton.leftmost_longest([(3, 5), (0, 2), (1, 9), (2, 3), (2, 4)])) == [(0, 2), (2, 4)]
     assert automaton.longest_at_each([(0, 2), (0, 3), (1, 2)]) == [(0, 3), (1, 2)] and automaton.Words([]).spans("x", 0, 1) == []
     assert sorted(automaton.Words(["ab", "b", "abc"]).spans("xabc ab", 1, 4)) == [(1, 3), (1, 4), (2, 3)]
+
+
+def test_profile_counts_all_keywords_in_one_pass(spark):
+    texts = ["", None, "plain words", "Steam steam Boss boss", "开黑开黑", "电影院电影", "UP主主播up主", "看看看", "直播间弹幕" * 3, "梗"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for doc, text in enumerate(texts):
+        for key in {*KEYWORDS, *TAGS}:
+            strong, weak = KEYWORDS.get(key, ((), ()))
+            total = sum(0.5 * (text or "").count(w) for w in (*strong, *TAGS.get(key, ()))) + sum(0.25 * (text or "").count(w) for w in weak)
+            if total:
+                want[doc, key] = min(1.0, total)
+    made = correction.document_profile(df)
+    assert {(r["doc_id"], r["key"]): r["strength"] for r in made.collect()} == want
+    assert "replace(" not in made._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_task_holds_few_rows_of_hits(monkeypatch):
+    monkeypatch.setattr(correction, "HELD_ROWS", 4)
+    rows = [(k, "w", None, None, None, None, None, None, None) for k in range(9)]
+    frames = list(correction._hits_frames(iter(rows)))
+    assert [len(f) for f in frames] == [4, 4, 1] and [k for f in frames for k in f["doc_id"]] == list(range(9))
+    assert list(correction._hits_frames([])) == []
