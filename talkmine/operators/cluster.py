@@ -136,7 +136,8 @@ def components(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     chains of n candidates take about log n rounds.  Rounds are staged.
     """
     nodes = candidates.select("rec_id", "cand_no").distinct()
-    both = stage(edges.select("rec_id", "a", "b").unionByName(edges.select("rec_id", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    edges = stage(edges.select("rec_id", "a", "b"), "edges")  # before the union, which would make them twice
+    both = edges.unionByName(edges.select("rec_id", F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage(nodes.withColumn("label", F.col("cand_no")), "labels")
     while True:
         near = both.join(labels.select("rec_id", F.col("cand_no").alias("b"), "label"), ["rec_id", "b"]).groupBy("rec_id", F.col("a").alias("cand_no")).agg(F.min("label").alias("near"))

@@ -60,3 +60,17 @@ def test_links_over_tiles(spark, monkeypatch, tile, columns):
     assert set(made) == set(want)
     for k, (score, topic) in want.items():
         assert made[k]["score"] == pytest.approx(score, abs=6e-4) and made[k]["topic"] == pytest.approx(topic, abs=6e-4)
+
+
+def test_components_make_the_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "rec_id long, a long, b long").mapInPandas(counted, "rec_id long, a long, b long")
+    nodes = spark.createDataFrame([(1, k) for k in range(4)], "rec_id long, cand_no long")
+    assert [r["cluster_no"] for r in cluster.components(nodes, edges).orderBy("cand_no").collect()] == [1, 1, 1, 2]
+    assert made.value == 2
