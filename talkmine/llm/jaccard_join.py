@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bloom, passes
@@ -71,7 +71,7 @@ OUT_ROWS = 2048
 OUT_BYTES = 1 << 23
 
 _SETS = "doc_id long, text_hash long, k long, k2 long, n int, bits binary, fine binary, probe array<long>"
-_PREFIXES = "shingle long, part int, k long"
+_PREFIXES = "shingle long, part int, n int, k long"
 
 
 @lru_cache(maxsize=1)
@@ -249,39 +249,47 @@ def _read_sets(seed: int, words: int, similarity: int):
 
 
 def _read_prefixes(seed: int, words: int, similarity: int, shared):
-    """(shingle, part, k); the rows of a frequent shingle are dealt to parts from 1 on."""
+    """(shingle, part, n, k); the rows of a frequent shingle are dealt to parts from 1 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
         for batch in _slices(batches):
-            met, keys, firsts = set(), [], []
+            met, keys, sizes, firsts = set(), [], [], []
             for text in _values(batch.column("text")):
                 own = shingles(text, words)
                 k = set_key(own, seed)[0]
                 if len(own) and k not in met:
                     met.add(k)
                     keys.append(k)
+                    sizes.append(len(own))
                     firsts.append(prefix(own, frequent, rank, similarity).copy())
             if keys:
-                s, k = np.concatenate(firsts), np.repeat(np.array(keys, np.int64), [len(x) for x in firsts])
+                times = [len(x) for x in firsts]
+                s, k, n = np.concatenate(firsts), np.repeat(np.array(keys, np.int64), times), np.repeat(np.array(sizes, np.int32), times)
                 heavy = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-                yield _longs(shingle=s, part=np.where(heavy, 1 + k % SPREAD, 0).astype(np.int32), k=k)
+                yield _longs(shingle=s, part=np.where(heavy, 1 + k % SPREAD, 0).astype(np.int32), n=n, k=k)
 
     return run
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shared(batches: Iterator[pd.DataFrame], similarity: int = 0) -> Iterator[pd.DataFrame]:
     """The rows, once each, of shingles that two classes or more have, and of all frequent
-    ones, from rows in order; a task holds one batch and one row."""
+    ones, from rows in order; a task holds one batch and one row.
+
+    With a `similarity`, rows of a shingle come by size n, and one stays only if the next smaller
+    or larger class is near enough in size; if these are not, no other is.
+    """
     held, sent = None, False
     for frame in batches:
-        rows = frame[["shingle", "part", "k"]].to_numpy(np.int64)
+        rows = frame[["shingle", "part", "n", "k"] if similarity else ["shingle", "part", "k"]].to_numpy(np.int64)
         if not len(rows):
             continue
         if held is not None:
             rows = np.concatenate([held, rows])
         rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
         same = rows[1:, 0] == rows[:-1, 0]
+        if similarity:
+            same &= 100 * rows[:-1, 2] >= similarity * rows[1:, 2]
         keep = np.r_[False, same] | np.r_[same, False] | (rows[:, 1] > 0)
         if sent:  # the row that was held has been given out
             sent, keep[0] = bool(keep[-1]) or len(rows) == 1, False
@@ -289,7 +297,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sent = bool(keep[-1])
         held = rows[-1:]
         if keep.any():
-            yield pd.DataFrame({"shingle": rows[keep, 0], "k": rows[keep, 2]})
+            yield pd.DataFrame({"shingle": rows[keep, 0], "k": rows[keep, -1]})
 
 
 class Bitmaps:
@@ -491,8 +499,8 @@ def _pair_frame(pairs: list[np.ndarray]) -> np.ndarray:
 
 
 def _first_round(similarity: int):
-    """(shingle null, k, other): pairs that can be similar, all of a block of one leaf and
-    stars of a larger one; (shingle, k, null): the members of larger and of split blocks."""
+    """(shingle null, k, other, null): pairs that can be similar, all of a block of one leaf and
+    stars of a larger one; (shingle, k, null, n): the members of larger and of split blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[bytes] = set()
@@ -508,10 +516,10 @@ def _first_round(similarity: int):
                     pairs += [np.stack([k[a + i], k[a + j]], axis=1) for i, j in block.stars() if len(i)]
             both = _pair_frame(pairs)
             if len(both):
-                yield pd.DataFrame({"shingle": pd.array([None] * len(both), "Int64"), "k": both[:, 0], "other": pd.array(both[:, 1], "Int64")})
+                yield pd.DataFrame({"shingle": pd.array([None] * len(both), "Int64"), "k": both[:, 0], "other": pd.array(both[:, 1], "Int64"), "n": pd.array([None] * len(both), "Int32")})
             member = (np.repeat(sizes > WHOLE_BLOCK, sizes) | split) & ~guest
             if member.any():
-                yield pd.DataFrame({"shingle": pd.array(s[member], "Int64"), "k": k[member], "other": pd.array([None] * int(member.sum()), "Int64")})
+                yield pd.DataFrame({"shingle": pd.array(s[member], "Int64"), "k": k[member], "other": pd.array([None] * int(member.sum()), "Int64"), "n": pd.array(n[member], "Int32")})
 
     return run
 
@@ -656,8 +664,22 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return rows.select("shingle", "x", F.lit(0).alias("y"), "k", (F.col("x") != F.col("own")).alias("guest"))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (shingle, x, y, k, root) of the blocks that hold more than one component.
+def _near_others(rows: DataFrame, similarity: int) -> DataFrame:
+    """The rows (shingle, k, n, root) of whole blocks whose next smaller or larger one of another
+    root is near enough in size; others are like none of another root."""
+    found = rows
+    for name, by in (("smaller", [F.col(c).asc() for c in ("n", "root", "k")]), ("larger", [F.col(c).desc() for c in ("n", "root", "k")])):
+        w = Window.partitionBy("shingle").orderBy(*by)
+        turn = F.when(F.lag("root").over(w) != F.col("root"), F.lag("n").over(w))
+        so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = found.withColumn("turn", turn).withColumn(name, F.last("turn", ignorenulls=True).over(so_far))
+    near = (100 * F.col("smaller") >= similarity * F.col("n")) | (100 * F.col("n") >= similarity * F.col("larger"))
+    return found.filter(F.coalesce(near, F.lit(False))).select(*rows.columns)
+
+
+def _open(members: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
+    """Rows (shingle, x, y, k, root) of the blocks that hold more than one component; of those
+    that are not split, members that can be similar to one of another component by size.
 
     Of a split block, the members of its most frequent component form parts and the others
     parts of their own; each pair of parts but two of that component is one task's.
@@ -667,7 +689,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     blocks = stage(each.groupBy("shingle").agg(F.sum("m").alias("all"), F.max_by("root", "m").alias("main"), F.max("m").alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"), "mixed")
     split = _small(blocks.filter(F.col("all") > BLOCK_ROWS), "split")
     rest = rooted.join(split.select("shingle"), "shingle", "left_anti").join(blocks.select("shingle"), "shingle", "left_semi")
-    rest = rest.select("shingle", F.lit(0).alias("x"), F.lit(0).alias("y"), "k", "root")
+    rest = _near_others(rest.select("shingle", "k", "n", "root"), similarity).select("shingle", F.lit(0).alias("x"), F.lit(0).alias("y"), "k", "root")
     rows = rooted.join(split, "shingle")
     p, q = _parts(F.col("most")), _parts(F.col("all") - F.col("most"))
     rows = rows.withColumns({"p": p, "q": q, "is_main": F.col("root") == F.col("main")})
@@ -695,19 +717,19 @@ def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_AT_MOST).toArrow().to_pandas().sort_values("shingle")
     shared = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
     prefixes = rows.mapInArrow(_read_prefixes(seed, words, similarity, shared), _PREFIXES)
-    order = ["shingle", "part", "k"]
-    blocks = stage(prefixes.repartition("shingle", "part").sortWithinPartitions(*order).mapInPandas(_shared, "shingle long, k long"), "shared")
+    order = ["shingle", "part", "n", "k"]
+    blocks = stage(prefixes.repartition("shingle", "part").sortWithinPartitions(*order).mapInPandas(lambda frames: _shared(frames, similarity), "shingle long, k long"), "shared")
     maps = stage(sets.filter("n > 0").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "bits", "fine")]), "maps")
     by_block = lambda df: df.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "k")
     dealt = by_block(_dealt(blocks).join(maps.select("k", "n", "bits"), "k"))
-    first = stage(dealt.mapInPandas(_first_round(similarity), "shingle long, k long, other long"), "blocks")
+    first = stage(dealt.mapInPandas(_first_round(similarity), "shingle long, k long, other long, n int"), "blocks")
     pairs = stage(first.filter("shingle is null").select(F.col("k").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     how = (seed, words, similarity)
     links = _links(rows, sets, maps, pairs, how)
     roots = stage(components(links), "roots")
     members, tried, rich = first.filter("shingle is not null").drop("other"), pairs, None
     for nearest in (True, False):
-        again = stage(_open(members, roots), "open")
+        again = stage(_open(members, roots, similarity), "open")
         if again.isEmpty():
             break
         if rich is None:  # later rounds look at no other class
@@ -733,7 +755,8 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, similarity: int = SI
        share makes the keys be drawn again).
     2. Shingles that the prefixes of many rows hold are counted and put last in the order.
     3. Rows of (prefix shingle, class) form blocks; copies of a class in a task count once, and
-       shingles of one class only fall away before bitmaps are joined to the rest.
+       shingles of one class only, and classes that no other of the shingle is near in size,
+       fall away before bitmaps are joined to the rest.
     4. A first round tests the pairs of blocks of one leaf and takes stars of larger blocks;
        fine bitmaps prune the pairs, and the exact sets of those left decide.
     5. Two more rounds run the dual traversal of larger blocks, under rich bitmaps, between

@@ -558,3 +558,29 @@ def test_chosen_finds_great_ids_beside_null():
     made = jaccard_join._chosen(0, 3, SimpleNamespace(value=table), np.asarray)(iter([batch]))
     want = {jaccard_join.set_key(own, 0)[0]: own.tobytes() for own in map(jaccard_join.shingles, ["n n n", "g g g"])}
     assert {r["k"]: r["form"] for b in made for r in b.to_pylist()} == want
+
+
+def test_shared_rows_have_a_neighbour_in_size():
+    """Of a shingle, classes that are near another in size come out once each, wherever batches end."""
+    import pandas as pd
+
+    rnd = random.Random(15)
+    for _ in range(200):
+        size = {k: rnd.choice([10, 11, 12, 30, 31, 60]) for k in range(8)}
+        rows = sorted((s, s % 2 * rnd.choice([1, 2]) if s > 4 else 0, size[k], k) for s, k in ((rnd.randint(0, 6), rnd.randint(0, 7)) for _ in range(rnd.randint(0, 30))))
+        cuts = sorted(rnd.sample(range(len(rows) + 1), min(len(rows), 4)))
+        frames = [pd.DataFrame(rows[a:b], columns=["shingle", "part", "n", "k"]) for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        made = [tuple(r) for f in jaccard_join._shared(iter(frames), 90) for r in f.itertuples(index=False)]
+        each = sorted(set(rows))
+        near = lambda x, y: 100 * min(x, y) >= 90 * max(x, y)
+        want = [(s, k) for s, p, n, k in each if p or any(s == t and k != j and near(n, m) for t, _, m, j in each)]
+        assert sorted(made) == sorted(want)
+
+
+def test_open_blocks_keep_members_near_another_component(spark):
+    rnd = random.Random(16)
+    rows = [(s, k, rnd.choice([10, 11, 12, 13, 40, 43, 46, 90]), rnd.choice([1, 1, 1, 2, 3])) for s in range(40) for k in range(rnd.randint(1, 12))]
+    made = jaccard_join._near_others(spark.createDataFrame(rows, "shingle long, k long, n int, root long"), 90).collect()
+    near = lambda x, y: 100 * min(x, y) >= 90 * max(x, y)
+    want = [(s, k, n, r) for s, k, n, r in rows if any(s == t and r != q and near(n, m) for t, _, m, q in rows)]
+    assert sorted(map(tuple, made)) == sorted(want) and 0 < len(want) < len(rows)
