@@ -52,6 +52,8 @@ BROADCAST_ROWS = 500_000
 SPREAD = 64
 #: Pairs whose bitmaps are compared at once.
 AT_ONCE = 1 << 14
+#: Pairs of a block, or of several, that a task of a later round holds before it sifts or gives them out.
+PAIRS_AT_ONCE = 1 << 16
 #: Members of a leaf and children of a node.
 LEAF = 16
 FAN = 4
@@ -524,6 +526,34 @@ def _first_round(similarity: int):
     return run
 
 
+def _gathered(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows in chunks of `PAIRS_AT_ONCE` or little more."""
+    held, n = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        n += len(chunk[0])
+        if n >= PAIRS_AT_ONCE:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def _likeliest(ends: np.ndarray, other: np.ndarray, over: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each end the row that lies furthest over, then of least key."""
+    order = np.lexsort((k[other], -over, ends))
+    order = order[np.r_[True, ends[order][1:] != ends[order][:-1]]]
+    return ends[order], other[order], over[order]
+
+
+def _found(pairs: list[np.ndarray], more: list[int]) -> pd.DataFrame:
+    both, m = _pair_frame(pairs), len(more)
+    n = len(both)
+    return pd.DataFrame({
+        "a": pd.array([*both[:, 0], *[None] * m], "Int64"), "b": pd.array([*both[:, 1], *[None] * m], "Int64"), "shingle": pd.array([*[None] * n, *more], "Int64"),
+    })
+
+
 def _later_round(similarity: int, nearest: bool):
     """Pairs (a, b) of a block's dual traversal between groups that are not yet connected.
 
@@ -535,28 +565,26 @@ def _later_round(similarity: int, nearest: bool):
         met: set[bytes] = set()
         for frame, cuts in _blocks(batches):
             s, k, n, bits, root = frame["shingle"].to_numpy(), frame["k"].to_numpy(), frame["n"].to_numpy(np.int64), frame["bits"].to_numpy(), frame["root"].to_numpy()
-            pairs, more = [], []
+            pairs, more, held = [], [], 0
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a < 2 or (own := _digest(k[a:b])) in met:
                     continue
                 met.add(own)
-                got = list(Block(n[a:b], list(bits[a:b]), root[a:b], similarity).dual())
-                if not got:
-                    continue
-                i, j, over = map(np.concatenate, zip(*got))
-                if nearest:
-                    ends, other, over = np.r_[i, j], np.r_[j, i], np.r_[over, over]
-                    order = np.lexsort((k[a + other], -over, ends))
-                    first = np.r_[True, ends[order][1:] != ends[order][:-1]]
-                    i, j = ends[order][first], other[order][first]
+                best = (np.zeros(0, np.int64),) * 3
+                for i, j, over in _gathered(Block(n[a:b], list(bits[a:b]), root[a:b], similarity).dual()):
+                    if nearest:
+                        best = _likeliest(np.r_[best[0], i, j], np.r_[best[1], j, i], np.r_[best[2], over, over], k[a:b])
+                        continue
+                    pairs.append(np.stack([k[a + i], k[a + j]], axis=1))
+                    held += len(i)
+                    if held >= PAIRS_AT_ONCE:
+                        yield _found(pairs, more)
+                        pairs, held = [], 0
+                if len(best[0]):
+                    pairs.append(np.stack([k[a + best[0]], k[a + best[1]]], axis=1))
                     more.append(s[a])
-                pairs.append(np.stack([k[a + i], k[a + j]], axis=1))
-            both = _pair_frame(pairs)
-            if n_both := len(both):
-                m = len(more)
-                yield pd.DataFrame({
-                    "a": pd.array([*both[:, 0], *[None] * m], "Int64"), "b": pd.array([*both[:, 1], *[None] * m], "Int64"), "shingle": pd.array([*[None] * n_both, *more], "Int64"),
-                })
+            if pairs:
+                yield _found(pairs, more)
 
     return run
 

@@ -48,6 +48,9 @@ COUNT_WORDS = 100_000
 #: Letters of a word, and words, that are counted in one matrix.
 LONG_WORD = 40
 MATRIX_WORDS = 40_000
+#: Words, and texts, that are scored at once.
+MATRIX_ROWS = 4_000
+TEXTS_AT_ONCE = 256
 MEMO_WORDS = 400_000
 #: Keys of a join with more than one in so many rows do not go through its shuffle.
 FREQUENT = 10_000
@@ -143,8 +146,8 @@ class Ratios:
         out[longer] = self._longer([words[k] for k in longer])
         order = np.flatnonzero(length <= LONG_WORD)
         order = order[np.argsort(length[order], kind="stable")]
-        for at in range(0, len(order), MATRIX_WORDS):
-            rows = order[at : at + MATRIX_WORDS]
+        for at in range(0, len(order), MATRIX_ROWS):
+            rows = order[at : at + MATRIX_ROWS]
             letters = letters_of(["^" * (ORDER - 1) + words[k] + "$" for k in rows])
             width = letters.shape[1] - ORDER + 1
             contexts = windows(letters, ORDER - 1, width=width)
@@ -157,7 +160,11 @@ class Ratios:
         return mixed(out)
 
     def texts(self, texts: Iterable[str]) -> list[float]:
-        """Per word, with `SHRINK` words more."""
+        """Per word, with `SHRINK` words more; the words of a few texts are held at once."""
+        texts = list(texts)
+        return [x for k in range(0, len(texts), TEXTS_AT_ONCE) for x in self._some(texts[k : k + TEXTS_AT_ONCE])]
+
+    def _some(self, texts: list[str]) -> list[float]:
         memo, sets = self.memo, [words_of(t) for t in texts]
         new = list(set().union(*sets).difference(memo))
         if len(memo) + len(new) > MEMO_WORDS:

@@ -584,3 +584,45 @@ def test_open_blocks_keep_members_near_another_component(spark):
     near = lambda x, y: 100 * min(x, y) >= 90 * max(x, y)
     want = [(s, k, n, r) for s, k, n, r in rows if any(s == t and r != q and near(n, m) for t, _, m, q in rows)]
     assert sorted(map(tuple, made)) == sorted(want) and 0 < len(want) < len(rows)
+
+
+def test_toxic_ratios_hold_words_of_few_texts(monkeypatch):
+    """A batch of many texts costs no more than some of them at once, with the same scores."""
+    import tracemalloc
+
+    rnd = random.Random(17)
+    words = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=200)) for _ in range(3000)]
+    keys = toxicity.string_keys(["^^^^^" + w[:2] for w in words])
+    ratios = lambda: toxicity.Ratios(np.unique(keys), np.linspace(-2, 2, len(np.unique(keys)), dtype=np.float32))
+    made = ratios().texts(texts[:600])
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 1 << 30)
+    monkeypatch.setattr(toxicity, "MATRIX_ROWS", 1 << 30)
+    assert made == ratios().texts(texts[:600]) and len(set(made)) > 100
+    monkeypatch.undo()
+    tracemalloc.start()
+    ratios().texts(texts)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("nearest", [True, False])
+def test_later_round_holds_few_pairs_at_once(monkeypatch, nearest):
+    """A block of many likely pairs is given out, or sifted, piece by piece, with the same pairs."""
+    import pandas as pd
+
+    rnd = random.Random(18)
+    base = [rnd.getrandbits(63) for _ in range(60)]
+    sets = [np.unique(np.array([*base, rnd.getrandbits(63), rnd.getrandbits(63)], np.int64)) for _ in range(90)]
+    frame = pd.DataFrame({"shingle": 1, "x": 0, "y": 0, "k": rnd.sample(range(1000), 90), "root": range(90), "n": [len(x) for x in sets], "bits": [jaccard_join._rich(x).tobytes() for x in sets]})
+
+    def made():
+        frames = list(jaccard_join._later_round(90, nearest)(iter([frame])))
+        rows = pd.concat(frames).astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)
+        return sorted(set(rows), key=repr), max(map(len, frames))
+
+    whole, most = made()
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 300)
+    again, fewer = made()
+    assert again == whole and len(whole) > 40
+    assert nearest or most == 90 * 89 // 2 and fewer < 600
