@@ -43,12 +43,13 @@ SHRINK = 4
 THRESHOLD = 0.7
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
 WORDS = re.compile(r"[^\W\d_]+")
-#: Words that a task keeps before it gives out their n-grams, and scores that it keeps.
-COUNT_WORDS = 100_000
+#: Words that a task keeps before it gives out their counts, or their n-grams.
+COUNT_WORDS = 200_000
+GRAM_WORDS = 100_000
 #: Letters of a word, and words, that are counted in one matrix.
 LONG_WORD = 40
 MATRIX_WORDS = 40_000
-#: Words, and texts, that are scored at once.
+#: Words, and texts, that are scored at once, and scores that a task keeps.
 MATRIX_ROWS = 4_000
 TEXTS_AT_ONCE = 256
 MEMO_WORDS = 400_000
@@ -222,17 +223,20 @@ def counted(words: dict[str, int], order: int) -> tuple[list[str], np.ndarray]:
     return found, np.concatenate(counts)
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, ordinary, toxic, every) of documents' words, each once a document: long n-grams
-    by class, and short ones of all rows."""
+def _by_class(column: str, parts: dict[str, tuple[list[str], np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """A frame for each of `parts`, whose counts stand in the column of its name beside zeros."""
+    for name, (found, n) in parts.items():
+        if found:
+            none = np.zeros(len(found), np.int64)
+            yield pd.DataFrame({column: found, **{c: n if c == name else none for c in parts}})
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, ordinary, toxic, other): the documents of each class, and of none, with a word."""
 
     def given(words: list[Counter]) -> Iterator[pd.DataFrame]:
-        parts = {"ordinary": (words[0], ORDER), "toxic": (words[1], ORDER), "every": (words[0] + words[1] + words[2], SHARED_ORDER)}
-        for name, (own, order) in parts.items():
-            if own:
-                found, n = counted(own, order)
-                none = np.zeros(len(found), np.int64)
-                yield pd.DataFrame({"gram": found, **{c: n if c == name else none for c in parts}})
+        counts = [(list(own), np.fromiter(own.values(), np.int64, len(own))) for own in words]
+        yield from _by_class("word", dict(zip(("ordinary", "toxic", "other"), counts)))
 
     words = [Counter(), Counter(), Counter()]
     for batch in batches:
@@ -244,6 +248,37 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from given(words)
 
 
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, ordinary, toxic, every) of counted words: long n-grams by class, and short ones
+    of all rows."""
+
+    def given(words: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        words = words.assign(every=words["ordinary"] + words["toxic"] + words["other"])
+        parts = {}
+        for name, order in (("ordinary", ORDER), ("toxic", ORDER), ("every", SHARED_ORDER)):
+            own = words[words[name] > 0]
+            parts[name] = counted(dict(zip(own["word"].tolist(), own[name].tolist())), order)
+        yield from _by_class("gram", parts)
+
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= GRAM_WORDS:
+            yield from given(pd.concat(held))
+            held = []
+    if held:
+        yield from given(pd.concat(held))
+
+
+def gram_counts(every: DataFrame) -> DataFrame:
+    """(gram, ordinary, toxic, every) over rows of text and class.  Documents share most of
+    their words, so words are summed before they are cut: each is cut once, whatever the rows."""
+    words = every.mapInPandas(_count_words, "word string, ordinary long, toxic long, other long")
+    words = words.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "other")])
+    parts = words.mapInPandas(_count_grams, "gram string, ordinary long, toxic long, every long")
+    return parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")])
+
+
 def shared_model(counts: DataFrame) -> DataFrame:
     """(gram, p): the probability of a short n-gram's last letter in the Kneser-Ney model of
     all texts, whose lower order is the continuation counts.  Only joins and sums of Spark."""
@@ -355,9 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     taught = stage(marks.filter(fold != 0), "taught")
     taught = F.broadcast(taught) if taught.count() <= BROADCAST_LABELS else taught
     every = texts(docs).join(taught, "doc_id", "left").select("text", F.coalesce("toxic", F.lit(2)).alias("toxic"))
-    parts = every.mapInPandas(_count_grams, "gram string, ordinary long, toxic long, every long")
-    counts = stage(parts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "every")]), "grams")
-    model = Model(spark, stage(ratio_table(counts), "ratios"))
+    model = Model(spark, stage(ratio_table(stage(gram_counts(every), "grams")), "ratios"))
     own = texts(docs).join(F.broadcast(chosen.filter(fold == 0)), "doc_id").select("text", "toxic")
     own = model.raw(own).select("toxicity__raw", "toxic").toArrow().to_pandas().sort_values(["toxicity__raw", "toxic"])
     model.slope, model.intercept = fit_logistic(own["toxicity__raw"].to_numpy(), own["toxic"].to_numpy())

@@ -626,3 +626,32 @@ def test_later_round_holds_few_pairs_at_once(monkeypatch, nearest):
     again, fewer = made()
     assert again == whole and len(whole) > 40
     assert nearest or most == 90 * 89 // 2 and fewer < 600
+
+
+def test_toxic_counts_cut_each_word_once(spark, monkeypatch):
+    """Rows that repeat words in many tasks are no more n-grams to cut than their words alone."""
+    import pandas as pd
+
+    rnd = random.Random(19)
+    words = list({"".join(rnd.choices("abcdé漢", k=rnd.choice([1, 3, 7, 9, 45]))) for _ in range(300)})
+    rows = [(" ".join(rnd.choices(words, k=40)) + ", 7_x", k % 3) for k in range(240)]
+    used, want = {}, {}
+    for text, kind in rows:
+        for w in toxicity.words_of(text):
+            used.setdefault(w, [0, 0, 0])[kind] += 1
+    for w, (ordinary, toxic, other) in used.items():
+        for n, order, at in ((ordinary, toxicity.ORDER, 0), (toxic, toxicity.ORDER, 1), (ordinary + toxic + other, toxicity.SHARED_ORDER, 2)):
+            for g in toxicity.grams(w, order) if n else ():
+                want.setdefault(g, [0, 0, 0])[at] += n
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(8)
+    assert {g: n for g, *n in toxicity.gram_counts(df).collect()} == want
+
+    cut, counted = [], toxicity.counted
+    monkeypatch.setattr(toxicity, "counted", lambda own, order: (cut.extend((w, order) for w in own), counted(own, order))[1])
+    monkeypatch.setattr(toxicity, "COUNT_WORDS", 50)
+    tasks = [pd.concat(toxicity._count_words(iter([pd.DataFrame(rows[k::8], columns=["text", "toxic"])]))) for k in range(8)]
+    summed = pd.concat(tasks).groupby("word", as_index=False).sum()
+    monkeypatch.setattr(toxicity, "GRAM_WORDS", 100)
+    made = pd.concat(toxicity._count_grams(summed[k : k + 60] for k in range(0, len(summed), 60))).groupby("gram").sum()
+    assert {g: n.tolist() for g, n in zip(made.index, made.to_numpy())} == want
+    assert len(cut) == sum((a > 0) + (b > 0) + 1 for a, b, _ in used.values())
