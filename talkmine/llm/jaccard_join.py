@@ -769,8 +769,9 @@ def _classes(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         # blocks without any likely pair have none later
         members = members.join(found.filter("shingle is not null").select("shingle").distinct(), "shingle", "left_semi")
         if not more.isEmpty():
-            links, tried = links.unionByName(_links(rows, sets, maps, more, how)), tried.unionByName(more)
-            roots = stage(components(links), "roots")
+            links, tried = _links(rows, sets, maps, more, how), tried.unionByName(more)
+            # a component so far is the star of its root
+            roots = stage(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     whole = sets.select("doc_id", "text_hash", "n", "k").join(roots.withColumnRenamed("node", "k"), "k", "left")
     return whole.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("root", "k")).alias("root"))
 

@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talkmine.llm import components, exact_dedup, jaccard_join, mixing, packing, personal_data, quality, sketches, token_counts, token_files, tokens, toxicity
+from talkmine.llm import bits, components, exact_dedup, jaccard_join, mixing, packing, personal_data, quality, sketches, token_counts, token_files, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ALPHABET = "abc ABC é漢🙂'’.,!?<|>0123 \n\tdstrevml ñ_~\x85"
@@ -248,6 +250,39 @@ def test_components(spark):
     assert made == {x: find(x) for x in nodes}
 
 
+def jobs_of(spark, run):
+    """What `run` returns, and the jobs that it took."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    found = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("at_once", [4, 1 << 18])
+def test_components_of_chains_take_few_jobs(spark, monkeypatch, at_once):
+    """A task contracts what it reads; chains that lie in many pieces still meet."""
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    rnd = random.Random(5)
+    edges = [(1000 * c + k, 1000 * c + k + 1) for c in range(5) for k in range(60)] + [(9000, 9001 + k) for k in range(50)] + [(8000, 8000)]
+    rnd.shuffle(edges)
+    given = spark.createDataFrame(edges + edges[:40], "a long, b long").repartition(7)
+    made, jobs = jobs_of(spark, lambda: components.components(given).collect())
+    assert sorted(map(tuple, made)) == sorted([(1000 * c + k, 1000 * c) for c in range(5) for k in range(61)] + [(9000 + k, 9000) for k in range(51)])
+    assert at_once == 4 or jobs <= 12
+
+
+def test_bit_tables_are_counted_once_and_hold_eight_bits_to_a_byte(spark):
+    rnd = random.Random(3)
+    ids = [rnd.getrandbits(63) - (1 << 62) for _ in range(5000)] + [None]
+    table, jobs = jobs_of(spark, lambda: bits.bloom(spark.createDataFrame([(x,) for x in ids], "id long"), "id"))
+    asked = pd.Series(ids + list(range(5000)), dtype="Int64")
+    passed = bits.passes(table, asked)
+    assert table.nbytes * 8 == 1 << 17 and jobs <= 4
+    assert passed[:5001].all() and passed[5001:].sum() < 500
+
+
+
 def test_next_and_edits(spark):
     texts = [*noise(50, 80), None, ""]
     ids = random.Random(8).sample(range(1000), len(texts))
